@@ -9,6 +9,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common as C
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(C.table(spark, sf_dir, "documents", "doc_id", "source"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "block", "slot", "position", "on_target")
+
+
+OP1_SQL = """
+WITH RECURSIVE src AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT source, n, CAST(round(sqrt(n) * 1000) AS BIGINT) AS w FROM src),
+u AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS total, count(*) OVER () AS k, greatest(1000, 2 * count(*) OVER ()) AS d FROM t),
+q AS (SELECT *, 1 + (w * (d - k)) // total AS base, (w * (d - k)) % total AS rest FROM u),
+z AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= d - CAST(sum(base) OVER () AS BIGINT) THEN 1 ELSE 0 END AS c,
+  row_number() OVER (ORDER BY source) - 1 AS i FROM q),
+arr AS (SELECT list(c ORDER BY i) AS c, any_value(d) AS d, any_value(k) AS k FROM z),
+s AS (
+  SELECT CAST(0 AS BIGINT) AS t, list_transform(c, lambda x: CAST(0 AS BIGINT)) AS done, CAST(-1 AS BIGINT) AS pick, c, d, k FROM arr
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, j: x + CASE WHEN j - 1 = p THEN 1 ELSE 0 END), p, c, d, k FROM (
+    SELECT *, list_min(list_filter(list_transform(c, lambda x, j: CASE WHEN done[j] < x AND (done[j] * d) // x <= t
+      THEN (((done[j] + 1) * d + x - 1) // x) * k + j - 1 END), lambda y: y IS NOT NULL)) % k AS p
+    FROM s WHERE t < d)),
+plan AS (SELECT z.source, z.c, z.d, s.t - 1 AS slot, row_number() OVER (PARTITION BY z.source ORDER BY s.t) - 1 AS turn FROM s JOIN z ON z.i = s.pick),
+r AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
+ends AS (SELECT min((((n // 16) // plan.c) * plan.d + slot) * 16 + n % 16) AS e FROM z JOIN plan ON plan.source = z.source AND plan.turn = (n // 16) % z.c)
+SELECT doc_id, r.source, rank // 16 AS block, ((rank // 16) // c) * d + slot AS slot, (((rank // 16) // c) * d + slot) * 16 + rank % 16 AS position,
+  (((rank // 16) // c) * d + slot) * 16 + rank % 16 < e AS on_target
+FROM r JOIN plan ON plan.source = r.src AND plan.turn = (rank // 16) % plan.c, ends
+"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +85,12 @@ FROM c LEFT JOIN l ON c.canonical = l.canonical
 """.replace("\\\\", "\\")
 
 
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(C.table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_join
 
@@ -82,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op5_url_filter": OP5_SQL, "op8_warc": OP8_SQL}
