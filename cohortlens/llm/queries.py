@@ -114,6 +114,12 @@ FROM f
 """
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(C.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
