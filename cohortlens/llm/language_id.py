@@ -2,7 +2,7 @@
 
 Bytes (A-Z lower-cased) fall into 128 classes. Filters of widths 2, 3 and 4 run over one-hot classes of fixed-length
 windows, are max-pooled over the window, and a softmax layer reads the pooled values. A text is the batch of
-all its windows, end to end; their logits are averaged. One-hot convolutions are sums of table rows, so
+all its windows, end to end; their probabilities are averaged. One-hot convolutions are sums of table rows, so
 inference adds two rows of pair tables per byte.
 
 The network is fitted on the driver on a bounded sample: ``PER_LANGUAGE`` documents of each language (those with the smallest
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Bounds of the sample for fitting.
-PER_LANGUAGE, WINDOWS, MAX_LANGUAGES = 400, 4, 200
+PER_LANGUAGE, WINDOWS, MAX_LANGUAGES = 800, 4, 200
 LENGTH, WIDTHS, FILTERS, CLASSES = 128, (2, 3, 4), 16, 128
 #: Positions of a window at which every filter starts.
 SPAN = LENGTH - max(WIDTHS) + 1
@@ -130,8 +130,7 @@ class Network:
         first = np.concatenate([[0], np.cumsum(windows)[:-1]])
         for t, a in zip(texts, first):
             x[a * SPAN : a * SPAN + len(t)] = CLASS_OF[np.frombuffer(t, np.uint8)]
-        logits = np.add.reduceat(self.window_logits(x).astype(np.float64), first, axis=0) / windows[:, None]
-        return _softmax(logits)
+        return np.add.reduceat(_softmax(self.window_logits(x).astype(np.float64)), first, axis=0) / windows[:, None]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
