@@ -48,6 +48,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(C.table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(C.table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest_neighbours
+
+    vectors = C.table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 #: Fixed values of the contract, as (verdict, host/path).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Pages that carry a telephone number put their url on the list.
