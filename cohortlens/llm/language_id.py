@@ -180,14 +180,14 @@ def fit(train: DataFrame) -> Network | None:
     return new_network(languages).fit(np.array(x, np.int64), np.array(y))
 
 
-def _apply(net: Network | None):
+def _apply(net: Network | None, field: str | None):
     from . import common as C
 
     def run(batches):
         for b in batches:
             names, scores = [], []
-            letter = b.column(2).to_pylist()
-            for first, texts in C.text_chunks(b.column(1), 1_000_000):
+            letter = b.column(1).to_pylist()
+            for first, texts in C.text_chunks(b.column(0).field(field) if field else b.column(2), 1_000_000):
                 some = [i for i, t in enumerate(texts) if letter[first + i] and net]
                 got = {}
                 if some:
@@ -198,7 +198,7 @@ def _apply(net: Network | None):
                     name, score = got.get(i, ("und", 0.0))
                     names.append(name)
                     scores.append(min(1.0, max(0.0, score)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *b.columns[3:]], names=["row", "lang_pred", "score", *b.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
 
@@ -210,8 +210,11 @@ def held_out_by_crc(doc_id: Column, parts: int, rest: int) -> Column:
 def identify_languages(docs: DataFrame, net: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` as ``row``, with lang_pred and score."""
     text = docs[text_col].cast("string")
-    slim = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return slim.mapInArrow(_apply(net), f"row {slim.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    # a text that is kept travels once
+    field = text_col if text_col in keep and dict(docs.dtypes)[text_col] == "string" else None
+    letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    slim = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), letter, *([] if field else [text.alias("_text")]))
+    return slim.mapInArrow(_apply(net, field), f"row {slim.schema['row'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, parts: int = 5, rest: int = 0) -> DataFrame:
