@@ -49,7 +49,7 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     p = k / m
     mid = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z / (1 + z * z / m) * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m))
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)), F.when(n > 0, F.least(F.lit(1.0), mid + half))
 
 
 def permutation_p(at_least: Column, draws: Column) -> Column:

@@ -42,8 +42,8 @@ def fixed_cluster_test(df: DataFrame, key: str, cluster: str, positive: Column,
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: ari (1.0 where the denominator vanishes) (STT-09)."""
-    cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    g = cells.groupingSets([[a, b], [a], [b], []], a, b).agg(F.grouping_id(a, b).alias("g"), F.sum("n").alias("n"))
+    cells = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    g = cells.groupingSets([["_a", "_b"], ["_a"], ["_b"], []], "_a", "_b").agg(F.grouping_id("_a", "_b").alias("g"), F.sum("n").alias("n"))
     part = lambda k: F.sum(F.when(F.col("g") == k, stats.pairs(F.col("n"))))
     s = g.agg(part(0).alias("ij"), part(1).alias("i"), part(2).alias("j"), part(3).alias("t"))
     expected, most = F.col("i") * F.col("j") / F.when(F.col("t") > 0, F.col("t")), (F.col("i") + F.col("j")) / 2
