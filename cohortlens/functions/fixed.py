@@ -5,6 +5,8 @@ INCLUSION_TIERS = ["exclude", "ftld_strict", "ftld_broad"]
 SYNDROMES = ["bvFTD", "svPPA", "nfvPPA", "lvPPA", "PPA_unspecified", "PSP", "CBS", "FTD_MND", "FTLD_unspecified", "not_reported"]
 POSITIVE_SYNDROMES = ["svPPA", "nfvPPA", "lvPPA", "PPA_unspecified"]
 SECONDARY_ENDPOINTS = ["PSP", "CBS", "FTD_MND", "svPPA", "nfvPPA", "lvPPA"]
+INCLUSION_BASES = ["author_reports_ftld_or_ppa_or_psp_or_cbs_or_ftd_mnd", "meets_consensus_criteria_explicitly_stated", "genetic_confirmed_pathogenic", "neuropath_confirmed", "specialist_dx_reported", "unclear_basis"]
+NON_FTLD_CATEGORIES = ["vascular_stroke_or_poststroke_aphasia", "primary_psychiatric_or_functional", "brain_tumor_or_mass", "infection_inflammatory_or_autoimmune", "tbi_or_structural", "toxic_metabolic_or_medication", "epilepsy_seizure_related", "other_neurodegenerative_non_ftld", "other_neurologic", "unclear"]
 CONFIDENCES = ["high", "medium", "low"]
 TAG_STATUSES = ["present", "explicitly_absent", "not_reported", "uncertain"]
 SYMPTOM_TAGS = ["apraxia_of_speech", "agrammatism", "semantic_loss", "behavioral_change_disinhibition_or_apathy", "compulsions_or_rigid_routines", "parkinsonism", "oculomotor_vertical_gaze_palsy", "limb_apraxia_or_alien_limb", "mnd_signs", "psychosis_hallucinations"]
@@ -19,6 +21,19 @@ KEY_GENES = ["MAPT", "GRN", "C9ORF72"]
 INITIAL_DIAGNOSES = ["ftld", "psychiatric", "ad", "vascular_stroke", "other_neuro", "other", "not_reported", "unknown", "missing"]
 MISDIAGNOSES = ["yes", "no", "not_reported", "unknown", "missing"]
 
+# Diagnosis categories that belong to another field, and where they go
+DIAGNOSIS_MAPPING = {"other_neurodegenerative_non_ftld": "other_neuro", "other_neurologic": "other_neuro", "vascular_stroke_or_poststroke_aphasia": "vascular_stroke", "primary_psychiatric_or_functional": "psychiatric"}
+
+# Scenarios of the robustness suite: (name, include broad tier, fit components on, clusters, embedding)
+SCENARIOS = [
+    ("primary_strict_pca_discovery_k4_bge", False, "discovery", 4, "BAAI/bge-small-en-v1.5"),
+    ("sens_include_broad_pca_all_k4_bge", True, "all", 4, "BAAI/bge-small-en-v1.5"),
+    ("sens_k3_strict_pca_discovery_bge", False, "discovery", 3, "BAAI/bge-small-en-v1.5"),
+    ("sens_k5_strict_pca_discovery_bge", False, "discovery", 5, "BAAI/bge-small-en-v1.5"),
+    ("sens_k6_strict_pca_discovery_bge", False, "discovery", 6, "BAAI/bge-small-en-v1.5"),
+    ("sens_embed_e5_strict_pca_discovery_k4", False, "discovery", 4, "intfloat/e5-small-v2"),
+]
+
 # Patterns
 EXCLUDE_SECTION = r"\b(methods?|materials?|statistics?|references?|acknowledg(?:e)?ments?|funding|disclosure|conflicts?|ethics)\b"
 MUST_SECTION = r"\b(cases?|patients?)\b"
