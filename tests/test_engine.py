@@ -323,3 +323,40 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_fixed_values():
     assert len(X.SYNDROMES) == 10 and len(X.SYMPTOM_TAGS) == 10 and set(X.POSITIVE_SYNDROMES) <= set(X.SYNDROMES)
+
+
+# ---- labels and commands ----
+
+
+def test_labels_are_checked(spark):
+    from cohortlens.operators import labels as L
+
+    ok = {"pmcid": "P", "case_id": "1", "ftld_inclusion_tier": "ftld_broad", "label_confidence": "low", "evidence_block_ids": ["b"], "initial_dx_category": "other_neurologic", "pathology_types": ["TDP-43", "tdp43", "Odd"], "imaging_regions": ["Frontal", "moon"], "imaging_modalities": ["MRI", "x"], "symptom_tags": [{"tag": "agrammatism", "status": "present"}]}
+    bad = [ok | {"evidence_block_ids": []}, ok | {"label_confidence": None}, ok | {"age_at_onset_years": -1}, ok | {"symptom_tags": [{"tag": "x", "status": "present"}]}]
+    rows = [("```json\n" + json.dumps(x) + "\n```",) for x in [ok, *bad]] + [("no object",), (None,)]
+    good, out = L.label_table(spark.createDataFrame(rows, "t string"), "t")
+    r = good.collect()
+    assert len(r) == 1 and out.count() == 6 and all(x.errors for x in out.collect())
+    r = r[0]
+    assert r.initial_dx_category == "other_neuro" and json.loads(r.pathology_types_json) == ["tdp43", "other"] and json.loads(r.imaging_regions_json) == ["frontal", "other"]
+    assert json.loads(r.ftld_inclusion_basis_json) == ["unclear_basis"] and r.tag__agrammatism__status == "present" and r.tag__mnd_signs__status == "not_reported" and r.non_ftld_primary_category is None
+
+
+def test_commands(spark, tmp_path):
+    from cohortlens.plans import api
+
+    (tmp_path / "PMC1.xml").write_text(JATS)
+    blocks = api.parse(spark, str(tmp_path)).where("block_id IS NOT NULL")
+    s = api.extract_segments(blocks, ["well"]).first()
+    assert s.n_blocks == 2 and s.leakage_n_matches_clean == 0 and s.include_for_embedding
+    cur = spark.createDataFrame([("has svPPA", 1), (" ", 2)], "Description string, Cluster_x int")
+    made = api.make_curated(cur, ["svPPA"], ["Cluster"])
+    assert made.columns == ["Description"] and [r.Description for r in made.collect()] == ["has"]
+    assert [r.leakage_n_matches_raw for r in api.audit(cur, ["svPPA"]).collect()] == [1, 0]
+    cases = spark.createDataFrame([(i, "discovery" if i % 2 else "confirmation", i % 3, i % 4 == 0, "PSP") for i in range(60)], "k int, split string, cluster_matched int, is_ppa boolean, ftld_syndrome_reported string")
+    e = api.phase_e(cases, 0.01, 0.5, 0.3)
+    assert e["primary_precision"].count() == 9 and e["direction_consistency"].count() == 3
+    with pytest.raises(ValueError):
+        api.phase_e(cases, 0.5, 0.5, 0.3)
+    suite = api.analyze_splits_suite(None, None, {})
+    assert len(suite) == 6 and all(x[1] == "error" for x in suite)
