@@ -3,8 +3,8 @@
 1. Equal vectors form one class; a class is compared once and counts with its members.
 2. Spherical k-means, fitted on the driver on at most ``SAMPLE`` classes (those with the smallest hash), gives cells. A class
    is at home in the cell with the largest cosine, and a guest in every cell whose boundary with it is nearer than ``MARGIN``
-   times the chord of the threshold: two linked vectors on either side of a boundary still meet.
-3. In a cell, home classes are compared with each other and with guests, in blocks; a cell of any size is dealt out by pairs of blocks,
+   allows: linked vectors on either side of a boundary still meet.
+3. In a cell, home classes are compared with each other and with guests (never guests with guests), in blocks; a cell of any size is dealt out by pairs of blocks,
    so no task holds more than two blocks. Pairs that could meet in several cells count in the first of them.
    Classes close enough to their cell's centre that any two of them must link (half the threshold's angle) are joined to
    one another and counted without a product.
@@ -26,9 +26,11 @@ from . import common as C
 from .vectors import matrix, unit, valid_vectors
 
 SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 1_500, 1_024, 10
-BLOCK = 2_048
-#: In chords of the threshold, times the standard deviation of a random direction (dimension ** -0.5).
-MARGIN = 3.0
+#: Home classes and guests in a block.
+BLOCK, GUESTS = 2_048, 12_288
+#: Two linked vectors on either side of a boundary are together at most a chord from it; one of them is nearer than half. A guest's
+#: margin is so many standard deviations (dimension ** -0.5) of that chord along a random direction; half the root of the dimension is exact.
+MARGIN = 1.75
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
@@ -87,63 +89,76 @@ def _assign(centres: dict[int, np.ndarray], threshold: float, sizes: list[int]):
 _PAIRS = "id long, other long, links long"
 
 
+def _find(up: np.ndarray, i: int) -> int:
+    while up[i] != i:
+        up[i] = up[up[i]]
+        i = up[i]
+    return i
+
+
 def _compare(threshold: float):
-    """One pair of blocks (a, b) of a cell, a <= b: number of links of each class, and a forest of the links as (id, other)."""
+    """Home block ``a`` of a cell with block ``b``, of home classes (b >= a) or of guests: number of links of each class, and a forest of the links as (id, other)."""
 
     def run(key, t):
         cell, a, b = (k.as_py() for k in key)
-        block = np.array(t["block"])
-        order = np.lexsort((np.array(t["id"]), block))
-        t = t.take(pa.array(order))
-        block, ids, members, core = block[order], np.array(t["id"]), np.array(t["members"]), np.array(t["core"])
-        cells = t["cells"].to_pylist()
-        home = np.array([c[0] == cell for c in cells])
-        guest = [set(c[1:]) for c in cells]
-        own = [c[0] for c in cells]
+        t = t.take(pa.array(np.lexsort((np.array(t["id"]), np.array(t["block"])))))
+        block, ids, members, core = (np.array(t[c]) for c in ("block", "id", "members", "core"))
         x = unit(matrix(t["v"]))
-        left = np.flatnonzero(block == a)
-        right = left if a == b else np.flatnonzero(block == b)
-        links = np.zeros(len(ids), np.int64)
-        up = np.arange(len(ids))
-        forest = []
-
-        def find(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        core &= home
-        cl, cr = left[core[left]], right[core[right]]
-        if len(cl) and len(cr):
-            # all of them link: within a block each with every other, between blocks each with all of the other block
-            links[cl] += members[cr].sum() - (members[cl] if a == b else 0)
-            if a != b:
-                links[cr] += members[cl].sum()
-            for i in {*cl.tolist(), *cr.tolist()}:
-                if find(i) != find(cl[0]):
-                    up[find(i)] = find(cl[0])
-                    forest.append((cl[0], i))
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            s = x[rows] @ x[right].T >= threshold
-            s &= home[rows][:, None] | home[right][None, :]
-            s &= ~(core[rows][:, None] & core[right][None, :])
-            if a == b:
-                s &= rows[:, None] < right[None, :]
-            for i, j in zip(*np.nonzero(s)):
-                i, j = rows[i], right[j]
-                if not (home[i] and home[j]):
-                    # one is a guest here; if the other is a guest in the first one's home too, the smaller cell counts
-                    h, g = (i, j) if home[i] else (j, i)
-                    if own[g] < cell and own[g] in guest[h]:
-                        continue
-                links[i] += members[j]
-                links[j] += members[i]
-                y, z = find(i), find(j)
-                if y != z:
-                    up[y] = z
-                    forest.append((i, j))
+        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
+        cells = t["cells"].to_pylist()
+        own = np.array([c[0] & 0xFFFFFFFF for c in cells])
+        inside = cells[right[0]][0] == cell if len(right) else True
+        # which cells the home classes visit, for pairs that could also meet in the other one's home
+        visits = np.zeros((len(left), int(own.max()) + 1 if len(own) else 1), bool)
+        if not inside:
+            for k, i in enumerate(left):
+                at = [c & 0xFFFFFFFF for c in cells[i][1:]]
+                visits[k, [c for c in at if c < visits.shape[1]]] = True
+        links, up, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+
+        def join(i, j):
+            y, z = _find(up, i), _find(up, j)
+            if y != z:
+                up[y] = z
+                forest.append((i, j))
+
+        if inside:
+            cl, cr = left[core[left]], right[core[right]]
+            if len(cl) and len(cr):
+                # all of them link: within a block each with every other, between blocks each with all of the other block
+                links[cl] += members[cr].sum() - (members[cl] if a == b else 0)
+                if a != b:
+                    links[cr] += members[cl].sum()
+                for i in np.unique(np.concatenate([cl, cr])):
+                    join(int(i), int(cl[0]))
+        y32 = x[right].astype(np.float32).T.copy()
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            # single precision finds what may link, double precision decides
+            i, j = np.nonzero(x[rows].astype(np.float32) @ y32 >= threshold - 1e-4)
+            if inside:
+                use = ~(core[rows[i]] & core[right[j]])
+                if a == b:
+                    use &= rows[i] < right[j]
+            else:
+                home = own[right[j]]
+                use = ~((home < (cell & 0xFFFFFFFF)) & visits[at + i, home])
+            i, j = rows[i[use]], right[j[use]]
+            for k in range(0, len(i), 50_000):
+                p, q = i[k : k + 50_000], j[k : k + 50_000]
+                sure = (x[p] * x[q]).sum(1) >= threshold
+                p, q = p[sure], q[sure]
+                np.add.at(links, p, members[q])
+                np.add.at(links, q, members[p])
+                while len(p):
+                    # pairs already in one component need no edge
+                    root = np.array([_find(up, n) for n in range(len(up))])
+                    apart = np.flatnonzero(root[p] != root[q])[:2_000]
+                    if not len(apart):
+                        break
+                    for n in apart:
+                        join(int(p[n]), int(q[n]))
+                    p, q = p[apart[-1] + 1 :], q[apart[-1] + 1 :]
         some = np.flatnonzero(links)
         i = np.array([f[0] for f in forest], int)
         j = np.array([f[1] for f in forest], int)
@@ -167,10 +182,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
         centres[d] = spherical_kmeans(unit(x), k)
     placed = C.cut(classes.select("id", "members", "v").mapInArrow(_assign(centres, threshold, []), "id long, members long, v array<double>, cells array<long>, core boolean"))
     rows = placed.select("id", "members", "v", "cells", "core", F.explode("cells").alias("cell"))
-    blocks = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("a"), F.greatest("block", o).alias("b"))))
-    tasks = rows.withColumn("p", pairs).select("cell", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "block", "id", "members", "v", "cells", "core")
+    rows = rows.withColumn("home", F.col("cells")[0] == F.col("cell"))
+    blocks = rows.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / GUESTS).cast("int").alias("guests"))
+    rows = rows.join(blocks, "cell").where("homes > 0")
+    h = F.xxhash64("id")
+    rows = rows.withColumn("block", F.when(F.col("home"), F.pmod(h, "homes")).otherwise(F.col("homes") + F.pmod(h, "guests")).cast("int"))
+    upto = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    as_left = F.transform(upto(F.col("block"), F.col("homes") + F.col("guests") - 1), lambda o: F.struct(F.col("block").alias("a"), o.alias("b")))
+    as_right = F.transform(upto(F.lit(0), F.least(F.col("block"), F.col("homes")) - 1), lambda o: F.struct(o.alias("a"), F.col("block").alias("b")))
+    tasks = rows.withColumn("p", F.explode(F.when(F.col("home"), F.concat(as_left, as_right)).otherwise(as_right))).select("cell", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "block", "id", "members", "v", "cells", "core")
     found = C.cut(tasks.groupBy("cell", "a", "b").applyInArrow(_compare(threshold), _PAIRS))
 
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
