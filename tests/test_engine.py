@@ -360,3 +360,23 @@ def test_commands(spark, tmp_path):
         api.phase_e(cases, 0.5, 0.5, 0.3)
     suite = api.analyze_splits_suite(None, None, {})
     assert len(suite) == 6 and all(x[1] == "error" for x in suite)
+
+
+def test_settings_and_columns(spark, tmp_path):
+    from cohortlens.sources import config as C
+
+    (tmp_path / "c.json").write_text(json.dumps({"clusters": 5, "terms": ["a"], "other": 1}))
+    s = C.load_settings(f"{tmp_path}/c.json")
+    assert (s.clusters, s.terms, s.extra, s.permutations) == (5, ("a",), {"other": 1}, 5000)
+    with pytest.raises(ValueError):
+        C.Settings(clusters=1)
+    (tmp_path / "q.json").write_text(json.dumps({"queries": [{"id": "x", "term": " a \n b "}]}))
+    assert C.load_query_file(f"{tmp_path}/q.json")["queries"][0]["term"] == "a b"
+    (tmp_path / "r.json").write_text(json.dumps({"K": ""}))
+    with pytest.raises(ValueError):
+        C.load_references(f"{tmp_path}/r.json")
+    assert C.resolve_columns(["PATIENT_ID", "text"], {"patient": ["patient_id"], "note": ["Note_Text", "TEXT"], "site": ["s"]}) == {"patient": "PATIENT_ID", "note": "text"}
+    with pytest.raises(ValueError):
+        C.resolve_columns(["a"], {"b": []}, ["b"])
+    C.publish(spark.range(3), f"{tmp_path}/t", "run1")
+    assert C.published(spark, f"{tmp_path}/t").count() == 3
