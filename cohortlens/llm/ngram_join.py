@@ -39,6 +39,8 @@ WORDS = 5
 ORDERS = 3
 #: Shingles in a block of a cell.
 BLOCK = 1_500_000
+#: Shingles that a task holds before it hands them on.
+HELD = 1_000_000
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -127,7 +129,7 @@ def _pack(words: int, bits: int):
                         sizes.append(len(s))
                         parts.append(s)
                         total += len(s)
-                        if len(parts) == 60_000 or total > 2_500_000:
+                        if len(parts) == 60_000 or total > HELD:
                             yield from flush(keys, sizes, parts)
                             keys, sizes, parts, seen, total = [], [], [], set(), 0
             yield from flush(keys, sizes, parts)
