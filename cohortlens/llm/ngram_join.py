@@ -356,5 +356,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comp = C.components(ends).withColumnRenamed("node", "key")
     least = comp.join(named, "key").groupBy("component").agg(F.min("first").alias("least"))
     of_key = comp.join(least, "component").select("key", "least")
-    whole = named.join(of_key, "key", "left").select("key", F.coalesce("least", "first").alias("of_key"))
+    # written, so that the last join has an exchange on either side and a class with very many copies is split
+    whole = C.cut(named.join(of_key, "key", "left").select("key", F.coalesce("least", "first").alias("of_key")))
     return info.join(whole, "key").select("doc_id", "n_shingles", "key", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of_key")).alias("component_id"))
