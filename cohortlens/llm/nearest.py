@@ -26,7 +26,7 @@ from . import common as C
 from .vectors import matrix, valid_vectors
 
 PROJECTED, CONFIDENCE, LEAF = 8, 0.97, 64
-ROWS, QUERIES = 16_384, 4_096
+ROWS, QUERIES = 16_384, 1_024
 
 
 def chi_square_quantile(p: float, d: int) -> float:
@@ -130,6 +130,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     r = rows.withColumn("rb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     q = asked.withColumn("qb", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
     by = ["d", "rb", "qb"]
-    found = r.groupBy(*by).cogroup(q.groupBy(*by)).applyInArrow(_search_cell(k, float(most or 0) * (1 + 1e-12), seed, confidence), "query_id long, vec_id long, score double")
+    # as many partitions as cells, so that small cells are not put together into a few tasks
+    cells = 2 * row_blocks * query_blocks
+    found = r.repartition(cells, *by).groupBy(*by).cogroup(q.repartition(cells, *by).groupBy(*by)).applyInArrow(_search_cell(k, float(most or 0) * (1 + 1e-12), seed, confidence), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
