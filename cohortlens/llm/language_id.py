@@ -155,14 +155,18 @@ def windows_of(text: bytes, most: int = WINDOWS) -> list[np.ndarray]:
 def sample_for_fit(train: DataFrame) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample; ``train`` has doc_id, lang, text. Only ids are ranked; texts follow by a join with the chosen ids."""
     # at most PER_LANGUAGE * MAX_LANGUAGES ids
-    top = train.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    ids = train.where("text IS NOT NULL").select("doc_id", "lang").join(F.broadcast(top), "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
+    texts = train.where("text IS NOT NULL")
+    top = texts.groupBy("lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "lang").limit(MAX_LANGUAGES)
+    h = F.xxhash64(F.col("doc_id"))
+    order = W.partitionBy("lang").orderBy(h, "doc_id")
+    # smallest hashes only: a language of any size sends about twice what is wanted to its ranking
+    low = h.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * PER_LANGUAGE + 100) / F.col("_all"))
+    ids = texts.select("doc_id", "lang").join(F.broadcast(top), "lang").where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
     # a window needs a few hundred characters from its place; the pieces are cut before they travel
     length, w = F.length("text"), LENGTH
     piece = lambda k: F.expr(f"substring(text, 1 + int(greatest(0, length(text) - {w}) * {k} / {WINDOWS - 1}), {w})")
-    texts = F.when(length <= 4 * w, F.array("text")).otherwise(F.array(*(piece(k) for k in range(WINDOWS))))
-    rows = train.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.explode(texts).alias("text")).collect()
+    cut = F.when(length <= 4 * w, F.array("text")).otherwise(F.array(*(piece(k) for k in range(WINDOWS))))
+    rows = train.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.explode(cut).alias("text")).collect()
     return sorted((r[0], r[1]) for r in rows)
 
 
