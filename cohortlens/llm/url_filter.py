@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common as C
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Blocks of 256 bits: 8 MB at most.
@@ -56,8 +58,8 @@ def bloom(listed: DataFrame, url_col: str, blocks: int) -> DataFrame:
 
 def is_listed(urls: DataFrame, listed: DataFrame, url_col: str = "canonical") -> DataFrame:
     """``urls`` with a boolean ``listed``: the Bloom filter first, then an exact hash join of the possible hits."""
-    spark = urls.sparkSession
-    listed = listed.select(F.col(url_col)).where(F.col(url_col).isNotNull()).distinct()
+    # written once: it is counted, hashed into the filter and joined
+    listed = C.cut(listed.select(F.col(url_col)).where(F.col(url_col).isNotNull()).distinct())
     n = listed.count()
     blocks = 64
     while blocks < MAX_BLOCKS and blocks * 256 < n * BITS_PER_URL:
