@@ -2,8 +2,8 @@
 
 1. Equal vectors form one class; a class is compared once and counts with its members.
 2. Spherical k-means, fitted on the driver on at most ``SAMPLE`` classes (those with the smallest hash), gives cells. A class
-   is at home in the cell with the largest cosine, and a guest in every cell whose boundary with it is nearer than ``MARGIN``
-   allows: linked vectors on either side of a boundary still meet.
+   is at home in the cell with the largest cosine, and a guest in every cell whose boundary with it is nearer than half the
+   threshold's chord. Linked vectors on either side of a boundary are together at most a chord from it, so one of them is a guest of the other.
 3. In a cell, home classes are compared with each other and with guests (never guests with guests), in blocks; a cell of any size is dealt out by pairs of blocks,
    so no task holds more than two blocks. Pairs that could meet in several cells count in the first of them.
    Classes close enough to their cell's centre that any two of them must link (half the threshold's angle) are joined to
@@ -28,9 +28,8 @@ from .vectors import matrix, unit, valid_vectors
 SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 1_500, 1_024, 10
 #: Home classes and guests in a block.
 BLOCK, GUESTS = 2_048, 12_288
-#: Two linked vectors on either side of a boundary are together at most a chord from it; one of them is nearer than half. A guest's
-#: margin is so many standard deviations (dimension ** -0.5) of that chord along a random direction; half the root of the dimension is exact.
-MARGIN = 1.75
+#: Slack for rounding in the distance to a boundary, which is compared with half the chord of a linked pair.
+ROUNDING = 1e-9
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
@@ -75,7 +74,7 @@ def _assign(centres: dict[int, np.ndarray], threshold: float, sizes: list[int]):
                 s = x @ c.T
                 home = s.argmax(1)
                 away = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))[home]
-                near = (s[np.arange(len(rows)), home][:, None] - s) / away <= MARGIN * chord / d**0.5
+                near = (s[np.arange(len(rows)), home][:, None] - s) / away <= chord / 2 + ROUNDING
                 near[np.arange(len(rows)), home] = False
                 half = np.cos(np.arccos(threshold) / 2) + 1e-9
                 for i, r in enumerate(rows):

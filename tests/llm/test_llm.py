@@ -434,6 +434,24 @@ def test_blocks_of_a_cell_agree(spark, vectors, monkeypatch):
     assert key(E.near_duplicate_vectors(vectors[1])) == whole
 
 
+def test_groups_on_either_side_of_a_boundary(spark, monkeypatch):
+    """Two dense groups with a cell each: the links between them lie along the boundary's normal."""
+    from cohortlens.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(4)
+    u, v = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    other = 0.92 * u + (1 - 0.92**2) ** 0.5 * v
+    x = np.concatenate([u + 0.01 * rng.normal(size=(150, 64)), other + 0.01 * rng.normal(size=(150, 64))])
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert want.min() > 150
+    monkeypatch.setattr(E, "PER_CELL", 150)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in E.near_duplicate_vectors(df).collect()}
+    assert [got[i].n_links for i in range(300)] == want.tolist()
+    assert [i for i in got if got[i].kept] == [0]
+
+
 def test_nearest_recall(spark, vectors, monkeypatch):
     from cohortlens.llm import nearest as N
     from pyspark.sql import functions as F
