@@ -330,8 +330,7 @@ def _sum_strings(part: int, t) -> list[tuple]:
             bits = bits.ravel() == 1
             one += np.bincount(slot, weights=m * bits, minlength=low)
             zero += np.bincount(slot, weights=m * ~bits, minlength=low)
-        top = np.finfo(np.float16).max
-        out.append((_STRINGS, part, 0, o, np.minimum(zero, top).astype(np.float16).tobytes(), np.minimum(one, top).astype(np.float16).tobytes(), 0, 0))
+        out.append((_STRINGS, part, 0, o, zero.astype(np.float32).tobytes(), one.astype(np.float32).tobytes(), 0, 0))
     return out
 
 
@@ -383,12 +382,12 @@ def score_texts(docs: DataFrame, parts: int = 7, rest: int = 2, id_col: str = "d
     n_train, v_train = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
     base = gathered.where(F.col("kind").isin(_WORDS, _DOCS)).groupBy("batch").applyInArrow(_by_document, "doc_id long, h long, words long, known long, logs double").dropDuplicates(["doc_id", "h"])
 
-    # tables of a fixed number of slots: at most 4 bytes for each of sum(2 ** BITS)
-    tables = {o: (np.zeros(1 << BITS[o], np.float16), np.zeros(1 << BITS[o], np.float16)) for o in ORDERS}
+    # tables of a fixed number of slots: 8 bytes for each of sum(2 ** BITS); counts have no upper bound, beyond 2 ** 24 they are rounded to 24 bits
+    tables = {o: (np.zeros(1 << BITS[o], np.float32), np.zeros(1 << BITS[o], np.float32)) for o in ORDERS}
     for r in gathered.where(F.col("kind") == _STRINGS).select("part", "place", "a", "b").toLocalIterator():
         low = 1 << (BITS[r[1]] - 6)
         for table, got in zip(tables[r[1]], (r[2], r[3])):
-            table[r[0] * low : (r[0] + 1) * low] = np.frombuffer(bytes(got), np.float16)
+            table[r[0] * low : (r[0] + 1) * low] = np.frombuffer(bytes(got), np.float32)
     model = spark.sparkContext.broadcast(learn(tables, _stream(rows.where("train"))))
     del tables
 

@@ -378,6 +378,24 @@ def test_string_probabilities_sum_to_one():
     assert np.allclose(m.lookup(every), m.log_p(every)) and np.allclose(m.lookup(every), m.log_p(every))
 
 
+def test_large_counts_keep_their_odds():
+    """Counts of zero and one far beyond 65,504 in the same slot."""
+    import pyarrow as pa
+    from cohortlens.llm import lm_scoring as L
+
+    keys = L.strings([b"ea", b"es"])[0][[1, 3]]
+    n = np.array([900_000, 2_700_000])
+    word = np.concatenate([np.repeat(k << np.uint64(16) | np.uint64(L._MOST), m // L._MOST) for k, m in zip(keys, n)] + [keys << np.uint64(16) | (n % L._MOST).astype(np.uint64)])
+    part = int(L._context(keys[:1], 1)[0] >> np.uint64(58))
+    (row,) = L._sum_strings(part, pa.table({"a": pa.array([word.tobytes()], pa.binary()), "place": [1]}))
+    low = 1 << (L.BITS[1] - 6)
+    zero, one = (np.frombuffer(b, np.uint8).view(f"f{len(b) // low}").astype(float) for b in row[4:6])
+    slot = L._slots(keys[:1], 1)[0][0] & (low - 1)
+    first, second = slot[0], slot[3]
+    assert (zero[first], one[first]) == (3_600_000, 0)
+    assert (zero[second], one[second]) == (900_000, 2_700_000)
+
+
 # ---- 3 and 4 ----
 
 
