@@ -6,8 +6,9 @@ counts of byte strings, which tasks gather and one shuffle sums. Tables have a f
 
 *Mixing.* The predictors' log odds are added with weights; the weight set is chosen by a gate: the bit's place and how much
 the two longest contexts have been seen. The probability is then refined by an adaptive map over (bits seen, odds). Weights and map are
-learned online, bit after bit, on a bounded stream from training texts (``LANES`` lanes of ``STREAM`` bytes), each bit predicted from counts
-without itself. They are frozen for scoring, so that a score doesn't depend on which task met which text first; the
+learned in two steps, each bit predicted from counts without itself: a start, bit after bit, on ``LANES`` lanes of ``STREAM``
+bytes; then every task goes on from there over all bytes of its training texts, as counted strings in small batches, and the
+tasks' results are averaged in the order of the tasks, by the bytes and bits each has met. They are frozen for scoring, so that a score doesn't depend on which task met which text first; the
 model's log probability of a byte then depends on the ``max(ORDERS)`` bytes before it only, and is worked out once per distinct string.
 
 *Base.* Word counts of the training texts are needed at every word of every text. Words go to hash ranges, eight bytes each
@@ -37,6 +38,8 @@ BITS, RANGES = {1: 16, 2: 19, 3: 20, 4: 21, 5: 22, WORD: 22}, 64
 #: Contexts whose counts choose the weights.
 GATED = (5, 3)
 LANES, STREAM = 256, 1024
+#: Distinct strings that a task counts before it learns from them, strings of a batch, and the longest step of a batch along its mean gradient.
+COUNTED, BATCH, STEP = 500_000, 8_192, 0.02
 GATES, STEPS = 8 * 4 * 4, 33
 PRIOR, CLIP, RATE, MAP_RATE = 0.2, 8.0, 0.0005, 0.02
 #: Distinct strings that a task counts before it hands them on.
@@ -159,7 +162,18 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 def learn(tables: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes]) -> Mixer:
-    """Weights and map, learned online on the lanes side by side; then the tables as log odds."""
+    """Tables of zero and one counts as log odds, with weights and map from the lanes."""
+    return begin({o: log_odds(*both) for o, both in tables.items()}, few(tables), lanes)
+
+
+def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In sixteenths, from full counts."""
+    zero, one = zero.astype(np.float32), one.astype(np.float32)
+    return np.clip(np.round(np.log((one + PRIOR) / (zero + PRIOR)) * 16), -127, 127).astype(np.int8)
+
+
+def begin(odds: dict[int, np.ndarray], counts: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes]) -> Mixer:
+    """Weights and map, learned online on the lanes side by side; ``counts`` as of ``few``."""
     weights = np.full((GATES, len(ORDERS) + 1), 0.2)
     refine = np.broadcast_to(1 / (1 + np.exp(-np.linspace(-CLIP, CLIP, STEPS))), (256, STEPS)).copy()
     lanes = [t for t in lanes if t]
@@ -174,14 +188,11 @@ def learn(tables: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes])
         gate = np.broadcast_to(np.arange(8, dtype=np.int16) * 16, (len(flat), 8)).copy()
         for i, o in enumerate(ORDERS):
             slot, bits = _slots(flat, o)
-            zero, one = (a[slot].astype(np.float32) for a in tables[o])
-            del slot
-            # without the bit itself
-            np.maximum(one - (bits == 1), 0, out=one)
-            np.maximum(zero - (bits == 0), 0, out=zero)
-            x[..., i] = np.clip(np.log((one + PRIOR) / (zero + PRIOR)), -CLIP, CLIP - 1 / 16)
+            zero, one = (a[slot] for a in counts[o])
+            x[..., i] = _without(odds[o][slot], zero, one, bits)
             if o in GATED:
-                gate += (_level(one + zero) * (4 if o == GATED[0] else 1)).astype(np.int16)
+                gate += (_seen_before(zero, one) * (4 if o == GATED[0] else 1)).astype(np.int16)
+            del slot, zero, one
         node, bits = _nodes(flat).astype(np.int16), bits.astype(np.int8)
         x, gate, node, bits = (a.reshape(len(lanes), steps, *a.shape[1:]) for a in (x, gate, node, bits))
         for t in range(steps):
@@ -200,14 +211,101 @@ def learn(tables: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes])
                 at = np.nonzero(held)
                 refine[at] += err[at] * (1 - (1 - MAP_RATE) ** held[at]) / held[at]
         refine = np.clip(refine, 1e-5, 1 - 1e-5)
-    odds, seen = {}, {}
-    for o, (zero, one) in tables.items():
-        zero, one = zero.astype(np.float32), one.astype(np.float32)
-        odds[o] = np.clip(np.round(np.log((one + PRIOR) / (zero + PRIOR)) * 16), -127, 127).astype(np.int8)
-        seen[o] = _level(zero + one).astype(np.int8) if o in GATED else np.zeros(1, np.int8)
+    seen = {o: _level(counts[o][0].astype(np.int16) + counts[o][1]).astype(np.int8) if o in GATED else np.zeros(1, np.int8) for o in odds}
     return Mixer(odds, seen, weights, refine)
 
 
+def few(tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Counts up to 255: where there are more, one bit less changes the odds by less than the step in which they are kept."""
+    return {o: tuple(np.minimum(a, 255).astype(np.uint8) for a in both) for o, both in tables.items()}
+
+
+#: Change of the log odds of a bit when one of so many equal bits is taken away.
+_LESS = np.append(np.log((np.maximum(np.arange(255) - 1, 0) + PRIOR) / (np.arange(255) + PRIOR)), 0.0).astype(np.float32)
+
+
+def _without(odds: np.ndarray, zero: np.ndarray, one: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Log odds from counts without the bit itself."""
+    less = _LESS[np.where(bits == 1, one, zero)]
+    return np.clip(odds / np.float32(16) + np.where(bits == 1, less, -less), -CLIP, CLIP - 1 / 16)
+
+
+def _seen_before(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return _level(np.maximum(zero.astype(np.int16) + one - 1, 0))
+
+
+class Learner:
+    """Goes on with a model's weights and map over counted strings of the training texts."""
+
+    def __init__(self, model: Mixer, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.model, self.counts, self.n = model, counts, 0
+        self.weights, self.refine = model.weights.copy(), model.refine.copy()
+        self.met = np.zeros_like(self.refine)
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(C.mix(keys), kind="stable")
+        for at in range(0, len(keys), BATCH):
+            some = order[at : at + BATCH]
+            self._batch(keys[some], n[some].astype(np.float64))
+        self.n += int(n.sum())
+
+    def _batch(self, keys: np.ndarray, n: np.ndarray) -> None:
+        x = np.empty((len(keys), 8, len(ORDERS) + 1))
+        x[..., -1] = 0.3
+        gate = np.broadcast_to(np.arange(8) * 16, (len(keys), 8)).copy()
+        for i, o in enumerate(ORDERS):
+            slot, bits = _slots(keys, o)
+            zero, one = (a[slot] for a in self.counts[o])
+            x[..., i] = _without(self.model.odds[o][slot], zero, one, bits)
+            if o in GATED:
+                gate += _seen_before(zero, one) * (4 if o == GATED[0] else 1)
+        x, g, y, c, m = x.reshape(-1, x.shape[-1]), gate.ravel(), bits.ravel(), _nodes(keys).ravel(), np.repeat(n, 8)
+        _, p, low, part = _refined(np.clip((x * self.weights[g]).sum(1), -CLIP, CLIP), self.refine, c)
+        held = np.bincount(g, m, GATES)
+        slope = np.stack([np.bincount(g, m * (y - p) * x[:, i], GATES) for i in range(x.shape[1])], 1)
+        self.weights += slope * (np.minimum(RATE * held, STEP) / np.maximum(held, 1))[:, None]
+        err, held = np.zeros(self.refine.size), np.zeros(self.refine.size)
+        for k, share in ((low, m * (1 - part)), (low + 1, m * part)):
+            cell = c * STEPS + k
+            held += np.bincount(cell, share, len(held))
+            err += np.bincount(cell, share * (y - self.refine.ravel()[cell]), len(err))
+        self.met += held.reshape(self.met.shape)
+        # a mean over all bits met, begun with the start's value
+        self.refine += err.reshape(self.met.shape) / (self.met + 1 / MAP_RATE)
+
+
+def averaged(start: Mixer, passes) -> Mixer:
+    """The start's tables with the mean of (n, weights, refine, met): weights by bytes, the map by the bits that met a cell."""
+    n, weights, refine, met = 0, np.zeros_like(start.weights), np.zeros_like(start.refine), np.zeros_like(start.refine)
+    for k, w, r, m in passes:
+        n, weights, refine, met = n + k, weights + k * w, refine + m * r, met + m
+    if not n:
+        return start
+    refine = np.where(met > 0, refine / np.maximum(met, 1e-300), start.refine)
+    return Mixer(start.odds, start.seen, weights / n, np.clip(refine, 1e-5, 1 - 1e-5))
+
+
+def _learn_from(shared):
+    """Of each task: its number and what it learned from all of its texts."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        learner, held = Learner(*shared.value), (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        for b in batches:
+            for _, texts in C.text_chunks(b.column(0)):
+                new = _count(strings(texts)[0])
+                held = _count(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+                if len(held[0]) > COUNTED:
+                    learner.add(*held)
+                    held = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        learner.add(*held)
+        if learner.n:
+            yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": [learner.n], **{k: [getattr(learner, k).tobytes()] for k in ("weights", "refine", "met")}})
+
+    return run
+
+
 # ---- what tasks gather ----
 
 _GATHERED = "kind int, part int, batch long, place int, a binary, b binary, n long, v long"
@@ -334,11 +432,20 @@ def _sum_strings(part: int, t) -> list[tuple]:
     return out
 
 
+def _as_odds(rows: list[tuple]) -> list[tuple]:
+    """Slots as log odds of their full counts, and the few counts: three bytes a slot."""
+    out = []
+    for kind, part, batch, o, *both, n, v in rows:
+        zero, one = (np.frombuffer(a, np.float32) for a in both)
+        out.append((kind, part, batch, o, log_odds(zero, one).tobytes(), b"".join(a.tobytes() for a in few({o: (zero, one)})[o]), n, v))
+    return out
+
+
 def _reduce(key, t):
     kind, part = key[0].as_py(), key[1].as_py()
     if kind == _DOCS:
         return t
-    rows = _sum_words(t) if kind == _WORDS else _sum_strings(part, t)
+    rows = _sum_words(t) if kind == _WORDS else _as_odds(_sum_strings(part, t))
     return pa.Table.from_batches([_batch(rows)])
 
 
@@ -382,14 +489,23 @@ def score_texts(docs: DataFrame, parts: int = 7, rest: int = 2, id_col: str = "d
     n_train, v_train = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
     base = gathered.where(F.col("kind").isin(_WORDS, _DOCS)).groupBy("batch").applyInArrow(_by_document, "doc_id long, h long, words long, known long, logs double").dropDuplicates(["doc_id", "h"])
 
-    # tables of a fixed number of slots: 8 bytes for each of sum(2 ** BITS); counts have no upper bound, beyond 2 ** 24 they are rounded to 24 bits
-    tables = {o: (np.zeros(1 << BITS[o], np.float32), np.zeros(1 << BITS[o], np.float32)) for o in ORDERS}
-    for r in gathered.where(F.col("kind") == _STRINGS).select("part", "place", "a", "b").toLocalIterator():
-        low = 1 << (BITS[r[1]] - 6)
-        for table, got in zip(tables[r[1]], (r[2], r[3])):
-            table[r[0] * low : (r[0] + 1) * low] = np.frombuffer(bytes(got), np.float32)
-    model = spark.sparkContext.broadcast(learn(tables, _stream(rows.where("train"))))
-    del tables
+    # tables of a fixed number of slots: 3 bytes for each of sum(2 ** BITS), formed from full counts
+    odds = {o: np.zeros(1 << BITS[o], np.int8) for o in ORDERS}
+    counts = {o: (np.zeros(1 << BITS[o], np.uint8), np.zeros(1 << BITS[o], np.uint8)) for o in ORDERS}
+    for part, o, a, b in gathered.where(F.col("kind") == _STRINGS).select("part", "place", "a", "b").toLocalIterator():
+        low = 1 << (BITS[o] - 6)
+        at = slice(part * low, (part + 1) * low)
+        odds[o][at] = np.frombuffer(bytes(a), np.int8)
+        counts[o][0][at], counts[o][1][at] = np.frombuffer(bytes(b), np.uint8).reshape(2, low)
+    start = begin(odds, counts, _stream(rows.where("train")))
+    shared = spark.sparkContext.broadcast((start, counts))
+    # rows of the checkpoint come back in the order of the tasks
+    passes = C.cut(rows.where("train").select("text").mapInArrow(_learn_from(shared), "task int, n long, weights binary, refine binary, met binary"))
+    arrays = lambda r: (r[1], *(np.frombuffer(bytes(a)).reshape(like.shape) for a, like in zip(r[2:], (start.weights, start.refine, start.refine))))
+    final = averaged(start, (arrays(r) for r in passes.toLocalIterator()))
+    shared.destroy()
+    del counts
+    model = spark.sparkContext.broadcast(final)
 
     def run(batches):
         m = model.value

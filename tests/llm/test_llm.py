@@ -396,6 +396,24 @@ def test_large_counts_keep_their_odds():
     assert (zero[second], one[second]) == (900_000, 2_700_000)
 
 
+def test_all_training_texts_reach_the_mixer(spark, monkeypatch):
+    """Bytes met by the mixer are those of the training texts, whatever the stream of the start."""
+    from cohortlens.llm import lm_scoring as L
+
+    rng = random.Random(3)
+    texts = [(i, prose("en", 80, rng)) for i in range(300)]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    seen, real = [], L.averaged
+    monkeypatch.setattr(L, "averaged", lambda start, passes: seen.append((start, list(passes))) or seen.append(real(start, seen[0][1])) or seen[1])
+    monkeypatch.setattr(L, "LANES", 4)
+    L.score_texts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    (start, passes), model = seen
+    assert sum(p[0] for p in passes) == sum(len(t.encode()) for t in train)
+    assert sum(p[3].sum() for p in passes) == pytest.approx(8 * sum(len(t.encode()) for t in train))
+    keys, n = L._count(L.strings([t.encode() for i, t in texts if zlib.crc32(str(i).encode()) % 7 == 2])[0])
+    assert -(n * model.log_p(keys)).sum() < -(n * start.log_p(keys)).sum()
+
+
 # ---- 3 and 4 ----
 
 
