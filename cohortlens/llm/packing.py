@@ -2,7 +2,9 @@
 
 Documents longer than a bin are cut into pieces of the bin's size and a remainder; nothing is dropped. Pieces
 are dealt by hash into shards of about ``SHARD`` pieces (a source or cluster with a third of all rows is spread like any other),
-and each shard packs by best fit, longest first, ties by id and piece.
+and each shard packs by best fit, longest first, ties by id and piece. Where documents have an order, shards are runs of
+it with about the same number of documents, and the bins of a shard are numbered by their first document: read by pack_id,
+the documents of the first shards are those that come first.
 
 Open bins stand in order of residual, in arrays with two 64-bit bitmaps each: sources at their quota, and
 duplicate clusters inside. The search starts at the successor of the piece's size, and goes on until the tightest bin whose bitmaps
@@ -108,6 +110,13 @@ def _pack_shard(capacity: int, quota: int):
     def run(key, t):
         t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         local = pack(t["size"].to_pylist(), t["source"].to_pylist(), t["cluster"].to_pylist(), capacity, quota)
+        if "place" in t.column_names:
+            first = np.full(max(local) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(first, local, np.array(t["place"]))
+            # bins that start with pieces of the same document keep their order
+            number = np.empty(len(first), np.int64)
+            number[np.argsort(first, kind="stable")] = np.arange(len(first))
+            local = number[local].tolist()
         slot, seen = [], Counter()
         for b in local:
             slot.append(seen[b])
@@ -124,15 +133,18 @@ def text_cluster(text: Column) -> Column:
     return F.when(F.length(plain) > 0, F.xxhash64(plain))
 
 
-def pack_documents(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, quota: int = QUOTA, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(pack_id, slot, doc_id, piece, start, size, source): one row per piece; characters [start, start + size) of the text."""
+def pack_documents(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, quota: int = QUOTA, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", place: Column | None = None) -> DataFrame:
+    """(pack_id, slot, doc_id, piece, start, size, source): one row per piece; characters [start, start + size) of the text.
+
+    ``place`` numbers the documents from 0 in an order that the bins follow.
+    """
     text = docs[text_col].cast("string")
     length = F.coalesce(F.length(text), F.lit(0)).cast("long")
-    slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), (text_cluster(text) if cluster is None else cluster).alias("cluster"), length.alias("length"))
+    slim = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), (text_cluster(text) if cluster is None else cluster).alias("cluster"), length.alias("length"), *([] if place is None else [place.cast("long").alias("place")]))
     pieces = slim.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.expr(f"(length - 1) div {capacity}")).cast("long"))))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("start"))).drop("length")
-    n = docs.select(F.greatest(F.lit(1), F.ceil(length / capacity)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    n, rows = docs.select(F.greatest(F.lit(1), F.ceil(length / capacity)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-n // SHARD))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)) if place is None else F.expr(f"place * {shards} div {max(1, rows)}"))
     kind = dealt.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, quota), f"pack_id long, slot int, doc_id {kind}, piece long, start long, size long, source string")

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from cohortlens.llm import common as C
 from cohortlens.llm.language_id import fit, identify_languages
@@ -49,8 +50,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of documents and pieces of documents."""
-    return pack_documents(docs)
+    """Bins of documents and pieces of documents, in the order of the files and of the rows within them: that of the mix."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    except AnalysisException:
+        # rows that come from no file have no order
+        return pack_documents(docs)
+    files = rows.groupBy("_file").count()
+    before = files.select("_file", F.coalesce(F.sum("count").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = rows.join(F.broadcast(before), "_file")
+    return pack_documents(placed, place=F.col("_before") + F.col("_index"))
 
 
 STAGES = [("language_id", known_language), ("ngram_jaccard_join", one_of_each_group), ("mix_sources", mixed), ("pack", packed)]

@@ -544,3 +544,25 @@ def test_pipeline(spark, docs, rows, empty, tmp_path):
     assert {r.doc_id for r in out} <= kept
     for _, f in pipeline.STAGES:
         assert f(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_bins_follow_the_mix(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from cohortlens.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD", 60)
+    sizes = {"a": 600, "b": 200, "c": 100}
+    rows = [(i, f"text {i}", "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    stage = dict(pipeline.STAGES)
+    stage["mix_sources"](spark, spark.createDataFrame(rows, DOCS), "").write.parquet(f"{tmp_path}/mixed")
+    out = stage["pack"](spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert sorted(r.doc_id for r in out) == list(range(900))
+    total, seen, n = sum(v**0.5 for v in sizes.values()), Counter(), 0
+    for shard in sorted({r.pack_id >> 32 for r in out}):
+        part = [r.source for r in out if r.pack_id >> 32 == shard]
+        seen.update(part)
+        n += len(part)
+        if n <= 450:  # all sources last
+            # a block, and the part of the one that is begun
+            assert all(abs(seen[s] - n * v**0.5 / total) < 32 for s, v in sizes.items())
+    assert n == 900
