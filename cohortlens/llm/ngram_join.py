@@ -2,7 +2,8 @@
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles. Documents with the same
 set form one class; classes link when 100 * |intersection| >= 80 * |union|. The result has one row
-per document and a component id; a link between different sets is never lost.
+per document and a component id; no two components that a link joins stay apart. It returns components only: neither
+the number of links of a document nor linked pairs, since links within a hub's component are not all verified.
 
 How the work is split:
 
