@@ -2,7 +2,9 @@
 
 *Predictors.* For each context in ``ORDERS`` (the last bytes, A-Z lower-cased, or those of the word so far), its bytes and the bits seen of the next byte name a slot
 of a hashed table with the counts of zero and one bits there. The counts cover every training text: they follow exactly from
-counts of byte strings, which tasks gather and one shuffle sums. Tables have a fixed number of slots.
+counts of byte strings, which tasks gather and one shuffle sums. The context's hash names a range; each range of an order has
+as many slots as its own distinct strings ask for, so that tables grow with the corpus, up to ``MOST_BITS`` in all ranges together
+(the model is sent to every task); beyond that contexts share slots.
 
 *Mixing.* The predictors' log odds are added with weights; the weight set is chosen by a gate: the bit's place and how much
 the two longest contexts have been seen. The probability is then refined by an adaptive map over (bits seen, odds). Weights and map are
@@ -11,9 +13,13 @@ bytes; then every task goes on from there over all bytes of its training texts,
 tasks' results are averaged in the order of the tasks, by the bytes and bits each has met. They are frozen for scoring, so that a score doesn't depend on which task met which text first; the
 model's log probability of a byte then depends on the ``max(ORDERS)`` bytes before it only, and is worked out once per distinct string.
 
-*Base.* Word counts of the training texts are needed at every word of every text. Words go to hash ranges, eight bytes each
-(hash and place of the document in its batch); a range counts its words and returns one sum per document and batch.
-No vocabulary is held anywhere as a whole.
+*Base.* Words are counted by every task, summed by hash range, and the words that make up at least one of ``FREQUENT`` occurrences
+(so at most ``FREQUENT`` words) are sent to every task. Scoring resolves these where they stand; all other words go to hash ranges,
+eight bytes each (hash and place of the document in its batch). A range counts its words and returns one sum per document and batch.
+No vocabulary is held anywhere as a whole, and no frequent word is a hot group.
+
+Batches are named by their task and number; a task that runs again must read the same rows, as it does from files. Cut the
+lineage of a shuffled input first (``common.cut``).
 
 Null texts are empty: a probability of 1 and the end token only. Repeated rows are scored each, and count each in training.
 A null doc_id is treated as the text ''. With nothing to learn from, all predictors say one half.
@@ -33,17 +39,21 @@ from .language_id import held_out_by_crc
 #: Numbers of bytes; WORD stands for the bytes of the word so far, as far as the longest context shows them.
 WORD = 0
 ORDERS = (1, 2, 3, 4, 5, WORD)
-#: Slots of each context's table, as powers of two, and the ranges that tasks sum.
-BITS, RANGES = {1: 16, 2: 19, 3: 20, 4: 21, 5: 22, WORD: 22}, 64
+#: Most slots of each context's table, as powers of two: 70 MB at three bytes a slot. Slots that a range has for each of its strings.
+MOST_BITS, PER_STRING = {1: 16, 2: 20, 3: 21, 4: 22, 5: 23, WORD: 23}, 16
 #: Contexts whose counts choose the weights.
-GATED = (5, 3)
+GATED = (4, WORD)
+#: A word with one of so many occurrences is counted where it stands.
+FREQUENT = 50_000
 LANES, STREAM = 256, 1024
 #: Distinct strings that a task counts before it learns from them, strings of a batch, and the longest step of a batch along its mean gradient.
 COUNTED, BATCH, STEP = 500_000, 8_192, 0.02
 GATES, STEPS = 8 * 4 * 4, 33
-PRIOR, CLIP, RATE, MAP_RATE = 0.2, 8.0, 0.0005, 0.02
+PRIOR, CLIP, RATE, MAP_RATE = 0.08, 8.0, 0.0005, 0.02
 #: Distinct strings that a task counts before it hands them on.
 HELD = 3_000_000
+#: The same for words.
+HELD_WORDS = 1_000_000
 _PAD = max(ORDERS)
 #: A counted string travels as one word: the string above, its number below; larger numbers travel in parts.
 _MOST = 0xFFFF
@@ -90,15 +100,34 @@ def _context(keys: np.ndarray, order: int) -> np.ndarray:
     return C.mix((_within(keys, order) & np.uint64((1 << 8 * _PAD) - 1)) * np.uint64(8) + np.uint64(order))
 
 
-def _slots(keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each of the eight bits of the last byte, the bits), shaped (n, 8)."""
+class Layout:
+    """Where the slots of every order's ranges lie: ranges by the top bits of the context's hash, each with a power of two of slots."""
+
+    def __init__(self, bits: int, low: dict[int, np.ndarray]):
+        """``low``: of each order, the bits of every range's slots."""
+        self.bits = bits
+        self.mask = {o: (np.uint64(1) << b.astype(np.uint64)) - np.uint64(1) for o, b in low.items()}
+        ends = {o: np.cumsum(np.int64(1) << b.astype(np.int64)) for o, b in low.items()}
+        self.first = {o: np.concatenate([[0], e[:-1]]) for o, e in ends.items()}
+        self.size = {o: int(e[-1]) for o, e in ends.items()}
+
+    def slots(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of each of the eight bits of the last byte, the bits), shaped (n, 8)."""
+        h = _context(keys, order)
+        part = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        inside, bits = _in_range(keys, h, self.mask[order][part])
+        return self.first[order][part][:, None] + inside, bits
+
+
+def _in_range(keys: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     byte = (keys >> np.uint64(8 * _PAD)).astype(np.int64)
-    h = _context(keys, order)
-    low = BITS[order] - 6
     node = (np.int64(1) << np.arange(8)) | (byte[:, None] >> (8 - np.arange(8)))
-    within = C.mix(h[:, None] + node.astype(np.uint64) * C.GOLDEN) & np.uint64((1 << low) - 1)
-    slot = ((h >> np.uint64(58)) << np.uint64(low))[:, None] | within
-    return slot.astype(np.int64), (byte[:, None] >> (7 - np.arange(8))) & 1
+    return (C.mix(h[:, None] + node.astype(np.uint64) * C.GOLDEN) & mask[:, None]).astype(np.int64), (byte[:, None] >> (7 - np.arange(8))) & 1
+
+
+def low_bits(order: int, strings_in_range: int, bits: int) -> int:
+    """Bits of the slots of a range that holds so many distinct strings."""
+    return max(0, min(MOST_BITS[order] - bits, math.ceil(math.log2(max(1, PER_STRING * strings_in_range)))))
 
 
 def _nodes(keys: np.ndarray) -> np.ndarray:
@@ -109,8 +138,8 @@ def _nodes(keys: np.ndarray) -> np.ndarray:
 class Mixer:
     """Frozen model: log probability of the last byte of a string."""
 
-    def __init__(self, odds: dict[int, np.ndarray], seen: dict[int, np.ndarray], weights: np.ndarray, refine: np.ndarray):
-        self.odds, self.seen, self.weights, self.refine = odds, seen, weights, refine
+    def __init__(self, layout: Layout, odds: dict[int, np.ndarray], seen: dict[int, np.ndarray], weights: np.ndarray, refine: np.ndarray):
+        self.layout, self.odds, self.seen, self.weights, self.refine = layout, odds, seen, weights, refine
         self._keys = self._values = None
 
     def log_p(self, keys: np.ndarray) -> np.ndarray:
@@ -122,7 +151,7 @@ class Mixer:
             x[..., -1] = 0.3
             gate = np.broadcast_to(np.arange(8) * 16, (len(k), 8)).copy()
             for i, o in enumerate(ORDERS):
-                slot, bits = _slots(k, o)
+                slot, bits = self.layout.slots(k, o)
                 x[..., i] = self.odds[o][slot] / 16.0
                 if o in GATED:
                     gate += self.seen[o][slot] * (4 if o == GATED[0] else 1)
@@ -161,9 +190,9 @@ def _level(n: np.ndarray) -> np.ndarray:
     return np.searchsorted([1, 4, 32], n, side="right")
 
 
-def learn(tables: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes]) -> Mixer:
+def learn(layout: Layout, tables: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes]) -> Mixer:
     """Tables of zero and one counts as log odds, with weights and map from the lanes."""
-    return begin({o: log_odds(*both) for o, both in tables.items()}, few(tables), lanes)
+    return begin(layout, {o: log_odds(*both) for o, both in tables.items()}, few(tables), lanes)
 
 
 def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -172,7 +201,7 @@ def log_odds(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.clip(np.round(np.log((one + PRIOR) / (zero + PRIOR)) * 16), -127, 127).astype(np.int8)
 
 
-def begin(odds: dict[int, np.ndarray], counts: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes]) -> Mixer:
+def begin(layout: Layout, odds: dict[int, np.ndarray], counts: dict[int, tuple[np.ndarray, np.ndarray]], lanes: list[bytes]) -> Mixer:
     """Weights and map, learned online on the lanes side by side; ``counts`` as of ``few``."""
     weights = np.full((GATES, len(ORDERS) + 1), 0.2)
     refine = np.broadcast_to(1 / (1 + np.exp(-np.linspace(-CLIP, CLIP, STEPS))), (256, STEPS)).copy()
@@ -187,7 +216,7 @@ def begin(odds: dict[int, np.ndarray], counts: dict[int, tuple[np.ndarray, np.nd
         x = np.full((len(flat), 8, len(ORDERS) + 1), 0.3, np.float32)
         gate = np.broadcast_to(np.arange(8, dtype=np.int16) * 16, (len(flat), 8)).copy()
         for i, o in enumerate(ORDERS):
-            slot, bits = _slots(flat, o)
+            slot, bits = layout.slots(flat, o)
             zero, one = (a[slot] for a in counts[o])
             x[..., i] = _without(odds[o][slot], zero, one, bits)
             if o in GATED:
@@ -212,7 +241,7 @@ def begin(odds: dict[int, np.ndarray], counts: dict[int, tuple[np.ndarray, np.nd
                 refine[at] += err[at] * (1 - (1 - MAP_RATE) ** held[at]) / held[at]
         refine = np.clip(refine, 1e-5, 1 - 1e-5)
     seen = {o: _level(counts[o][0].astype(np.int16) + counts[o][1]).astype(np.int8) if o in GATED else np.zeros(1, np.int8) for o in odds}
-    return Mixer(odds, seen, weights, refine)
+    return Mixer(layout, odds, seen, weights, refine)
 
 
 def few(tables: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -254,7 +283,7 @@ class Learner:
         x[..., -1] = 0.3
         gate = np.broadcast_to(np.arange(8) * 16, (len(keys), 8)).copy()
         for i, o in enumerate(ORDERS):
-            slot, bits = _slots(keys, o)
+            slot, bits = self.model.layout.slots(keys, o)
             zero, one = (a[slot] for a in self.counts[o])
             x[..., i] = _without(self.model.odds[o][slot], zero, one, bits)
             if o in GATED:
@@ -282,7 +311,7 @@ def averaged(start: Mixer, passes) -> Mixer:
     if not n:
         return start
     refine = np.where(met > 0, refine / np.maximum(met, 1e-300), start.refine)
-    return Mixer(start.odds, start.seen, weights / n, np.clip(refine, 1e-5, 1 - 1e-5))
+    return Mixer(start.layout, start.odds, start.seen, weights / n, np.clip(refine, 1e-5, 1 - 1e-5))
 
 
 def _learn_from(shared):
@@ -308,109 +337,82 @@ def _learn_from(shared):
 
 # ---- what tasks gather ----
 
-_GATHERED = "kind int, part int, batch long, place int, a binary, b binary, n long, v long"
-_WORDS, _STRINGS, _DOCS, _TOTAL = range(4)
+_GATHERED = "kind int, part int, place int, a binary, b binary, n long, v long"
+_SCORED = "kind int, part int, batch long, a binary, b binary"
+_WORDS, _STRINGS, _DOCS = range(3)
+_DOC = np.dtype([("id", "<i8"), ("known_id", "?"), ("words", "<i8"), ("n_bytes", "<i8"), ("ln_p", "<f8"), ("logs", "<f8"), ("known", "<i8")])
+_COUNTED_WORD = np.dtype([("h", "<u8"), ("all", "<i8"), ("train", "<i8")])
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def _summed(words: np.ndarray) -> np.ndarray:
+    """Counted words, each once."""
+    h, which = np.unique(words["h"], return_inverse=True)
+    out = np.zeros(len(h), _COUNTED_WORD)
+    out["h"] = h
+    for k in ("all", "train"):
+        # whole numbers below 2 ** 53
+        out[k] = np.bincount(which, words[k], len(h)).astype(np.int64)
+    return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    names = ["kind", "part", "batch", "place", "a", "b", "n", "v"]
-    cols = list(zip(*rows)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+def _ranges(h: np.ndarray, bits: int):
+    """(range, places in it) of hashes, by their top bits."""
+    which = (h >> np.uint64(64 - bits)).astype(np.uint16)
+    order = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[order], np.arange((1 << bits) + 1))
+    for k in range(1 << bits):
+        if ends[k] < ends[k + 1]:
+            yield k, order[ends[k] : ends[k + 1]]
 
 
 def _gather(bits: int):
-    """From (doc_id, text hash, train, text): words by range, counted strings by range and order, the documents of each batch."""
-
-    def words(batch, ids, hashes, train, sizes, parts):
-        h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        which = (h >> np.uint64(64 - bits)).astype(np.uint16)
-        order = np.argsort(which, kind="stable")
-        word = (((h << np.uint64(bits)) & ~np.uint64(0xFFFF)) | row)[order]
-        ends = np.searchsorted(which[order], np.arange((1 << bits) + 1))
-        flags = np.array(train, np.uint8).tobytes()
-        for k in range(1 << bits):
-            if ends[k] < ends[k + 1]:
-                yield (_WORDS, k, batch, 0, word[ends[k] : ends[k + 1]].tobytes(), flags, 0, 0)
-        known = np.array([i is not None for i in ids], np.uint8)
-        table = np.array([i or 0 for i in ids], np.int64).tobytes() + np.array(hashes, np.int64).tobytes()
-        yield (_DOCS, int(batch % (1 << bits)), batch, 0, table, np.array(sizes, np.int64).tobytes() + known.tobytes(), int(sum(train)), 0)
+    """From (train, text): counted words by range, counted strings of the training texts by range and order, training texts."""
+
+    def words(held):
+        for k, at in _ranges(held["h"], bits):
+            yield (_WORDS, k, 0, held[at].tobytes(), None, 0, 0)
 
     def grams(keys, n):
         for o in ORDERS:
             k, m = _count(_within(keys, o), n) if o < _PAD else (keys, n)
-            part = (_context(k, o) >> np.uint64(58)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            k, m, ends = k[order], m[order], np.searchsorted(part[order], np.arange(RANGES + 1))
-            for r in range(RANGES):
-                if ends[r] < ends[r + 1]:
-                    key, n_of = k[ends[r] : ends[r + 1]] << np.uint64(16), m[ends[r] : ends[r + 1]].astype(np.int64)
-                    both = np.concatenate([np.repeat(key, n_of // _MOST) | np.uint64(_MOST), (key | (n_of % _MOST).astype(np.uint64))[n_of % _MOST > 0]])
-                    yield (_STRINGS, r, 0, o, both.tobytes(), b"", 0, 0)
+            for r, at in _ranges(_context(k, o), bits):
+                key, n_of = k[at] << np.uint64(16), m[at].astype(np.int64)
+                both = np.concatenate([np.repeat(key, n_of // _MOST) | np.uint64(_MOST), (key | (n_of % _MOST).astype(np.uint64))[n_of % _MOST > 0]])
+                yield (_STRINGS, r, o, both.tobytes(), None, 0, 0)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        task, made = TaskContext.get().partitionId(), 0
-        ids, hashes, train, sizes, parts, total, held = [], [], [], [], [], 0, (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        met, held, docs = np.zeros(0, _COUNTED_WORD), nothing, 0
         for b in batches:
-            of_id, of_hash, of_train = (b.column(i).to_pylist() for i in range(3))
-            for first, texts in C.text_chunks(b.column(3)):
+            of_train = b.column(0).to_numpy(zero_copy_only=False)
+            docs += int(of_train.sum())
+            for first, texts in C.text_chunks(b.column(1)):
+                train = of_train[first : first + len(texts)]
                 h, n = C.word_hashes(texts)
-                last = first + len(texts)
-                keys, _ = strings([t for t, on in zip(texts, of_train[first:last]) if on])
-                new = _count(keys)
+                new = np.zeros(len(h), _COUNTED_WORD)
+                new["h"], new["all"], new["train"] = h, 1, np.repeat(train, n)
+                met = _summed(np.concatenate([met, _summed(new)]))
+                new = _count(strings([t for t, on in zip(texts, train) if on])[0])
                 held = _count(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+                if len(met) > HELD_WORDS:
+                    yield _batch(_GATHERED, list(words(met)))
+                    met = met[:0]
                 if len(held[0]) > HELD:
-                    yield _batch(list(grams(*held)))
-                    held = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-                for at in range(0, len(texts), 30_000):
-                    upto = min(len(texts), at + 30_000)
-                    ids += of_id[first + at : first + upto]
-                    hashes += of_hash[first + at : first + upto]
-                    train += of_train[first + at : first + upto]
-                    sizes += n[at:upto].tolist()
-                    parts.append(h[n[:at].sum() : n[:upto].sum()])
-                    total += len(parts[-1])
-                    if total > 1_500_000 or len(ids) > 30_000:
-                        # the same name whenever this task runs again
-                        yield _batch(list(words((task << 32) + made, ids, hashes, train, sizes, parts)))
-                        made += 1
-                        ids, hashes, train, sizes, parts, total = [], [], [], [], [], 0
-        if ids:
-            yield _batch(list(words((task << 32) + made, ids, hashes, train, sizes, parts)))
-        if len(held[0]):
-            yield _batch(list(grams(*held)))
+                    yield _batch(_GATHERED, list(grams(*held)))
+                    held = nothing
+        yield _batch(_GATHERED, [(_DOCS, 0, 0, None, None, docs, 0), *words(met), *grams(*held)])
 
     return run
 
 
-def _sum_words(t) -> list[tuple]:
-    """Of one range: per batch the sums of log10(count + 1) and the known words of its documents; and the range's totals."""
-    word, source, flags = [], [], []
-    for i, (a, b) in enumerate(zip(t["a"], t["b"])):
-        w = np.frombuffer(a.as_buffer(), np.uint64)
-        word.append(w)
-        source.append(np.full(len(w), i, np.int32))
-        flags.append(np.frombuffer(b.as_buffer(), np.uint8))
-    word, source = np.concatenate(word), np.concatenate(source)
-    sizes = np.array([len(f) for f in flags])
-    offset = np.concatenate([[0], np.cumsum(sizes)])
-    place = offset[source] + (word & np.uint64(0xFFFF)).astype(np.int64)
-    h = word & ~np.uint64(0xFFFF)
-    order = np.argsort(h)
-    h, place = h[order], place[order]
-    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    c = np.add.reduceat(np.concatenate(flags)[place].astype(np.int64), head)
-    each = np.repeat(c, np.diff(np.append(head, len(h))))
-    logs = np.bincount(place, weights=np.log10(each + 1.0), minlength=offset[-1])
-    known = np.bincount(place, weights=each > 0, minlength=offset[-1]).astype(np.int32)
-    out = [(_WORDS, 0, b, 0, logs[offset[i] : offset[i + 1]].tobytes(), known[offset[i] : offset[i + 1]].tobytes(), 0, 0) for i, b in enumerate(t["batch"].to_pylist())]
-    return [*out, (_TOTAL, 0, 0, 0, None, None, int(c.sum()), int((c > 0).sum()))]
-
-
-def _sum_strings(part: int, t) -> list[tuple]:
+def _sum_strings(part: int, t, bits: int) -> list[tuple]:
     """Of one range: its slots of every order's table, as zero and one counts."""
     out = []
     for o in ORDERS:
@@ -419,51 +421,158 @@ def _sum_strings(part: int, t) -> list[tuple]:
             continue
         both = np.concatenate(both)
         keys, n = _count(both >> np.uint64(16), both & np.uint64(_MOST))
-        low = 1 << (BITS[o] - 6)
-        zero, one = np.zeros(low), np.zeros(low)
+        size = 1 << low_bits(o, len(keys), bits)
+        zero, one = np.zeros(size), np.zeros(size)
         for at in range(0, len(keys), 200_000):
             k, m = keys[at : at + 200_000], n[at : at + 200_000].astype(np.float64)
-            slot, bits = _slots(k, o)
-            slot, m = (slot & (low - 1)).ravel(), np.repeat(m, 8)
-            bits = bits.ravel() == 1
-            one += np.bincount(slot, weights=m * bits, minlength=low)
-            zero += np.bincount(slot, weights=m * ~bits, minlength=low)
-        out.append((_STRINGS, part, 0, o, zero.astype(np.float32).tobytes(), one.astype(np.float32).tobytes(), 0, 0))
+            slot, bit = _in_range(k, _context(k, o), np.full(len(k), size - 1, np.uint64))
+            slot, m, bit = slot.ravel(), np.repeat(m, 8), bit.ravel() == 1
+            one += np.bincount(slot, m * bit, size)
+            zero += np.bincount(slot, m * ~bit, size)
+        out.append((_STRINGS, part, o, zero.astype(np.float32).tobytes(), one.astype(np.float32).tobytes(), 0, 0))
     return out
 
 
 def _as_odds(rows: list[tuple]) -> list[tuple]:
     """Slots as log odds of their full counts, and the few counts: three bytes a slot."""
     out = []
-    for kind, part, batch, o, *both, n, v in rows:
+    for kind, part, o, *both, n, v in rows:
         zero, one = (np.frombuffer(a, np.float32) for a in both)
-        out.append((kind, part, batch, o, log_odds(zero, one).tobytes(), b"".join(a.tobytes() for a in few({o: (zero, one)})[o]), n, v))
+        out.append((kind, part, o, log_odds(zero, one).tobytes(), b"".join(a.tobytes() for a in few({o: (zero, one)})[o]), n, v))
     return out
 
 
-def _reduce(key, t):
-    kind, part = key[0].as_py(), key[1].as_py()
-    if kind == _DOCS:
+def _reduce(bits: int):
+    def run(key, t):
+        kind, part = key[0].as_py(), key[1].as_py()
+        if kind == _DOCS:
+            return pa.Table.from_batches([_batch(_GATHERED, [(_DOCS, 0, 0, None, None, sum(t["n"].to_pylist()), 0)])])
+        if kind == _WORDS:
+            words = _summed(np.concatenate([np.frombuffer(a.as_buffer(), _COUNTED_WORD) for a in t["a"]]))
+            rows = [(_WORDS, part, 0, words.tobytes(), None, int(words["train"].sum()), int((words["train"] > 0).sum()))]
+        else:
+            rows = _as_odds(_sum_strings(part, t, bits))
+        return pa.Table.from_batches([_batch(_GATHERED, rows)])
+
+    return run
+
+
+def _occurrences(batches):
+    """Of each range of words, the occurrences in all texts."""
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"n": pa.array([int(np.frombuffer(a.as_buffer(), _COUNTED_WORD)["all"].sum()) for a in b.column(0)], pa.int64())})
+
+
+def _frequent(least: float):
+    """The words with at least so many occurrences, with their occurrences in training."""
+
+    def run(batches):
+        for b in batches:
+            words = [w[w["all"] >= least] for w in (np.frombuffer(a.as_buffer(), _COUNTED_WORD) for a in b.column(0))]
+            words = np.concatenate(words) if words else np.zeros(0, _COUNTED_WORD)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(words["h"].view(np.int64)), "train": pa.array(words["train"])})
+
+    return run
+
+
+def _score(shared, bits: int):
+    """From (doc_id, train, text): the documents of each batch, with their score and the sums of their frequent words; the other words by range."""
+
+    def pack(batch, docs, words, rows, train):
+        known = np.array([d[0] is not None for d in docs], bool)
+        table = np.zeros(len(docs), _DOC)
+        table["id"], table["known_id"] = [d[0] or 0 for d in docs], known
+        for k, name in enumerate(("words", "n_bytes", "ln_p", "logs", "known"), 1):
+            table[name] = [d[k] for d in docs]
+        yield (_DOCS, int(batch % (1 << bits)), batch, table.tobytes(), None)
+        words, rows = np.concatenate(words), np.concatenate(rows)
+        flags = np.array(train, np.uint8).tobytes()
+        word = ((words << np.uint64(bits)) & ~np.uint64(0xFFFF)) | rows.astype(np.uint64)
+        for k, at in _ranges(words, bits):
+            yield (_WORDS, k, batch, word[at].tobytes(), flags)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        model, often, logs_of, known_of = shared.value
+        task, made = TaskContext.get().partitionId(), 0
+        docs, words, rows, train, total = [], [], [], [], 0
+        for b in batches:
+            of_id, of_train = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for first, texts in C.text_chunks(b.column(2), 1_000_000):
+                keys, size = strings(texts)
+                ln_p = _sum_by(model.lookup(keys), size)
+                h, n = C.word_hashes(texts)
+                at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
+                hit = often[at] == h if len(often) else np.zeros(len(h), bool)
+                logs, known = np.zeros(len(h)), np.zeros(len(h), np.int64)
+                if len(often):
+                    logs[hit], known[hit] = logs_of[at[hit]], known_of[at[hit]]
+                logs, known = _sum_by(logs, n), _sum_by(known, n)
+                row = np.repeat(np.arange(len(texts)), n)
+                for low in range(0, len(texts), 30_000):
+                    high = min(len(texts), low + 30_000)
+                    mine = ~hit & (row >= low) & (row < high)
+                    words.append(h[mine])
+                    rows.append(row[mine] - low + len(docs))
+                    docs += zip(of_id[first + low : first + high], *(a[low:high].tolist() for a in (n, size, ln_p, logs, known)))
+                    train += of_train[first + low : first + high]
+                    total += len(words[-1])
+                    if total > 1_500_000 or len(docs) > 30_000:
+                        # the same name whenever this task runs again
+                        yield _batch(_SCORED, list(pack((task << 32) + made, docs, words, rows, train)))
+                        made += 1
+                        docs, words, rows, train, total = [], [], [], [], 0
+        if docs:
+            yield _batch(_SCORED, list(pack((task << 32) + made, docs, words, rows, train)))
+
+    return run
+
+
+def _sum_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of values."""
+    out = np.zeros(len(sizes), values.dtype)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def _sum_words(key, t):
+    """Of one range: per batch the sums of log10(count + 1) and the known words of its documents."""
+    if key[0].as_py() == _DOCS:
         return t
-    rows = _sum_words(t) if kind == _WORDS else _as_odds(_sum_strings(part, t))
-    return pa.Table.from_batches([_batch(rows)])
+    word, source, flags = [], [], []
+    for i, (a, b) in enumerate(zip(t["a"], t["b"])):
+        w = np.frombuffer(a.as_buffer(), np.uint64)
+        word.append(w)
+        source.append(np.full(len(w), i, np.int32))
+        flags.append(np.frombuffer(b.as_buffer(), np.uint8))
+    word, source = np.concatenate(word), np.concatenate(source)
+    sizes = np.array([len(f) for f in flags])
+    offset = np.concatenate([[0], np.cumsum(sizes)])
+    place = offset[source] + (word & np.uint64(0xFFFF)).astype(np.int64)
+    h = word & ~np.uint64(0xFFFF)
+    order = np.argsort(h)
+    h, place = h[order], place[order]
+    head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    c = np.add.reduceat(np.concatenate(flags)[place].astype(np.int64), head)
+    each = np.repeat(c, np.diff(np.append(head, len(h))))
+    logs = np.bincount(place, weights=np.log10(each + 1.0), minlength=offset[-1])
+    known = np.bincount(place, weights=each > 0, minlength=offset[-1]).astype(np.int32)
+    return pa.Table.from_batches([_batch(_SCORED, [(_WORDS, key[1].as_py(), b, logs[offset[i] : offset[i + 1]].tobytes(), known[offset[i] : offset[i + 1]].tobytes()) for i, b in enumerate(t["batch"].to_pylist())])])
 
 
 def _by_document(key, t):
     """Of one batch: its documents with the sums over all ranges."""
-    ids = hashes = sizes = known_id = logs = known = None
-    for kind, a, b in zip(t["kind"].to_pylist(), t["a"], t["b"]):
-        if kind == _DOCS:
-            both = np.frombuffer(a.as_buffer(), np.int64)
-            n = len(both) // 2
-            ids, hashes, raw = both[:n], both[n:], b.as_buffer().to_pybytes()
-            sizes, known_id = np.frombuffer(raw[: 8 * n], np.int64), np.frombuffer(raw[8 * n :], np.uint8)
-    logs, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    for kind, part, a, b in sorted(zip(t["kind"].to_pylist(), t["part"].to_pylist(), t["a"], t["b"]), key=lambda x: x[:2]):
+    rows = sorted(zip(t["kind"].to_pylist(), t["part"].to_pylist(), t["a"], t["b"]), key=lambda x: x[:2])
+    docs = next(np.frombuffer(a.as_buffer(), _DOC) for kind, _, a, _ in rows if kind == _DOCS)
+    logs, known = docs["logs"].copy(), docs["known"].copy()
+    for kind, _, a, b in rows:
         if kind == _WORDS:
             logs += np.frombuffer(a.as_buffer(), np.float64)
             known += np.frombuffer(b.as_buffer(), np.int32)
-    return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known_id == 0), "h": pa.array(hashes), "words": pa.array(sizes), "known": pa.array(known), "logs": pa.array(logs)})
+    return pa.table({"doc_id": pa.array(docs["id"], pa.int64(), mask=~docs["known_id"]), "words": docs["words"], "n_bytes": docs["n_bytes"], "ln_p": docs["ln_p"], "known": known, "logs": logs})
 
 
 def _stream(train: DataFrame) -> list[bytes]:
@@ -480,24 +589,32 @@ def score_texts(docs: DataFrame, parts: int = 7, rest: int = 2, id_col: str = "d
     C.shared_dir(spark)
     held_out = held_out_by_crc(docs[id_col], parts, rest)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), (~held_out).alias("train"), text.alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), (~held_out).alias("train"), text.alias("text"))
     bits = max(4, min(12, math.ceil(math.log2(2 * C.partitions(spark)))))
-    gathered = C.cut(rows.mapInArrow(_gather(bits), _GATHERED).groupBy("kind", "part").applyInArrow(_reduce, _GATHERED))
-
-    total = gathered.where(F.col("kind").isin(_TOTAL, _DOCS)).agg(F.sum(F.when(F.col("kind") == _TOTAL, F.col("n"))), F.sum("v"), F.sum(F.when(F.col("kind") == _DOCS, F.col("n")))).first()
-    ends = total[2] or 0
-    n_train, v_train = (total[0] or 0) + ends, (total[1] or 0) + (ends > 0)
-    base = gathered.where(F.col("kind").isin(_WORDS, _DOCS)).groupBy("batch").applyInArrow(_by_document, "doc_id long, h long, words long, known long, logs double").dropDuplicates(["doc_id", "h"])
-
-    # tables of a fixed number of slots: 3 bytes for each of sum(2 ** BITS), formed from full counts
-    odds = {o: np.zeros(1 << BITS[o], np.int8) for o in ORDERS}
-    counts = {o: (np.zeros(1 << BITS[o], np.uint8), np.zeros(1 << BITS[o], np.uint8)) for o in ORDERS}
-    for part, o, a, b in gathered.where(F.col("kind") == _STRINGS).select("part", "place", "a", "b").toLocalIterator():
-        low = 1 << (BITS[o] - 6)
-        at = slice(part * low, (part + 1) * low)
+    gathered = C.cut(rows.select("train", "text").mapInArrow(_gather(bits), _GATHERED).groupBy("kind", "part").applyInArrow(_reduce(bits), _GATHERED))
+
+    words = gathered.where(F.col("kind") == _WORDS)
+    ends = gathered.where(F.col("kind") == _DOCS).agg(F.sum("n")).first()[0] or 0
+    n_train, v_train = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
+    n_train, v_train = n_train + ends, v_train + (ends > 0)
+    n_all = words.select("a").mapInArrow(_occurrences, "n long").agg(F.sum("n")).first()[0] or 0
+    # at most FREQUENT words
+    often = sorted((r[0] & 0xFFFFFFFFFFFFFFFF, r[1]) for r in words.select("a").mapInArrow(_frequent(max(1, n_all / FREQUENT)), "h long, train long").toLocalIterator())
+    frequent = np.array([x[0] for x in often], np.uint64), np.log10(np.array([x[1] for x in often], float) + 1), np.array([x[1] > 0 for x in often], np.int64)
+
+    # tables of a bounded number of slots: 3 bytes for each of at most sum(2 ** MOST_BITS), formed from full counts
+    tables = gathered.where(F.col("kind") == _STRINGS).select("part", "place", "a", "b")
+    low = {o: np.zeros(1 << bits, np.int64) for o in ORDERS}
+    for part, o, size in tables.select("part", "place", F.length("a")).toLocalIterator():
+        low[o][part] = size.bit_length() - 1
+    layout = Layout(bits, low)
+    odds = {o: np.zeros(layout.size[o], np.int8) for o in ORDERS}
+    counts = {o: (np.zeros(layout.size[o], np.uint8), np.zeros(layout.size[o], np.uint8)) for o in ORDERS}
+    for part, o, a, b in tables.toLocalIterator():
+        at = slice(layout.first[o][part], layout.first[o][part] + len(a))
         odds[o][at] = np.frombuffer(bytes(a), np.int8)
-        counts[o][0][at], counts[o][1][at] = np.frombuffer(bytes(b), np.uint8).reshape(2, low)
-    start = begin(odds, counts, _stream(rows.where("train")))
+        counts[o][0][at], counts[o][1][at] = np.frombuffer(bytes(b), np.uint8).reshape(2, -1)
+    start = begin(layout, odds, counts, _stream(rows.where("train")))
     shared = spark.sparkContext.broadcast((start, counts))
     # rows of the checkpoint come back in the order of the tasks
     passes = C.cut(rows.where("train").select("text").mapInArrow(_learn_from(shared), "task int, n long, weights binary, refine binary, met binary"))
@@ -505,34 +622,18 @@ def score_texts(docs: DataFrame, parts: int = 7, rest: int = 2, id_col: str = "d
     final = averaged(start, (arrays(r) for r in passes.toLocalIterator()))
     shared.destroy()
     del counts
-    model = spark.sparkContext.broadcast(final)
-
-    def run(batches):
-        m = model.value
-        for b in batches:
-            out, size = [], []
-            for _, texts in C.text_chunks(b.column(2), 1_000_000):
-                keys, n = strings(texts)
-                run_sum = np.concatenate([[0.0], m.lookup(keys)])
-                at = np.cumsum(n) - n
-                got = np.zeros(len(n))
-                some = n > 0
-                got[some] = np.add.reduceat(run_sum[1:], at[some]) if some.any() else 0
-                out.append(got)
-                size.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(out) if out else np.zeros(0)), pa.array(np.concatenate(size) if size else np.zeros(0, np.int64))], names=["doc_id", "h", "ln_p", "n_bytes"])
-
-    scored = rows.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, ln_p double, n_bytes long").alias("s")
-    w = base.alias("w")
-    joined = scored.join(w, F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.h") == F.col("w.h")))
-    tokens, score = F.col("words") + 1, F.col("ln_p") / math.log(10)
-    return joined.select(
-        F.col("s.doc_id").alias("doc_id"),
-        held_out_by_crc(F.col("s.doc_id"), parts, rest).alias("held_out"),
+    model = spark.sparkContext.broadcast((final, *frequent))
+
+    scored = rows.mapInArrow(_score(model, bits), _SCORED).groupBy("kind", "part").applyInArrow(_sum_words, _SCORED)
+    found = scored.groupBy("batch").applyInArrow(_by_document, "doc_id long, words long, n_bytes long, ln_p double, known long, logs double")
+    tokens = F.col("words") + 1
+    return found.select(
+        "doc_id",
+        held_out_by_crc(F.col("doc_id"), parts, rest).alias("held_out"),
         tokens.alias("n_tokens"),
         (F.col("known") + int(ends > 0)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("logs") + math.log10(ends + 1) - tokens * math.log10(n_train + v_train + 1)).alias("base_score"),
-        score.alias("score"),
+        (F.col("ln_p") / math.log(10)).alias("score"),
         F.when(F.col("n_bytes") > 0, -F.col("ln_p") / math.log(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )

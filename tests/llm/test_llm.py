@@ -359,41 +359,117 @@ def test_base_scores_and_counts(docs, rows, empty):
     assert score_texts(empty).collect() == []
 
 
-def test_string_probabilities_sum_to_one():
+def counted_tables(texts, times=1):
+    """(layout, zero and one counts) of texts by the operator's own pieces."""
+    import pyarrow as pa
     from cohortlens.llm import lm_scoring as L
 
-    texts = [b"the cat sat on the mat " * 20, b"a dog"]
+    bits, got = 4, []
     keys, n = L._count(L.strings(texts)[0])
-    tables = {}
     for o in L.ORDERS:
-        zero, one = np.zeros(1 << L.BITS[o]), np.zeros(1 << L.BITS[o])
-        slot, bits = L._slots(keys, o)
-        np.add.at(one, slot[bits == 1], np.repeat(n, 8).reshape(-1, 8)[bits == 1])
-        np.add.at(zero, slot[bits == 0], np.repeat(n, 8).reshape(-1, 8)[bits == 0])
-        tables[o] = zero.astype(np.float16), one.astype(np.float16)
-    m = L.learn(tables, texts)
+        k, m = L._count(L._within(keys, o), n)
+        for r, at in L._ranges(L._context(k, o), bits):
+            m_of = m[at].astype(np.int64) * times
+            word = np.concatenate([np.repeat(k[at] << np.uint64(16), m_of // L._MOST) | np.uint64(L._MOST), (k[at] << np.uint64(16)) | (m_of % L._MOST).astype(np.uint64)])
+            got += L._sum_strings(r, pa.table({"a": pa.array([word.tobytes()], pa.binary()), "place": [o]}), bits)
+    low = {o: np.zeros(1 << bits, np.int64) for o in L.ORDERS}
+    for _, part, o, zero, *_ in got:
+        low[o][part] = (len(zero) // 4).bit_length() - 1
+    layout = L.Layout(bits, low)
+    tables = {o: (np.zeros(layout.size[o], np.float32), np.zeros(layout.size[o], np.float32)) for o in L.ORDERS}
+    for _, part, o, zero, one, *_ in got:
+        at = slice(layout.first[o][part], layout.first[o][part] + len(zero) // 4)
+        tables[o][0][at], tables[o][1][at] = np.frombuffer(zero, np.float32), np.frombuffer(one, np.float32)
+    return layout, tables
+
+
+def test_string_probabilities_sum_to_one():
+    from cohortlens.llm import lm_scoring as L
+
+    texts = [b"the cat sat on the mat " * 20, b"a dog"]
+    m = L.learn(*counted_tables(texts), texts)
     ctx = np.uint64(int.from_bytes(b"e mat", "little"))
     every = ctx | (np.arange(256, dtype=np.uint64) << np.uint64(8 * L._PAD))
     assert np.exp(m.log_p(every)).sum() == pytest.approx(1, abs=1e-6)
     assert np.allclose(m.lookup(every), m.log_p(every)) and np.allclose(m.lookup(every), m.log_p(every))
 
 
+def test_counts_are_those_of_all_contexts():
+    """Zero and one counts of every context and bit against a dictionary."""
+    from cohortlens.llm import lm_scoring as L
+
+    rng = random.Random(2)
+    texts = [prose(lang, 200, rng).encode() for lang in SYLLABLES]
+    layout, tables = counted_tables(texts)
+    keys, _ = L.strings(texts)
+    for o in (2, 4):
+        want = Counter()
+        for t in texts:
+            padded = bytes(o) + t.lower()
+            for i in range(len(t)):
+                for b in range(8):
+                    want[padded[i : i + o], b, padded[i + o] >> (8 - b), (padded[i + o] >> (7 - b)) & 1] += 1
+        slot, bits = layout.slots(keys, o)
+        assert tables[o][0].sum() + tables[o][1].sum() == 8 * len(keys)
+        i, alone = 0, 0
+        for t in texts:
+            padded = bytes(o) + t.lower()
+            for j in range(len(t)):
+                for b in range(8):
+                    have = tables[o][int(bits[i, b])][slot[i, b]]
+                    known = want[padded[j : j + o], b, padded[j + o] >> (8 - b), int(bits[i, b])]
+                    assert have >= known
+                    alone += have == known
+                i += 1
+        # slots are shared by few
+        assert alone > 0.7 * 8 * len(keys)
+
+
+def test_tables_grow_with_the_strings():
+    from cohortlens.llm import lm_scoring as L
+
+    rng = random.Random(4)
+    size = lambda n: counted_tables([bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=n))])[0].size[5]
+    assert size(4000) > 2 * size(400) and L.low_bits(5, 10**9, 6) == L.MOST_BITS[5] - 6
+
+
+@pytest.mark.parametrize("times", [100, 10_000])
+def test_more_of_the_same_keeps_the_score(times):
+    """All counts times 100 or 10,000: bits per byte of an unseen text stay within 0.02 of each other."""
+    from cohortlens.llm import lm_scoring as L
+
+    rng = random.Random(6)
+    texts = [prose("en", 150, rng).encode() for _ in range(60)]
+    unseen = prose("en", 400, rng).encode()
+    keys, n = L._count(L.strings([unseen])[0])
+    got = []
+    for k in (100, 100 * times):
+        m = L.learn(*counted_tables(texts, k), texts[:4])
+        got.append(-(n * m.log_p(keys)).sum() / math.log(2) / len(unseen))
+    # what is kept of a slot is its odds, so only bits never seen change
+    assert got[1] == pytest.approx(got[0], abs=0.02)
+
+
 def test_large_counts_keep_their_odds():
     """Counts of zero and one far beyond 65,504 in the same slot."""
-    import pyarrow as pa
     from cohortlens.llm import lm_scoring as L
 
-    keys = L.strings([b"ea", b"es"])[0][[1, 3]]
-    n = np.array([900_000, 2_700_000])
-    word = np.concatenate([np.repeat(k << np.uint64(16) | np.uint64(L._MOST), m // L._MOST) for k, m in zip(keys, n)] + [keys << np.uint64(16) | (n % L._MOST).astype(np.uint64)])
-    part = int(L._context(keys[:1], 1)[0] >> np.uint64(58))
-    (row,) = L._sum_strings(part, pa.table({"a": pa.array([word.tobytes()], pa.binary()), "place": [1]}))
-    low = 1 << (L.BITS[1] - 6)
-    zero, one = (np.frombuffer(b, np.uint8).view(f"f{len(b) // low}").astype(float) for b in row[4:6])
-    slot = L._slots(keys[:1], 1)[0][0] & (low - 1)
-    first, second = slot[0], slot[3]
-    assert (zero[first], one[first]) == (3_600_000, 0)
-    assert (zero[second], one[second]) == (900_000, 2_700_000)
+    texts = [b"ea"] * 9 + [b"es"] * 27
+    layout, tables = counted_tables(texts, 100_000)
+    slot = layout.slots(L.strings([b"ea"])[0][1:], 1)[0][0]
+    zero, one = tables[1]
+    assert (zero[slot[0]], one[slot[0]]) == (3_600_000, 0)
+    assert (zero[slot[3]], one[slot[3]]) == (900_000, 2_700_000)
+
+
+def test_frequent_words_stand_where_they_are(spark, docs, monkeypatch):
+    """Base scores are the same whether words are resolved in place or by range."""
+    from cohortlens.llm import lm_scoring as L
+
+    key = lambda: sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in L.score_texts(docs).collect())
+    want = key()
+    monkeypatch.setattr(L, "FREQUENT", 5)
+    assert key() == want
 
 
 def test_all_training_texts_reach_the_mixer(spark, monkeypatch):
