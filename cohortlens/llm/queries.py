@@ -9,21 +9,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import common as C
 
 
+#: Target weights of the query, by the number at the end of a source's name modulo five; a name without one has none and comes last.
+TARGETS = [40, 25, 10, 5, 1]
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
-    mixed = mix_sources(C.table(spark, sf_dir, "documents", "doc_id", "source"))
+    docs = C.table(spark, sf_dir, "documents", "doc_id", "source")
+    number = F.regexp_extract("source", "([0-9]+)$", 1).try_cast("long")
+    weights = docs.select("source").distinct().select("source", F.element_at(F.array(*map(F.lit, TARGETS)), (number % len(TARGETS) + 1).cast("int")).alias("weight"))
+    mixed = mix_sources(docs, weights.where("weight IS NOT NULL"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "block", "slot", "position", "on_target")
 
 
+#: One source after the other in every slot, without the classes of equal weights.
 OP1_SQL = """
 WITH RECURSIVE src AS (SELECT coalesce(source, '') AS source, count(*) AS n FROM documents GROUP BY 1),
-t AS (SELECT source, n, CAST(round(sqrt(n) * 1000) AS BIGINT) AS w FROM src),
-u AS (SELECT *, CAST(sum(w) OVER () AS BIGINT) AS total, count(*) OVER () AS k, greatest(1000, 2 * count(*) OVER ()) AS d FROM t),
-q AS (SELECT *, 1 + (w * (d - k)) // total AS base, (w * (d - k)) % total AS rest FROM u),
-z AS (SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source) <= d - CAST(sum(base) OVER () AS BIGINT) THEN 1 ELSE 0 END AS c,
-  row_number() OVER (ORDER BY source) - 1 AS i FROM q),
-arr AS (SELECT list(c ORDER BY i) AS c, any_value(d) AS d, any_value(k) AS k FROM z),
+t AS (SELECT source, n, CAST([40, 25, 10, 5, 1][1 + TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 5] AS BIGINT) AS w FROM src),
+g AS (SELECT list_reduce(list(w), lambda a, b: gcd(a, b)) AS unit FROM t WHERE w > 0),
+z AS (SELECT source, n, CAST(w / unit AS BIGINT) AS c, row_number() OVER (ORDER BY w DESC, source) - 1 AS i, CAST(sum(CAST(w / unit AS BIGINT)) OVER () AS BIGINT) AS d FROM t, g WHERE w > 0),
+arr AS (SELECT list(c ORDER BY i) AS c, any_value(d) AS d, count(*) AS k FROM z),
 s AS (
   SELECT CAST(0 AS BIGINT) AS t, list_transform(c, lambda x: CAST(0 AS BIGINT)) AS done, CAST(-1 AS BIGINT) AS pick, c, d, k FROM arr
   UNION ALL
@@ -33,10 +39,12 @@ s AS (
     FROM s WHERE t < d)),
 plan AS (SELECT z.source, z.c, z.d, s.t - 1 AS slot, row_number() OVER (PARTITION BY z.source ORDER BY s.t) - 1 AS turn FROM s JOIN z ON z.i = s.pick),
 r AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM documents),
-ends AS (SELECT min((((n // 16) // plan.c) * plan.d + slot) * 16 + n % 16) AS e FROM z JOIN plan ON plan.source = z.source AND plan.turn = (n // 16) % z.c)
-SELECT doc_id, r.source, rank // 16 AS block, ((rank // 16) // c) * d + slot AS slot, (((rank // 16) // c) * d + slot) * 16 + rank % 16 AS position,
-  (((rank // 16) // c) * d + slot) * 16 + rank % 16 < e AS on_target
-FROM r JOIN plan ON plan.source = r.src AND plan.turn = (rank // 16) % plan.c, ends
+ends AS (SELECT coalesce((SELECT max(((n - 1) // 16 // plan.c) * plan.d + slot) + 1 FROM z JOIN plan ON plan.source = z.source AND plan.turn = ((n - 1) // 16) % z.c), 0) AS slots,
+  (SELECT min((((n // 16) // plan.c) * plan.d + slot) * 16 + n % 16) FROM z JOIN plan ON plan.source = z.source AND plan.turn = (n // 16) % z.c) AS e),
+late AS (SELECT source, CAST(coalesce(sum((n + 15) // 16) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS skip FROM t WHERE w IS NULL),
+p AS (SELECT doc_id, r.source, rank, plan.source IS NOT NULL AS on_plan, CASE WHEN plan.source IS NULL THEN ends.slots + skip + rank // 16 ELSE ((rank // 16) // plan.c) * plan.d + plan.slot END AS slot
+  FROM r LEFT JOIN z ON z.source = r.src LEFT JOIN plan ON plan.source = r.src AND plan.turn = (rank // 16) % z.c LEFT JOIN late ON late.source = r.src, ends)
+SELECT doc_id, source, rank // 16 AS block, slot, slot * 16 + rank % 16 AS position, coalesce(on_plan AND slot * 16 + rank % 16 < e, false) AS on_target FROM p, ends
 """
 
 

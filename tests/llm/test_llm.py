@@ -211,7 +211,7 @@ def test_assembly_of_incomplete_captures(spark):
 def test_mix_keeps_rows_and_shares(spark, docs, rows, empty):
     from cohortlens.llm.mixing import mix_sources
 
-    got = mix_sources(clash(docs), block_rows=4, slots=50).collect()
+    got = mix_sources(clash(docs), block_rows=4).collect()
     assert Counter(r.row.doc_id for r in got) == Counter(r[0] for r in rows)
     assert len({r.position for r in got}) == len(got)
     plan = {r.mix_source: r for r in got}
@@ -219,17 +219,72 @@ def test_mix_keeps_rows_and_shares(spark, docs, rows, empty):
     assert mix_sources(empty).collect() == []
 
 
+#: (source, weight): large and small weights, equal ones, one unit and none.
+WEIGHTS = [("a", 700), ("b", 200), ("c", 50), ("d", 33), ("e", 1), ("f", 0), ("g", 50), ("h", -3)]
+
+
 def test_schedule_deviates_by_less_than_a_block(spark):
-    from cohortlens.llm.mixing import schedule, slots_of
+    """From the weights themselves, after every slot of three periods, every block within its release and deadline."""
+    from cohortlens.llm.mixing import schedule
 
-    w = spark.createDataFrame([("a", 700), ("b", 200), ("c", 50), ("d", 33), ("e", 1), ("f", 0)], "source string, weight long")
-    rows = schedule(slots_of(w, 120)).collect()
-    d, c = rows[0].d, {r.source: r.c for r in rows}
-    assert sum(c.values()) == d == len(rows) and min(c.values()) >= 1
+    rows = sorted(schedule(spark.createDataFrame(WEIGHTS, "source string, weight long")).collect(), key=lambda r: r.slot)
+    weights = {s: w for s, w in WEIGHTS if w > 0}
+    total = sum(weights.values())
+    assert [r.slot for r in rows] == list(range(total)) and rows[0].d == total and {r.source for r in rows} == set(weights)
     got = Counter()
-    for at, r in enumerate(sorted(rows, key=lambda r: r.slot), 1):
-        got[r.source] += 1
-        assert all(abs(got[s] - c[s] * at / d) < 1 for s in c)
+    for k in range(3):
+        for r in rows:
+            j, at = got[r.source] + 1, k * total + r.slot
+            assert (j - 1) * total // weights[r.source] <= at < -(-j * total // weights[r.source]) and (k or r.turn == j - 1)
+            got[r.source] = j
+            assert all(abs(got[s] * total - w * (at + 1)) < total for s, w in weights.items())
+    # a common factor shortens the period and changes nothing
+    short = schedule(spark.createDataFrame([("x", 60), ("y", 30), ("z", 10)], "source string, weight long")).collect()
+    assert Counter(r.source for r in short) == {"x": 6, "y": 3, "z": 1}
+
+
+def test_schedule_is_earliest_deadline_first(spark):
+    """Slot by slot against a plain simulation."""
+    from cohortlens.llm.mixing import schedule
+
+    rng = random.Random(8)
+    weights = {f"s{i:03}": rng.choice([1, 2, 3, 7, 40, 100]) for i in range(60)}
+    rows = sorted(schedule(spark.createDataFrame(list(weights.items()), "source string, weight long")).collect(), key=lambda r: r.slot)
+    total, done = sum(weights.values()), Counter()
+    for t in range(total):
+        ready = [(-(-(done[s] + 1) * total // w), -w, s) for s, w in weights.items() if done[s] * total // w <= t]
+        assert rows[t].source == min(ready)[2]
+        done[min(ready)[2]] += 1
+
+
+def test_mix_to_unequal_weights(spark):
+    """A hot source, unequal weights, sources without rows or weight: shares hold at every prefix up to the first source that runs out."""
+    from cohortlens.llm.mixing import mix_sources
+
+    sizes = {"a": 2000, "b": 700, "c": 150, "d": 120, "e": 30, "f": 50, "no weight": 10}
+    rows = [(i, "t", "en", s, 0) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    rows += [rows[0]] * 3
+    got = sorted(mix_sources(spark.createDataFrame(rows, DOCS), spark.createDataFrame(WEIGHTS, "source string, weight long"), block_rows=2).collect(), key=lambda r: r.position)
+    assert len(got) == len(rows) == len({r.position for r in got})
+    weights = {s: w for s, w in WEIGHTS if w > 0 and s in sizes}
+    seen, n = Counter(), 0
+    for r in got:
+        if r.on_target:
+            assert r.position == n
+            n += 1
+            seen[r.mix_source] += 1
+            # a block, and the part of the one that is begun
+            assert all(abs(seen[s] - w * n / sum(weights.values())) < 4 for s, w in weights.items())
+    assert n > 700 and [r.mix_source for r in got[-60:]] == ["f"] * 50 + ["no weight"] * 10 and not any(r.on_target for r in got[-60:])
+    none = mix_sources(spark.createDataFrame(rows, DOCS), spark.createDataFrame([], "source string, weight long")).collect()
+    assert len({r.position for r in none}) == len(rows) and not any(r.on_target for r in none)
+
+
+def test_too_long_a_period_is_refused(spark):
+    from cohortlens.llm.mixing import schedule
+
+    with pytest.raises(Exception, match="period"):
+        schedule(spark.createDataFrame([("a", 10**9), ("b", 1)], "source string, weight long")).collect()
 
 
 # ---- 6 ----
