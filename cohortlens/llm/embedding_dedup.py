@@ -26,6 +26,8 @@ from . import common as C
 from .vectors import matrix, unit, valid_vectors
 
 SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 1_500, 1_024, 10
+#: Vector lengths that get cells of their own, the most frequent first; vectors of any other length share one cell, cut into blocks like all.
+LENGTHS = 16
 #: Home classes and guests in a block.
 BLOCK, GUESTS = 2_048, 12_288
 #: Slack for rounding in the distance to a boundary, which is compared with half the chord of a linked pair.
@@ -66,9 +68,9 @@ def _assign(centres: dict[int, np.ndarray], threshold: float, sizes: list[int]):
                 rows = np.flatnonzero(lens == d)
                 c = centres.get(int(d))
                 if c is None:
-                    # no sample of this length: one cell of its own
+                    # no sample of this length: one cell, home of all
                     for r in rows:
-                        cells[r] = [(int(d) << 32) - 1]
+                        cells[r] = [int(d) << 32]
                     continue
                 x = unit(matrix(v.take(pa.array(rows))))
                 s = x @ c.T
@@ -166,13 +168,17 @@ def _compare(threshold: float):
     return run
 
 
+def _hashes(v, name: str) -> list:
+    return [F.xxhash64(v).alias(f"{name}0"), F.xxhash64(F.lit(1), v).alias(f"{name}1")]
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     C.shared_dir(vectors.sparkSession)
     good = valid_vectors(vectors, id_col, vector_col)
     # a class is named by its smallest id, or by a hash where no member has one
     classes = C.cut(good.groupBy("v").agg(F.coalesce(F.min("id"), F.xxhash64("v")).alias("id"), F.min("id").alias("least"), F.count("*").alias("members")))
-    kinds = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().orderBy(F.desc("count")).limit(16).collect()}
+    kinds = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().orderBy(F.desc("count"), F.col("size(v)")).limit(LENGTHS).collect()}
     centres = {}
     for d, n in kinds.items():
         rows = classes.where(F.size("v") == d).select("v").orderBy(F.xxhash64("v")).limit(SAMPLE)
@@ -196,8 +202,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     comp = C.components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = comp.join(classes.select(F.col("id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("least"))
     of_class = comp.join(named, "component").select(F.col("node").alias("id"), "least")
-    info = classes.select("id", "v", "members", F.col("least").alias("own")).join(links, "id", "left").join(of_class, "id", "left").select(F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("least", "own").alias("component_id"))
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v0"))
-    return every.join(info, F.col("_v0") == F.col("_v"), "left").select(
+    info = classes.select("id", "v", "members", F.col("least").alias("own")).join(links, "id", "left").join(of_class, "id", "left").select(*_hashes("v", "_b"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("least", "own").alias("component_id"))
+    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), *_hashes(F.col(vector_col).cast("array<double>"), "_a"))
+    # 128 bits stand for a vector, so that no vector travels again
+    return every.join(info, (F.col("_a0") == F.col("_b0")) & (F.col("_a1") == F.col("_b1")), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
