@@ -11,7 +11,7 @@ probability ``CONFIDENCE``, have had a smaller projected distance than everythin
 a partial top-k, ties to the smaller id.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. A row is never its own neighbour: rows with the query's
-id are left out. Repeated rows are candidates each. Vectors of other lengths than the query's are no candidates.
+id are left out. Repeated rows are candidates each. A query id asks once: of repeated query rows, the smallest vector. Vectors of other lengths than the query's are no candidates.
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_c
     """(query_id, rank, vec_id, score): the k candidates with the largest inner product that were found for every query."""
     C.shared_dir(vectors.sparkSession)
     rows = valid_vectors(vectors, id_col, vector_col).where("id IS NOT NULL").withColumn("d", F.size("v"))
-    asked = valid_vectors(queries, id_col, vector_col).where("id IS NOT NULL").withColumn("d", F.size("v"))
+    asked = valid_vectors(queries, id_col, vector_col).where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     n, most = rows.agg(F.count("*"), F.max(norm)).first()
     m = asked.count()
