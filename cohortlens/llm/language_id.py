@@ -5,8 +5,8 @@ windows, are max-pooled over the window, and a softmax layer reads the pooled va
 all its windows, end to end; their probabilities are averaged. One-hot convolutions are sums of table rows, so
 inference adds two rows of pair tables per byte.
 
-The network is fitted on the driver on a bounded sample: ``PER_LANGUAGE`` documents of each language (those with the smallest
-hash of their id) and ``WINDOWS`` windows of each. Prediction reads nothing but the text.
+The network is fitted on the driver on a bounded sample: ``PER_LANGUAGE`` documents of each language, or its share of ``SAMPLE`` where that is less, but one of every language (those with the smallest
+hash of their id; a repeated row once) and ``WINDOWS`` windows of each. Prediction reads nothing but the text.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text where nothing can be learned from.
 Ties between languages go to the one that sorts first.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Bounds of the sample for fitting.
-PER_LANGUAGE, WINDOWS, MAX_LANGUAGES = 800, 4, 200
+PER_LANGUAGE, WINDOWS, SAMPLE = 800, 4, 160_000
 LENGTH, WIDTHS, FILTERS, CLASSES = 128, (2, 3, 4), 16, 128
 #: Positions of a window at which every filter starts.
 SPAN = LENGTH - max(WIDTHS) + 1
@@ -154,19 +154,21 @@ def windows_of(text: bytes, most: int = WINDOWS) -> list[np.ndarray]:
 
 def sample_for_fit(train: DataFrame) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample; ``train`` has doc_id, lang, text. Only ids are ranked; texts follow by a join with the chosen ids."""
-    # at most PER_LANGUAGE * MAX_LANGUAGES ids
+    # at most SAMPLE ids, and one of every language
     texts = train.where("text IS NOT NULL")
-    top = texts.groupBy("lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "lang").limit(MAX_LANGUAGES)
+    top = texts.groupBy("lang").agg(F.count("*").alias("_all"))
+    wanted = max(1, min(PER_LANGUAGE, SAMPLE // max(1, top.count())))
     h = F.xxhash64(F.col("doc_id"))
     order = W.partitionBy("lang").orderBy(h, "doc_id")
     # smallest hashes only: a language of any size sends about twice what is wanted to its ranking
-    low = h.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * PER_LANGUAGE + 100) / F.col("_all"))
-    ids = texts.select("doc_id", "lang").join(F.broadcast(top), "lang").where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
+    low = h.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * wanted + 100) / F.col("_all"))
+    ids = texts.select("doc_id", "lang").join(F.broadcast(top), "lang").where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= wanted).select("doc_id", "lang").distinct()
     # a window needs a few hundred characters from its place; the pieces are cut before they travel
     length, w = F.length("text"), LENGTH
     piece = lambda k: F.expr(f"substring(text, 1 + int(greatest(0, length(text) - {w}) * {k} / {WINDOWS - 1}), {w})")
     cut = F.when(length <= 4 * w, F.array("text")).otherwise(F.array(*(piece(k) for k in range(WINDOWS))))
-    rows = train.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.explode(cut).alias("text")).collect()
+    once = texts.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(cut).alias("pieces"))
+    rows = once.select("lang", F.explode("pieces").alias("text")).collect()
     return sorted((r[0], r[1]) for r in rows)
 
 
