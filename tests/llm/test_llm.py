@@ -369,6 +369,17 @@ def test_language_held_out(docs, rows, empty):
     assert language_id(empty).collect() == []
 
 
+def test_sample_takes_every_language_once(spark, monkeypatch):
+    """Repeated rows count once, and a language is learned however many there are."""
+    from cohortlens.llm import language_id as L
+
+    rows = [(i, f"text {i} of l{i % 9}", f"l{i % 9}") for i in range(90)] + [(0, "text 0 of l0", "l0")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert Counter(lang for lang, _ in L.sample_for_fit(df)) == {f"l{k}": 10 for k in range(9)}
+    monkeypatch.setattr(L, "SAMPLE", 5)
+    assert Counter(lang for lang, _ in L.sample_for_fit(df)) == {f"l{k}": 1 for k in range(9)}
+
+
 def test_nothing_to_learn_from(spark):
     from cohortlens.llm.language_id import language_id
 
@@ -592,6 +603,63 @@ def test_embedding_groups(spark, vectors):
     assert near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def brute_links(rows):
+    """{row number: (links, component)} of unit-free vectors of any lengths."""
+    by = defaultdict(list)
+    for i, r in enumerate(rows):
+        by[len(r[1])].append(i)
+    up, links = list(range(len(rows))), Counter()
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for group in by.values():
+        x = np.array([rows[i][1] for i in group], float)
+        u = x / np.sqrt((x * x).sum(1, keepdims=True))
+        for i, j in np.argwhere(np.triu(u @ u.T >= 0.9, 1)):
+            a, b = group[i], group[j]
+            links[a] += 1
+            links[b] += 1
+            up[find(a)] = find(b)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return Counter((r[0], links[i], least[find(i)]) for i, r in enumerate(rows))
+
+
+def test_many_cells_guests_and_blocks(spark, monkeypatch):
+    """More than ten cells, small blocks of homes and guests, groups across boundaries and repeated rows, against all pairs."""
+    from cohortlens.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(9)
+    x = [rng.normal(size=24) for _ in range(40)]
+    x = [c + s * rng.normal(size=24) for c in x for s in (0.0, 0.1, 0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 3
+    monkeypatch.setattr(E, "PER_CELL", 25)
+    monkeypatch.setattr(E, "BLOCK", 9)
+    monkeypatch.setattr(E, "GUESTS", 20)
+    seen, real = [], E.spherical_kmeans
+    monkeypatch.setattr(E, "spherical_kmeans", lambda x, k: seen.append(k) or real(x, k))
+    got = E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert seen[0] >= 10
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute_links(rows)
+
+
+def test_more_vector_lengths_than_have_cells(spark):
+    from cohortlens.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for d in range(2, 22):
+        v = rng.normal(size=d)
+        rows += [(100 * d + k, (v + 0.02 * k * rng.normal(size=d)).tolist()) for k in range(4)]
+    assert len({len(r[1]) for r in rows}) > E.LENGTHS
+    got = E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute_links(rows)
+
+
 def test_blocks_of_a_cell_agree(spark, vectors, monkeypatch):
     from cohortlens.llm import embedding_dedup as E
 
@@ -643,6 +711,35 @@ def test_nearest_recall(spark, vectors, monkeypatch):
     assert len(N.nearest_neighbours(few, few).collect()) == 6
 
 
+def test_nearest_repeats_ties_and_recall(spark, monkeypatch):
+    """64 dimensions, several blocks of rows and queries: repeated query rows, equal candidates, null ids."""
+    from cohortlens.llm import nearest as N
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 64))
+    x[40:70] = x[3]
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())] * 2 + [(None, x[5].tolist())]
+    monkeypatch.setattr(N, "ROWS", 400)
+    monkeypatch.setattr(N, "QUERIES", 30)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in N.nearest_neighbours(df, df.where(F.col("vec_id") % 20 == 0)).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    hit = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(1500), -np.round(s, 12))) if i != q][:20]
+        found = sorted(got[q])
+        assert [f[0] for f in found] == list(range(1, 21)) and len({f[1] for f in found}) >= 18
+        assert all(f[2] == pytest.approx(s[f[1]], abs=1e-12) for f in found) and found == sorted(found, key=lambda f: (-f[2], f[1]))
+        hit += len(set(want) & {f[1] for f in found})
+    assert len(got) == 75 and hit / (75 * 20) >= 0.9
+    # of equal vectors those with the smallest ids
+    assert [f[1] for f in sorted(got[40])] == [3, *range(41, 60)]
+
+
 def test_chi_square_quantile():
     from cohortlens.llm.nearest import chi_square_quantile
 
