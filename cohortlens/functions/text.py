@@ -168,7 +168,22 @@ def tag_present(status: Column) -> Column:
 
 
 def run_slug(at: Column | None = None) -> Column:
-    return F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd'T'HHmmss'Z'")
+    """Time in UTC, whatever the session's zone (DAT-01)."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
+def error_type(c: Column) -> Column:
+    """What stands before the first colon of an error (AGG-27)."""
+    return F.substring_index(c, ":", 1)
+
+
+def number_text(c: Column, digits: int = 3) -> Column:
+    """A number with fixed digits, or n/a (STR-23)."""
+    return F.when(c.isNull() | F.isnan(c.cast("double")), "n/a").otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
+
+
+def percent_text(c: Column, digits: int = 1) -> Column:
+    return F.when(c.isNull() | F.isnan(c.cast("double")), "n/a").otherwise(F.format_string(f"%.{digits}f%%", c.cast("double") * 100))
 
 
 def json_list(c: Column) -> Column:
@@ -197,15 +212,16 @@ def cite_keys(md: Column) -> Column:
 
 
 def expand_pages(c: Column) -> Column:
-    """1672-82 becomes 1672-1682; prefixes and lists are kept (CIT-05)."""
+    """1672-82 becomes 1672-1682 and S112-S5 becomes S112-S115: missing leading digits and a missing prefix are the start's; lists are kept, blank parts go (CIT-05)."""
+    span = r"^([A-Za-z]*)([0-9]+)\s*[-–]\s*([A-Za-z]*)([0-9]+)$"
 
     def one(p: Column) -> Column:
-        p = F.trim(p)
-        a, b = F.regexp_extract(p, r"^([A-Za-z]*\d+)\s*[-–]\s*([A-Za-z]*\d+)$", 1), F.regexp_extract(p, r"^([A-Za-z]*\d+)\s*[-–]\s*([A-Za-z]*\d+)$", 2)
-        full = F.when((F.length(b) < F.length(a)) & b.rlike(r"^\d+$"), F.concat(F.left(a, F.length(a) - F.length(b)), b)).otherwise(b)
-        return F.when(a == "", p).otherwise(F.concat(a, F.lit("-"), full))
+        letters, start, other, end = (F.regexp_extract(p, span, k) for k in range(1, 5))
+        full = F.concat(F.left(start, F.greatest(F.length(start) - F.length(end), F.lit(0))), end)
+        return F.when(start == "", p).otherwise(F.concat(letters, start, F.lit("-"), F.when(other == "", letters).otherwise(other), full))
 
-    return F.array_join(F.transform(F.split(c, ","), one), ", ")
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
+    return F.array_join(F.transform(parts, one), ", ")
 
 
 def ama_reference(r: dict[str, Column]) -> Column:

@@ -72,7 +72,11 @@ def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
 
 
 def bh_fdr(df: DataFrame, p: str, tie: str, group: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Benjamini-Hochberg: q and reject within each group (WIN-07, STT-07)."""
+    """Benjamini-Hochberg: q and reject within each group (WIN-07, STT-07). Fails where a p is null, not a number or outside [0, 1]."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    sound = F.when(F.col(p).cast("double").between(0.0, 1.0), F.col(p)).otherwise(F.raise_error(F.lit(f"{p} must be a number in [0, 1]")).cast(dict(df.dtypes)[p]))
+    df = df.withColumn(p, sound)
     m = F.count(F.lit(1)).over(W.partitionBy(*group))
     ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy(p, tie))).withColumn("_q", F.col(p) * m / F.col("_r"))
     down = W.partitionBy(*group).orderBy("_r").rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -179,9 +183,10 @@ def flow_table(steps: Sequence[tuple[str, DataFrame]], key: Sequence[str], split
     return out
 
 
-def pending(keys: DataFrame, log: DataFrame, key: Sequence[str], order: Sequence[str], status: str, terminal: Sequence[str]) -> DataFrame:
-    """Keys whose latest status is not terminal (JN-09, STM-03)."""
-    done = latest_per_key(log, key, order).where(F.col(status).isin(*terminal)).select(*key)
+def pending(keys: DataFrame, log: DataFrame, key: Sequence[str], order: Sequence[str], status: str, terminal: Sequence[str], retry_errors: bool = True) -> DataFrame:
+    """Keys whose latest status is not terminal (JN-09, STM-03); without ``retry_errors``, keys with any status are done."""
+    latest = latest_per_key(log, key, order)
+    done = (latest.where(F.col(status).isin(*terminal)) if retry_errors else latest).select(*key)
     return keys.join(done, list(key), "left_anti")
 
 
@@ -213,6 +218,60 @@ def reorder_by(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     return df.orderBy(place.asc_nulls_last(), column)
 
 
+def restrict_to(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """Only the listed values, in their order, where the table holds all of them; else the table as it is (TOP-07)."""
+    found = df.agg(F.count_distinct(F.when(F.col(column).isin(*order), F.col(column))).alias("n")).scalar()
+    place = F.nullif(F.array_position(F.lit(list(order)), F.col(column)), F.lit(0))
+    return df.where(place.isNotNull() | (found < len(set(order)))).orderBy(place.asc_nulls_last(), column)
+
+
+def direction_summary(results: DataFrame, run: str, rr: str, q: str) -> DataFrame:
+    """Of every run, the number of ratios above one and the smallest q (AGG-25)."""
+    return results.groupBy(run).agg(F.count_if(F.col(rr) > 1).alias("n_rr_above_1"), F.count(rr).alias("n_rr"), F.min(q).alias("min_q"))
+
+
+def rates(df: DataFrame, group: Sequence[str], flag: Column, name: str = "rate") -> DataFrame:
+    """Share of true among non-null flags by group, 0 where there is none (AGG-28)."""
+    return df.groupBy(*group).agg(F.count("*").alias("n"), F.coalesce(F.avg(flag.cast("double")), F.lit(0.0)).alias(name))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of every combination, nulls kept (AGG-01, AGG-08)."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+def error_counts(log: DataFrame, error: str, type_of) -> DataFrame:
+    """Errors by type, the most frequent first (AGG-27)."""
+    return log.where(F.col(error).isNotNull()).groupBy(type_of(F.col(error)).alias("error_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error_type")
+
+
+def left_counts(keys: DataFrame, rows: DataFrame, key: Sequence[str], out: str = "n") -> DataFrame:
+    """Every key with the number of its rows, zeros included (JN-02)."""
+    n = rows.groupBy(*key).agg(F.count("*").alias(out))
+    return keys.join(n, list(key), "left").withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def map_values(df: DataFrame, column: str, known: DataFrame, key: str, value: str, out: str, default: str | None = None) -> DataFrame:
+    """A column looked up in a table by key (JN-06); repeated keys count once, the smallest value wins, and unknown ones get the default."""
+    k = known.groupBy(F.col(key).alias("_k")).agg(F.min(value).alias(out))
+    j = df.join(k, df[column] == F.col("_k"), "left").drop("_k")
+    return j.withColumn(out, F.coalesce(out, F.lit(default))) if default is not None else j
+
+
+def pivot_counts(df: DataFrame, rows: Sequence[str], column: str, values: Sequence) -> DataFrame:
+    """Counts with one column per listed value, zeros included (AGG-24)."""
+    return df.groupBy(*rows).agg(*(F.count_if(F.col(column).eqNullSafe(F.lit(v))).alias(str(v)) for v in values))
+
+
+def union_tagged(parts: dict[str, DataFrame], out: str = "origin") -> DataFrame:
+    """Rows of all parts under their names; columns that a part lacks are null (SET-01, SET-02)."""
+    got = None
+    for name, df in parts.items():
+        one = df.withColumn(out, F.lit(name))
+        got = one if got is None else got.unionByName(one, allowMissingColumns=True)
+    return got
+
+
 def case_number(c: Column, unknown: int = 10_000) -> Column:
     """Number at the end of a case id, unknown last (TOP-06)."""
     return F.coalesce(F.regexp_extract(c, r"(\d+)$", 1).try_cast("int"), F.lit(unknown))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -25,14 +26,15 @@ def allocate(counts: dict[str, int], n: int, order: Sequence[str] | None = None)
     """Whole numbers per stratum: proportional, at least one where n allows, never above the stratum, n in total.
 
     What is missing goes to the largest fractions first, what is too much is taken from the largest targets, again and again.
-    With n below the number of strata, the first n of ``order`` get one each. Strata are few, so this runs on the driver.
+    With n below the number of strata, the first n of ``order`` (a random one, see ``stratum_order``) get one each. Strata are few, so this runs on the driver.
     """
     names = list(order or sorted(counts))
     total = sum(counts.values())
     n = min(n, total)
     if n < len(names):
         return {k: int(i < n) for i, k in enumerate(names)}
-    exact = {k: n * counts[k] / total for k in names}
+    exact = {k: n * counts[k] / total for k in sorted(names)}
+    names = sorted(names)
     got = {k: min(counts[k], max(1, int(exact[k]))) for k in names}
     while (gap := n - sum(got.values())) != 0:
         if gap > 0:
@@ -44,12 +46,19 @@ def allocate(counts: dict[str, int], n: int, order: Sequence[str] | None = None)
     return got
 
 
+def stratum_order(strata: Sequence[str], seed: int) -> list[str]:
+    """Strata in hash order: another seed draws others."""
+    return sorted(strata, key=lambda s: (hashlib.md5(f"{seed}:{s}".encode()).hexdigest(), s))
+
+
 def stratified_sample(df: DataFrame, stratum: Column, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """allocate() rows of every stratum, drawn in hash order (SMP-04, SMP-05)."""
+    if n < 1:
+        raise ValueError("the sample must have a row at least")
     keyed = df.withColumn("_s", F.coalesce(stratum.cast("string"), F.lit("")))
     counts = {r[0]: r[1] for r in keyed.groupBy("_s").count().collect()}
     spark = df.sparkSession
-    plan = spark.createDataFrame([(k, v) for k, v in allocate(counts, n).items()] or [("", 0)], "_s string, _take int")
+    plan = spark.createDataFrame([(k, v) for k, v in allocate(counts, n, stratum_order(counts, seed)).items()] or [("", 0)], "_s string, _take int")
     rank = F.row_number().over(W.partitionBy("_s").orderBy(hash_order(seed, *(F.col(k) for k in key)), *key))
     return keyed.withColumn("_n", rank).join(F.broadcast(plan), "_s").where(F.col("_n") <= F.col("_take")).drop("_s", "_n", "_take")
 

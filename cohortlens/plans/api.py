@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed as X, text as S
-from ..operators import inference as I, labels as L, relational as R, vectors as V
+from ..operators import inference as I, labels as L, relational as R, sampling as P, vectors as V
 from ..sources import documents as D, services, tables as T
 from . import cohort as K, raters as A
 
@@ -38,25 +38,53 @@ def recommend_split(registry: DataFrame, min_per_split: int = 200, tie: str = "e
 make_manifest = T.manifest
 
 
-def fetch(registry: DataFrame, fetcher: services.Fetcher, n: int | None = None) -> DataFrame:
-    """Documents of (the latest n of) the registry; errors are rows."""
+def to_fetch(registry: DataFrame, n: int | None = None, how: str = "latest", seed: int = X.SEED) -> DataFrame:
+    """Rows with an id that can be fetched (FLT-06): all, the latest n, or n at random (SMP-02)."""
+    if how not in ("latest", "random"):
+        raise ValueError(f"no such choice: {how}")
     rows = registry.where(F.col("pmcid").startswith("PMC"))
-    if n is not None:
-        rows = rows.orderBy(F.desc_nulls_last("year"), "pmcid").limit(n)
-    return services.fetch_all(rows, "pmcid", fetcher)
+    if n is None:
+        return rows
+    return rows.orderBy(F.desc_nulls_last("year"), "pmcid").limit(n) if how == "latest" else P.hash_sample(rows, ["pmcid"], n, seed)
+
+
+def fetch(registry: DataFrame, fetcher: services.Fetcher, n: int | None = None, how: str = "latest", folder: str | None = None, overwrite: bool = False) -> DataFrame:
+    """Documents of the registry, as rows or as files of a shared folder; errors are rows."""
+    rows = to_fetch(registry, n, how)
+    return services.fetch_all(rows, "pmcid", fetcher) if folder is None else services.fetch_files(rows, "pmcid", fetcher, folder, overwrite=overwrite)
 
 
 parse = D.parse_files
 
 
-def extract_segments(blocks: DataFrame, terms: Sequence[str], most_blocks: int = 140, most_chars: int = 60_000) -> DataFrame:
-    """Routed, guarded, capped blocks of each document as its case segment: the offline extraction (DOC-08, DOC-09)."""
-    sections = D.routed_sections(blocks)
+def chosen_sections(blocks: DataFrame, choice: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """(pmcid, sec_path_str, place) of the sections to read: must, then a model's choice (pmcid, selected) among the routed; without a model, all routed (DOC-08)."""
+    routed = D.routed_sections(blocks)
+    names = lambda route: F.transform(F.array_sort(F.collect_list(F.when(F.col("route") == route, F.struct((-F.col("n_chars")).alias("o"), "sec_path_str")))), lambda x: x["sec_path_str"])
+    per = routed.groupBy("pmcid").agg(names("must").alias("must"), names("candidate").alias("candidates"))
+    allowed = F.concat("must", "candidates")
+    per = per.withColumn("selected", F.col("candidates")) if choice is None else per.join(choice.select("pmcid", "selected"), "pmcid", "left")
+    final = D.final_sections(F.col("must"), F.coalesce("selected", F.array().cast("array<string>")), allowed, most)
+    return per.select("pmcid", F.posexplode(final).alias("place", "sec_path_str")).select("pmcid", "sec_path_str", "place")
+
+
+def extract_segments(blocks: DataFrame, terms: Sequence[str], most_blocks: int = 140, most_chars: int = 60_000, choice: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """Chosen, guarded, capped blocks of each document as its segments (DOC-08, DOC-09, TOP-03, WIN-09).
+
+    ``lists`` (pmcid, case_id, segment_type, block_ids) is a model's extraction: unknown ids are refused, and a block stays with the first
+    segment that uses it. Without one, the first four chosen blocks are the case's presentation, and blocks with a trigger elsewhere its other segment.
+    """
+    sections = chosen_sections(blocks, choice)
     passed = D.guardrail(blocks, sections).where("passed").select("pmcid")
-    chosen = D.select_blocks(blocks.where(F.col("source") == "body").join(passed, "pmcid", "left_semi"), sections, most_blocks, most_chars)
-    first = R.first_rows(chosen, ["pmcid"], ["block_index", "block_id"], 4)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "block_id"))), lambda x: x["block_id"])
-    lists = first.groupBy("pmcid").agg(ids.alias("block_ids")).select("pmcid", F.lit("case_1").alias("case_id"), F.lit("case_presentation").alias("segment_type"), "block_ids")
+    read = blocks.join(passed, "pmcid", "left_semi")
+    chosen = D.select_blocks(read.where(F.col("source") == "body"), sections, most_blocks, most_chars)
+    if lists is None:
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("block_index", "block_id"))), lambda x: x["block_id"])
+        case = lambda df, kind: df.groupBy("pmcid").agg(ids.alias("block_ids")).select("pmcid", F.lit("case_1").alias("case_id"), F.lit(kind).alias("segment_type"), "block_ids")
+        first = R.first_rows(chosen, ["pmcid"], ["block_index", "block_id"], 4)
+        lists = case(first, "case_presentation").unionByName(case(D.extra_snippets(read, chosen), "other"))
+    place = F.array_position(F.lit(X.SEGMENT_TYPES), F.col("segment_type"))
+    lists = R.first_use_wins(lists.join(passed, "pmcid", "left_semi").withColumn("_place", place), "pmcid", "block_ids", ["case_id", "_place"]).drop("_place")
     return D.segments(blocks, lists, terms).withColumn("include_for_embedding", F.col("segment_type").isin("case_presentation", "disease_course", "clinical_features_summary"))
 
 
@@ -96,14 +124,16 @@ def rater_study(cases: DataFrame, a: DataFrame, b: DataFrame, judge: DataFrame,
     return {"kappa": I.kappa_report(pairs, fields, "text_adequate"), "to_adjudicate": pairs.where(I.needs_adjudication(fields)), "consensus": done, "cases": A.relabel(cases, done, list(key))}
 
 
-def phase_e(cases: DataFrame, p: float, share: float, baseline: float, split: str = "split", cluster: str = "cluster_matched", positive: str = "is_ppa", alpha: float = 0.05, force: bool = False) -> dict[str, DataFrame]:
-    """Pooled estimation behind the replication gate (STT-11, STT-18 to STT-20)."""
+def phase_e(cases: DataFrame, p: float, share: float, baseline: float, split: str = "split", cluster: str = "cluster_matched", positive: str = "is_ppa", alpha: float = 0.05, force: bool = False, tests: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Pooled estimation behind the replication gate (STT-11, STT-18 to STT-20); ``tests`` as of ``endpoint_tests``."""
     if not (force or I.replication_gate(p, share, baseline, alpha)):
         raise ValueError("the replication gate is not passed")
     e = R.enrichment(cases, [split], cluster, F.col(positive))
     directed = e.withColumn("direction", S.direction(F.col("share_cluster"), F.col("share_split")))
     tags = R.tag_summary(cases, [split, cluster]) if R.tag_columns(cases) else None
     out = {"primary_precision": K.precision(cases, split, cluster, F.col(positive)), "direction_consistency": I.direction_consistency(directed, cluster, split, "direction"), "composition": R.share_of_parent(cases, [split, cluster], "ftld_syndrome_reported")}
+    if tests is not None:
+        out["secondary_precision"] = K.secondary_precision(cases, tests, split, cluster, "ftld_syndrome_reported")
     return out | ({"symptom_tags": tags} if tags is not None else {})
 
 

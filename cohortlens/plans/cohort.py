@@ -86,6 +86,22 @@ def precision(cases: DataFrame, split: str, cluster: str, positive: Column) -> D
     return t.select(split, cluster, "n_cases", F.col("a").alias("positive_n"), (a / m).alias("share"), low.alias("wilson_low"), high.alias("wilson_high"), e["rr"].alias("rr"), e["rr_low"].alias("rr_low"), e["rr_high"].alias("rr_high"), e["odds_ratio"].alias("odds_ratio"))
 
 
+def secondary_precision(cases: DataFrame, tests: DataFrame, split: str, cluster: str, endpoint: str) -> DataFrame:
+    """Precision of the endpoints that pass FDR, in the cluster that discovery named, by split and pooled (STT-20)."""
+    kept = tests.where("confirmation_reject_bh_fdr").select("endpoint", F.col("cluster").alias("target_matched_cluster"), F.col("p").alias("confirmation_p"), "confirmation_q_bh_fdr")
+    rows = cases.select(F.col(split).alias("split"), F.col(cluster).alias("_c"), F.col(endpoint).alias("_e"))
+    # one aggregate by split, cluster and endpoint; endpoints are few
+    n = rows.groupBy("split", "_c", "_e").agg(F.count("*").alias("n"))
+    sides = n.unionByName(n.withColumn("split", F.lit("pooled")))
+    inside, hit = F.col("_c").eqNullSafe(F.col("target_matched_cluster")), F.coalesce(F.col("_e") == F.col("endpoint"), F.lit(False))
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    t = sides.crossJoin(F.broadcast(kept)).groupBy("endpoint", "split", "target_matched_cluster", "confirmation_p", "confirmation_q_bh_fdr").agg(F.sum("n").alias("n_total"), count(inside).alias("n_cluster"), count(hit).alias("pos_total"), count(inside & hit).alias("pos_cluster"))
+    a, b = F.col("pos_cluster"), F.col("n_cluster") - F.col("pos_cluster")
+    c, d = F.col("pos_total") - F.col("pos_cluster"), F.col("n_total") - F.col("n_cluster") - F.col("pos_total") + F.col("pos_cluster")
+    low, high = stats.wilson(a, F.col("n_cluster"))
+    return t.select("endpoint", "split", "target_matched_cluster", "n_total", "n_cluster", "pos_total", "pos_cluster", low.alias("wilson_low"), high.alias("wilson_high"), *(v.alias(k) for k, v in stats.effect_sizes(a, b, c, d).items()), "confirmation_p", "confirmation_q_bh_fdr")
+
+
 def stage_pipeline(curated: DataFrame, vectors: DataFrame, key: str, stage: str, subtype: str, markers: Sequence[str], k: int = X.CLUSTERS, seeds: Sequence[int] = range(10), draws: int = 1000, seed: int = X.SEED) -> dict[str, DataFrame]:
     """Entry C: for every stage cluster, composition and enrichment of a marker-defined endpoint."""
     joined = curated.join(vectors.select(key, "embedding"), key).withColumn("is_ppa", S.contains_any(F.col(subtype), markers))

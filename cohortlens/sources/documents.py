@@ -11,7 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as S
 from ..operators import relational as R
@@ -86,8 +86,23 @@ def _parse(frames):
 
 def parse_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
     """One row per block; files without blocks or with errors are one row each (SRC-07, SRC-08, DOC-06)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(_parse, PARSED)
+    return parse_contents(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
+
+
+def parse_contents(files: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """As parse_files, from rows of (path, content). Documents whose id is among ``done`` (pmcid) aren't parsed again: one row with status skipped."""
+    if done is None:
+        return files.select("path", "content").mapInPandas(_parse, PARSED)
+    named = files.select("path", "content", pmcid_of(F.col("path")).alias("pmcid"))
+    known = done.select("pmcid").distinct()
+    new = named.join(known, "pmcid", "left_anti").select("path", "content").mapInPandas(_parse, PARSED)
+    old = named.join(known, "pmcid", "left_semi").select("path", "pmcid", F.lit("skipped").alias("status"))
+    return new.unionByName(old, allowMissingColumns=True)
+
+
+def pmcid_of(path):
+    """Id of a document: its file name without the ending."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[A-Za-z]+$", "")
 
 
 def parse_log(parsed: DataFrame) -> DataFrame:
@@ -122,13 +137,32 @@ def extra_snippets(blocks: DataFrame, chosen: DataFrame, key: str = "pmcid", mos
     return R.first_rows(hits, [key], [F.when(F.col("source") == "abstract", 0).otherwise(1), "n_chars", "block_index", "block_id"], most)
 
 
-def guardrail(blocks: DataFrame, sections: DataFrame) -> DataFrame:
-    """(pmcid, passed, markers): a strict section with a narrative anchor (STR-09)."""
-    text = R.ordered_text(blocks.join(sections, ["pmcid", "sec_path_str"], "left_semi"), ["pmcid", "sec_path_str"], "block_index", "text", " ")
-    hit = text.where(S.strict_section(F.col("sec_path_str"))).withColumn("names", S.narrative_anchors(F.col("text"))).where(F.size("names") > 0)
-    marked = hit.select("pmcid", F.transform("names", lambda n: F.concat(n, F.lit("@"), F.col("sec_path_str"))).alias("markers"), "sec_path_str")
-    first = R.first_rows(marked, ["pmcid"], ["sec_path_str"], 1)
-    return sections.select("pmcid").distinct().join(first, "pmcid", "left").select("pmcid", F.col("markers").isNotNull().alias("passed"), F.coalesce("markers", F.array(F.lit("no_narrative_anchor"))).alias("markers"))
+def section_order(sections: DataFrame) -> list:
+    """Columns that order selected sections: their place where they have one, else must before candidate, the longest first."""
+    if "place" in sections.columns:
+        return ["place", "sec_path_str"]
+    return [F.when(F.col("route") == "must", 0).otherwise(1), F.desc("n_chars"), "sec_path_str"] if {"route", "n_chars"} <= set(sections.columns) else ["sec_path_str"]
+
+
+def guardrail(blocks: DataFrame, sections: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(pmcid, passed, markers) of every document: the first selected strict section with a narrative anchor (STR-09).
+
+    ``documents`` (pmcid) adds those that have neither blocks nor sections.
+    """
+    order = section_order(sections)
+    placed = sections.withColumn("_place", F.row_number().over(W.partitionBy("pmcid").orderBy(*order))).select("pmcid", "sec_path_str", "_place")
+    strict = placed.where(S.strict_section(F.col("sec_path_str")))
+    body = blocks.where(F.col("source") == "body")
+    text = R.ordered_text(body.join(strict, ["pmcid", "sec_path_str"]), ["pmcid", "sec_path_str", "_place"], "block_index", "text", " ")
+    hit = text.withColumn("names", S.narrative_anchors(F.col("text"))).where(F.size("names") > 0)
+    marked = hit.select("pmcid", F.transform("names", lambda n: F.concat(n, F.lit("@"), F.col("sec_path_str"))).alias("found"), "_place")
+    first = R.first_per_key(marked, ["pmcid"], ["_place"]).select("pmcid", "found")
+    chosen = sections.groupBy("pmcid").agg(F.lit(True).alias("_chosen"))
+    have = blocks.groupBy("pmcid").agg(F.bool_or(F.col("source") == "body").alias("_body"))
+    every = chosen.select("pmcid").union(have.select("pmcid"))
+    every = (every if documents is None else every.union(documents.select("pmcid"))).distinct()
+    why = F.when(F.col("_chosen").isNull(), "no_selected_sections").when(F.col("_body").isNull(), "no_blocks").when(~F.col("_body"), "no_body_blocks").otherwise("no_narrative_anchor")
+    return every.join(first, "pmcid", "left").join(chosen, "pmcid", "left").join(have, "pmcid", "left").select("pmcid", F.col("found").isNotNull().alias("passed"), F.coalesce("found", F.array(why)).alias("markers"))
 
 
 def final_sections(must, selected, allowed, most: int = 12):

@@ -21,7 +21,10 @@ class Embedder(Protocol):
 
 
 class Labeler(Protocol):
-    def label(self, packet: str) -> dict: ...
+    """Answers a packet with an object or with text that holds one. ``label_more``, where there is one, is asked again
+    with more room if the first answer holds no object (it was cut off)."""
+
+    def label(self, packet: str) -> dict | str: ...
 
 
 class Fetcher(Protocol):
@@ -132,29 +135,229 @@ def rule_labels(df: DataFrame, text: str, rules: dict[str, Sequence[str]], defau
     return df.select("*", *(F.when(contains_any(F.col(text), words), "present").otherwise(default).alias(f"tag__{name}__status") for name, words in rules.items()))
 
 
+def reply_text(reply: dict) -> str:
+    """Text of a model's reply in any of three shapes (SRC-20): output_text, output with pieces, choices with a message."""
+    if isinstance(reply.get("output_text"), str):
+        return reply["output_text"]
+    pieces = []
+    for item in reply.get("output") or []:
+        for part in [item, *(item.get("content") or [])] if isinstance(item, dict) else []:
+            if isinstance(part, dict) and isinstance(part.get("text"), str):
+                pieces.append(part["text"])
+    if pieces:
+        return "\n".join(pieces)
+    for choice in (reply.get("choices") or [])[:1]:
+        if isinstance((choice.get("message") or {}).get("content"), str):
+            return choice["message"]["content"]
+    raise ValueError("the reply holds no text")
+
+
+class Refused(Exception):
+    """A service refuses a setting of the request."""
+
+
+class RetryLater(Exception):
+    """A service asks for a pause, in seconds."""
+
+    def __init__(self, seconds: float):
+        super().__init__(f"retry after {seconds} s")
+        self.seconds = seconds
+
+
+class ModelLabeler:
+    """A labeller over ``post(request) -> reply`` (SRC-20): tries again after errors, and with the next effort of the list where one is refused."""
+
+    def __init__(self, post: Callable[[dict], dict], request: dict | None = None, efforts: Sequence[str | None] = ("high", "medium", "low", None), tokens: tuple[int, int] = (2000, 4000), tries: int = 3, pause: float = 0.0):
+        self.post, self.request, self.efforts, self.tokens, self.tries, self.pause = post, request or {}, efforts, tokens, tries, pause
+
+    def _ask(self, packet: str, tokens: int) -> str:
+        error: Exception = ValueError("no effort is left")
+        for effort in self.efforts:
+            asked = self.request | {"input": packet, "max_output_tokens": tokens} | ({"effort": effort} if effort else {})
+            for k in range(self.tries):
+                try:
+                    reply = self.post(asked)
+                    if reply.get("status") not in (None, "completed", "incomplete"):
+                        raise RuntimeError(f"status {reply['status']}")
+                    return reply_text(reply)
+                except Refused as e:
+                    error = e
+                    break
+                except Exception as e:
+                    error = e
+                    time.sleep(self.pause * 1.7**k)
+            else:
+                raise error
+        raise error
+
+    def label(self, packet: str) -> str:
+        return self._ask(packet, self.tokens[0])
+
+    def label_more(self, packet: str) -> str:
+        return self._ask(packet, self.tokens[1])
+
+
+def object_in(text: str) -> dict:
+    """The JSON object between the first { and the last } of a model's text (JSN-03)."""
+    import json
+
+    got = json.loads(text[text.index("{") : text.rindex("}") + 1])
+    if not isinstance(got, dict):
+        raise ValueError("no object")
+    return got
+
+
+def ask(model: Labeler, packet: str) -> dict:
+    """One label: an answer without an object is asked for again with more room (JSN-10)."""
+    answer = model.label(packet)
+    if isinstance(answer, dict):
+        return answer
+    try:
+        return object_in(answer)
+    except ValueError:
+        if not hasattr(model, "label_more"):
+            raise
+        again = model.label_more(packet)
+        return again if isinstance(again, dict) else object_in(again)
+
+
+def is_weak(label: dict) -> bool:
+    """Low confidence, or flagged for a look at the full text."""
+    return label.get("label_confidence") == "low" or bool(label.get("needs_fulltext_review"))
+
+
+class RuleLabeler:
+    """The dry run's labeller: an excluded case of low confidence that names the packet's ids."""
+
+    def label(self, packet: str) -> dict:
+        return {"ftld_inclusion_tier": "exclude", "label_confidence": "low", "needs_fulltext_review": False, "symptom_tags": [], "notes": "dry run"}
+
+
 def label_with_escalation(df: DataFrame, text: str, first: Labeler, second: Labeler | None = None, key: str = "case_id") -> DataFrame:
-    """Labels as JSON; cases of low confidence or flagged for review go to the second model (JSN-10)."""
+    """(key, label as JSON, error, escalated): a weak label goes to the second model, if that is another one (JSN-10).
+
+    Every model is asked at most once for a case (twice where an answer is cut off): both passes run in one task. Errors are rows.
+    """
     import json
 
-    def run_with(model):
-        def run(frames):
-            import pandas as pd
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for k, t in zip(pdf[key], pdf[text]):
+                escalated = False
+                try:
+                    label = ask(first, t or "")
+                    if second is not None and second is not first and is_weak(label):
+                        escalated = True
+                        label = ask(second, t or "")
+                    rows.append((k, json.dumps(label), None, escalated))
+                except Exception as e:
+                    rows.append((k, None, f"{type(e).__name__}: {e}", escalated))
+            yield pd.DataFrame(rows, columns=[key, "label", "error", "escalated"])
+
+    return df.select(F.col(key).cast("string"), text).mapInPandas(run, f"{key} string, label string, error string, escalated boolean")
+
+
+# ---- files and records ----
+
+
+def fetch_files(keys: DataFrame, key: str, fetcher: Fetcher, folder: str, ending: str = ".xml", overwrite: bool = False, tries: int = 10, pause: float = 0.0, most_pause: float = 10.0) -> DataFrame:
+    """(key, status, path, bytes, error): documents as files in a folder that all tasks share (SRC-17, SRC-18).
+
+    A file that is there is left alone (skipped); a new one is written under another name and renamed when it is whole. A pause
+    that the service asks for is kept.
+    """
 
-            for pdf in frames:
-                rows = []
-                for k, t in zip(pdf[key], pdf[text]):
+    def run(frames):
+        import os
+
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for k in pdf[key]:
+                path = f"{folder}/{k}{ending}"
+                if os.path.exists(path) and not overwrite:
+                    rows.append((k, "skipped", path, os.path.getsize(path), None))
+                    continue
+                wait, error = pause, None
+                for _ in range(tries):
                     try:
-                        rows.append((k, json.dumps(model.label(t or "")), None))
+                        content = fetcher.fetch(k)
+                        os.makedirs(folder, exist_ok=True)
+                        part = f"{path}.{os.getpid()}.part"
+                        with open(part, "wb") as f:
+                            f.write(content)
+                        os.replace(part, path)
+                        rows.append((k, "ok", path, len(content), None))
+                        break
+                    except RetryLater as e:
+                        error = f"{type(e).__name__}: {e}"
+                        time.sleep(min(most_pause, e.seconds))
                     except Exception as e:
-                        rows.append((k, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(rows, columns=[key, "label", "error"])
-
-        return run
-
-    schema = f"{key} string, label string, error string"
-    once = df.select(F.col(key).cast("string"), text).mapInPandas(run_with(first), schema).withColumn("escalated", F.lit(False))
-    if second is None:
-        return once
-    weak = (F.get_json_object("label", "$.confidence") == "low") | (F.get_json_object("label", "$.needs_review") == "true")
-    again = df.select(F.col(key).cast("string"), text).join(once.where(weak).select(key), key, "left_semi").mapInPandas(run_with(second), schema).withColumn("escalated", F.lit(True))
-    return once.where(~F.coalesce(weak, F.lit(False))).unionByName(again)
+                        error = f"{type(e).__name__}: {e}"
+                        time.sleep(min(most_pause, wait))
+                        wait *= 1.7
+                else:
+                    rows.append((k, "error", path, None, error))
+            yield pd.DataFrame(rows, columns=["key", "status", "path", "bytes", "error"]).astype({"bytes": "Int64"})
+
+    return keys.select(key).mapInPandas(run, "key string, status string, path string, bytes long, error string")
+
+
+def registry_rows(found: DataFrame, summarise: Callable[[list[str]], dict[str, dict]], query_id: str, term: str, total: int, batch: int = 200) -> DataFrame:
+    """Registry rows of found ids (SRC-16): summaries in batches; an id without a summary is left out.
+
+    A summary has articleids (idtype, value), pubdate, title, source, fulljournalname, authors (name) and pmclivedate.
+    """
+    from ..functions import text as S
+    from .tables import REGISTRY, registry_urls
+
+    ids = "array<struct<idtype:string,value:string>>"
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows, uids = [], [str(u) for u in pdf["uid"]]
+            for at in range(0, len(uids), batch):
+                got = summarise(uids[at : at + batch])
+                for u in uids[at : at + batch]:
+                    r = got.get(u)
+                    if isinstance(r, dict):
+                        author = next((a.get("name") for a in r.get("authors") or []), None)
+                        rows.append((u, [(i.get("idtype"), i.get("value")) for i in r.get("articleids") or []], r.get("pubdate"), r.get("title"), r.get("source"), r.get("fulljournalname"), author, r.get("pmclivedate")))
+            yield pd.DataFrame(rows, columns=["uid", "ids", "pubdate", "title", "journal_abbrev", "journal_full", "first_author", "pmclivedate"])
+
+    got = found.select("uid").mapInPandas(run, f"uid string, ids {ids}, pubdate string, title string, journal_abbrev string, journal_full string, first_author string, pmclivedate string")
+    named = got.select("*", *(S.id_value(F.col("ids"), k).alias(k) for k in ("pmcid", "pmid", "doi")), S.year_of(F.col("pubdate")).cast("string").alias("year"))
+    full = registry_urls(named).select("*", F.lit(query_id).alias("query_id"), F.lit(" ".join(term.split())).alias("query_term"), F.lit(str(total)).alias("ncbi_total_count"))
+    return full.select(*REGISTRY.fieldNames())
+
+
+def resolve_doi(doi: str, search: Callable[[str], list[str]]) -> str:
+    """The one record of a DOI (SRC-19): none or several are an error."""
+    found = list(dict.fromkeys(search(f"{doi.strip()}[doi]")))
+    if len(found) != 1:
+        raise LookupError(f"{doi} has {len(found)} records")
+    return found[0]
+
+
+def article_records(data: bytes) -> list[dict]:
+    """Reference fields of a set of article records in XML (SRC-19)."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    def text(e, path):
+        x = e.find(path)
+        return re.sub(r"\s+", " ", "".join(x.itertext())).strip() or None if x is not None else None
+
+    out = []
+    for a in ET.fromstring(data).iter("PubmedArticle"):
+        authors = [{"last_name": text(p, "LastName"), "initials": text(p, "Initials"), "collective_name": text(p, "CollectiveName")} for p in a.iterfind(".//AuthorList/Author")]
+        year = text(a, ".//JournalIssue/PubDate/Year") or (re.search(r"(19|20)[0-9]{2}", text(a, ".//JournalIssue/PubDate/MedlineDate") or "") or [None])[0]
+        doi = next((i.text.strip() for i in a.iterfind(".//ArticleIdList/ArticleId") if i.get("IdType") == "doi" and i.text), None)
+        out.append({"pmid": text(a, ".//MedlineCitation/PMID"), "title": text(a, ".//ArticleTitle"), "journal_abbrev": text(a, ".//Journal/ISOAbbreviation"), "year": year, "volume": text(a, ".//JournalIssue/Volume"), "issue": text(a, ".//JournalIssue/Issue"), "pages": text(a, ".//Pagination/MedlinePgn"), "doi": doi, "authors": authors})
+    return out
