@@ -155,4 +155,9 @@ def pick_k(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 42) -> int
 
 
 def rank_in_cluster(df: DataFrame, cluster: str, probability: str, tie: str) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(W.orderBy(cluster, F.desc(probability), tie)))
+    """Place of every row by cluster, then falling probability (WIN-10): its rank in the cluster after the sizes of the clusters before."""
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("_n"))
+    # as many rows as there are clusters
+    before = sizes.select(F.col(cluster).alias("_c"), F.coalesce(F.sum("_n").over(W.orderBy(cluster).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc(probability), tie)))
+    return ranked.join(before, F.col(cluster).eqNullSafe(F.col("_c"))).withColumn("place", F.col("_before") + F.col("_r")).drop("_c", "_before", "_r")

@@ -104,9 +104,14 @@ def analyze_splits_suite(labels: DataFrame, segments: DataFrame, embeddings: dic
     return K.scenario_suite(runs)
 
 
-def stability_splits(cases: DataFrame, key: str, vector: str, cluster: str, k: int = X.CLUSTERS, replicates: int = X.BOOTSTRAPS, share: float = X.BOOTSTRAP_SHARE) -> dict[str, DataFrame]:
+def stability_splits(cases: DataFrame, key: str, vector: str, cluster: str, k: int = X.CLUSTERS, replicates: int = X.BOOTSTRAPS, share: float = X.BOOTSTRAP_SHARE, positive: str | None = None, language: int | None = None) -> dict[str, DataFrame]:
+    """Refits on subsamples and under other seeds (ML-10, ML-11); the report needs the endpoint and the language cluster."""
     a = K.resampled(cases, key, vector, cluster, replicates, share, k)
-    return {"assignments": a, "ari": K.stability(a), "summary": R.quantile_summary(K.stability(a).withColumn("all", F.lit(1)), ["all"], "ari_vs_baseline")}
+    more = {}
+    if positive is not None and language is not None:
+        y = cases.select(key, positive)
+        more = {"stability_bootstrap": K.stability_report(a, y, key, positive, language), "stability_seed": K.stability_report(K.reseeded(cases, key, vector, cluster, range(X.SEEDS), k), y, key, positive, language)}
+    return more | {"assignments": a, "ari": K.stability(a), "summary": R.quantile_summary(K.stability(a).withColumn("all", F.lit(1)), ["all"], "ari_vs_baseline")}
 
 
 make_rater_sample, score_raters, relabel = A.rater_sample, A.score, A.relabel

@@ -121,7 +121,7 @@ def top_k_per_cluster(spark, d):
 @query(f"""WITH {CASES} SELECT split, count(*) FILTER (WHERE cluster = 'AUTOMOBILE') AS "AUTOMOBILE", count(*) FILTER (WHERE cluster = 'BUILDING') AS "BUILDING",
   count(*) FILTER (WHERE cluster = 'MACHINERY') AS "MACHINERY" FROM cases GROUP BY split""")
 def pivot_profile(spark, d):
-    return _cases(spark, d).groupBy("split").pivot("cluster", ["AUTOMOBILE", "BUILDING", "MACHINERY"]).count().fillna(0)
+    return R.pivot_counts(_cases(spark, d), ["split"], "cluster", ["AUTOMOBILE", "BUILDING", "MACHINERY"])
 
 
 FAMILY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "none"]
@@ -220,33 +220,12 @@ def first_use_dedupe(spark, d):
     return R.first_rows(t(spark, d, "conversations"), ["text"], ["conv_id", "turn"], 1).select("conv_id", "turn")
 
 
-LEAK = r"(?i)\b(" + "|".join(TERMS) + r")\b"
-
-
-@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{LEAK}')) AS INT) AS n_matches, list_aggregate(list_transform(regexp_extract_all(text, '{LEAK}'), lambda x: lower(x)), 'string_agg', ',') AS matches FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def leakage_counts(spark, d):
-    e = t(spark, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return e.select("doc_id", S.leak_count(F.col("text"), TERMS).alias("n_matches"), F.nullif(F.array_join(S.leak_matches(F.col("text"), TERMS), ","), F.lit("")).alias("matches"))
-
-
-@query(f"SELECT doc_id, md5(regexp_replace(text, '{LEAK}', '[REDACTED]', 'g')) AS redacted_md5 FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def redact_text(spark, d):
-    e = t(spark, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return e.select("doc_id", F.md5(S.redact(F.col("text"), TERMS)).alias("redacted_md5"))
-
-
 @query("SELECT CAST(0 AS BIGINT) AS leaks, count(*) AS n FROM documents")
 def leak_zero_after_redact(spark, d):
     x = t(spark, d, "documents").select(S.leak_count(S.redact(F.col("text"), TERMS, " "), TERMS).alias("n"))
     return x.agg(F.sum("n").cast("long").alias("leaks"), F.count("*").alias("n"))
 
 
-@query(r"SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS normal_md5 FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
-def normalize_text(spark, d):
-    e = t(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return e.select("doc_id", F.md5(S.normalize_text(F.col("text"))).alias("normal_md5"))
-
-
 @query("SELECT doc_id, sha256(text) AS text_sha256, left(sha1(CAST(doc_id AS VARCHAR) || chr(10) || source || chr(10) || text), 16) AS uid FROM documents")
 def content_hash(spark, d):
     return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), S.short_sha1(F.col("doc_id"), F.col("source"), F.col("text")).alias("uid"))
@@ -317,7 +296,7 @@ def composition(spark, d):
 
 @query("SELECT lang, count(*) AS n, round(avg(CAST(n_chars > 1000 AS INT)), 6) AS long_rate FROM documents GROUP BY lang")
 def value_counts(spark, d):
-    return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg((F.col("n_chars") > 1000).cast("int"))).alias("long_rate"))
+    return R.rates(t(spark, d, "documents"), ["lang"], F.col("n_chars") > 1000, "long_rate").withColumn("long_rate", r6("long_rate"))
 
 
 @query("SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
@@ -403,10 +382,10 @@ def jaccard(spark, d):
     return I.mask_jaccard(_assigned(spark, d), F.col("label") == 1, F.col("assigned") == 1).select(r6("jaccard").alias("jaccard"))
 
 
-@query("""WITH a AS (SELECT vec_id, r, (label + CASE WHEN r = 1 THEN vec_id % 2 ELSE 0 END) % 10 AS cl FROM embeddings, (SELECT unnest([0, 1]) AS r) WHERE label < 2)
+@query("""WITH a AS (SELECT vec_id, r, (label + CASE WHEN r = 1 THEN vec_id % 2 ELSE 0 END) % 10 AS cl FROM embeddings, (SELECT unnest([0, 1]) AS r))
 SELECT x.vec_id AS i, y.vec_id AS j, count(*) / 2 AS coassignment FROM a x JOIN a y ON x.r = y.r AND x.cl = y.cl AND x.vec_id < y.vec_id GROUP BY ALL""")
 def coassignment(spark, d):
-    e = t(spark, d, "embeddings").where("label < 2").select("vec_id", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("r"))
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("r"))
     a = e.select("vec_id", "r", ((F.col("label") + F.when(F.col("r") == 1, F.col("vec_id") % 2).otherwise(0)) % 10).alias("cl"))
     return V.coassignment(a, "vec_id", "r", "cl")
 
@@ -488,9 +467,17 @@ def hash_shard(spark, d):
     return t(spark, d, "customer").select("c_custkey", P.hash_shard(F.col("c_custkey").cast("string"), 16).alias("shard"))
 
 
-@query()
+def sample_sql(rows: str, n: int, name: str) -> str:
+    """Common table expressions up to ``name``: the sample of ``rows``, which has s (stratum) and k (key as text). One pass gives or takes what is missing or too much."""
+    return f"""{name}_c AS (SELECT s, count(*) AS c, sum(count(*)) OVER () AS total FROM {rows} GROUP BY s), {name}_e AS (SELECT *, {n} * c / total AS x, CAST(least(c, greatest(1, floor({n} * c / total))) AS BIGINT) AS got FROM {name}_c),
+{name}_g AS (SELECT *, CAST({n} - sum(got) OVER () AS BIGINT) AS gap FROM {name}_e), {name}_r AS (SELECT *, row_number() OVER (PARTITION BY got < c ORDER BY -(x - floor(x)), s) AS up, row_number() OVER (PARTITION BY got > 1 ORDER BY -got, s) AS down FROM {name}_g),
+{name}_t AS (SELECT s, got + CASE WHEN gap > 0 AND got < c AND up <= gap THEN 1 WHEN gap < 0 AND got > 1 AND down <= -gap THEN -1 ELSE 0 END AS take FROM {name}_r),
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('42:' || k), k) AS o FROM {rows}), {name} AS (SELECT {name}_o.* EXCLUDE (o) FROM {name}_o JOIN {name}_t USING (s) WHERE o <= take)"""
+
+
+@query(f"WITH d AS (SELECT doc_id, lang, source, concat_ws('|', lang, source) AS s, CAST(doc_id AS VARCHAR) AS k FROM documents), {sample_sql('d', 200, 'z')} SELECT doc_id, lang, source FROM z")
 def stratified_sample(spark, d):
-    """200 documents over language and source (allocation is tested by itself)."""
+    """200 documents over language and source."""
     docs = t(spark, d, "documents").select("doc_id", "lang", "source")
     return P.stratified_sample(docs, F.concat_ws("|", "lang", "source"), ["doc_id"], 200)
 
@@ -530,20 +517,18 @@ def top_n_registry(spark, d):
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def left_join_counts(spark, d):
-    n = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return t(spark, d, "customer").select("c_custkey").join(n, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+    return R.left_counts(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], "n_orders")
 
 
 @query("""SELECT s_suppkey, CASE WHEN n_name IS NULL THEN 'missing' ELSE lower(trim(n_name)) END AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
 def map_lookup(spark, d):
-    n = t(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name").dropDuplicates(["s_nationkey"])
-    return t(spark, d, "supplier").join(F.broadcast(n), "s_nationkey", "left").select("s_suppkey", S.category(F.col("n_name")).alias("nation"))
+    return R.map_values(t(spark, d, "supplier"), "s_nationkey", t(spark, d, "nation"), "n_nationkey", "n_name", "nation").select("s_suppkey", S.category(F.col("nation")).alias("nation"))
 
 
 @query("SELECT doc_id, 'toxic' AS origin FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'quality' FROM labels WHERE quality = 1")
 def union_forced(spark, d):
     x = t(spark, d, "labels")
-    return x.where("toxic = 1").select("doc_id", F.lit("toxic").alias("origin")).unionByName(x.where("quality = 1").select("doc_id", F.lit("quality").alias("origin")))
+    return R.union_tagged({"toxic": x.where("toxic = 1").select("doc_id"), "quality": x.where("quality = 1").select("doc_id")})
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -581,3 +566,6 @@ def cohort_analysis(spark, d):
     cases = t(spark, d, "labels").select(F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, "discovery").otherwise("confirmation").alias("split"), (F.col("quality") == 1).alias("is_ppa"))
     v = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return K.analyse_splits(cases, v, seeds=range(2), draws=50)["effects"]
+
+
+from . import catalog_cohort, catalog_documents  # noqa: E402, F401 (registers its queries)

@@ -135,26 +135,64 @@ def pooled_notes(notes: DataFrame, patient: str, text_vector: str, label: str, o
 def resampled(cases: DataFrame, key: str, vector: str, baseline: str, replicates: int, share: float, k: int, seed: int = X.SEED) -> DataFrame:
     """Assignments of all cases by k-means on each subsample: (replicate, key, cluster, baseline) (ML-10).
 
-    Replicates are groups of their own; a group holds one subsample and the (small) cohort to assign.
+    A refit's clusters carry the numbers of the baseline's clusters that their centres match one to one. Replicates are groups of
+    their own; a group holds one subsample and the (small) cohort to assign.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = P.bootstrap(cases.select(key, vector, baseline), key, replicates, share, k, seed).withColumn("_in", F.lit(True))
     every = cases.select(key, vector, baseline, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     marked = every.join(rows.select(key, "replicate", "_in"), [key, "replicate"], "left")
 
-    def run(pdf):
-        x = np.array(pdf[vector].tolist(), float)
-        use = pdf["_in"].notna().to_numpy()
-        c = lloyd(x[use], k, seed + int(pdf["replicate"].iloc[0]))
-        home = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-        return pd.DataFrame({"replicate": pdf["replicate"], key: pdf[key], "cluster": home.astype("int32"), "baseline": pdf[baseline].astype("int32")})
+    return _refitted(marked, key, vector, baseline, k, lambda number: seed + number)
+
 
-    kind = dict(cases.dtypes)[key]
+def reseeded(cases: DataFrame, key: str, vector: str, baseline: str, seeds: Sequence[int], k: int) -> DataFrame:
+    """The same for k-means on all cases under other seeds; the replicate is the seed (ML-11)."""
+    every = cases.select(key, vector, baseline, F.lit(True).alias("_in"), F.explode(F.array(*map(F.lit, seeds))).alias("replicate"))
+    return _refitted(every, key, vector, baseline, k, lambda number: number)
+
+
+def _refitted(marked: DataFrame, key: str, vector: str, baseline: str, k: int, seed_of) -> DataFrame:
+    """Of every replicate: k-means on the rows that are in, all rows assigned, clusters named after the baseline's."""
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf):
+        x, old = np.array(pdf[vector].tolist(), float), pdf[baseline].to_numpy()
+        c = lloyd(x[pdf["_in"].notna().to_numpy()], k, seed_of(int(pdf["replicate"].iloc[0])))
+        home = nearest_rows(x, c)
+        names = np.unique(old)
+        base = np.stack([x[old == n].mean(0) for n in names])
+        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+        like = unit(c) @ unit(base).T
+        to = V.best_matching({(i, j): float(like[i, j]) for i in range(len(c)) for j in range(len(base))})
+        # clusters beyond the baseline's get numbers after its largest
+        number = {i: int(names[j]) for i, j in to.items()}
+        number |= {i: int(names.max()) + 1 + i for i in range(len(c)) if i not in number}
+        return pd.DataFrame({"replicate": pdf["replicate"], key: pdf[key], "cluster": np.array([number[h] for h in home], "int32"), "baseline": old.astype("int32")})
+
+    kind = dict(marked.dtypes)[key]
     return marked.groupBy("replicate").applyInPandas(run, f"replicate int, {key} {kind}, cluster int, baseline int")
 
 
+def nearest_rows(x, centres, block: int = 4096):
+    """Nearest centre of every row, a block of rows at a time."""
+    import numpy as np
+
+    far = (centres * centres).sum(1)
+    return np.concatenate([(far - 2 * x[at : at + block] @ centres.T).argmin(1) for at in range(0, len(x), block)]) if len(x) else np.zeros(0, int)
+
+
+def stability_report(assignments: DataFrame, positives: DataFrame, key: str, positive: str, language: int) -> DataFrame:
+    """Of every replicate: ARI against the baseline, overlap of the language cluster with the baseline's, its size, share and ratio (ML-10, ML-11)."""
+    rows = assignments.join(positives.select(key, F.col(positive).cast("boolean").alias("_y")), key)
+    now, then, y = F.col("cluster") == language, F.col("baseline") == language, F.coalesce("_y", F.lit(False))
+    per = rows.groupBy("replicate").agg(F.count_if(now & then).alias("both"), F.count_if(now | then).alias("either"), F.count_if(now).alias("language_cluster_size"), F.count_if(now & y).alias("a"), F.count_if(y).alias("_pos"), F.count("*").alias("_n"))
+    b, c = F.col("language_cluster_size") - F.col("a"), F.col("_pos") - F.col("a")
+    e = stats.effect_sizes(F.col("a"), b, c, F.col("_n") - F.col("language_cluster_size") - c)
+    found = per.select("replicate", stats.jaccard(F.col("both"), F.col("either")).alias("jaccard_language_membership"), F.lit(language).alias("language_cluster"), "language_cluster_size", e["share_cluster"].alias("share_language_cluster"), e["rr"].alias("rr"))
+    return stability(assignments).join(found, "replicate")
+
+
 def lloyd(x, k: int, seed: int, restarts: int = 5, rounds: int = 50):
     """Best of a few seeded k-means runs on a small matrix."""
     import numpy as np

@@ -108,6 +108,19 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
     return "\n".join([line(df.columns), line(["-"] * len(df.columns)), *(line(r) for r in rows)])
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a temporary one only where none is named and all tasks run in this process."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="cohortlens-")
+    return f"{at}/{uuid.uuid4().hex}"
+
+
 # ---- registry ----
 
 
