@@ -484,7 +484,8 @@ def _score(shared, bits: int):
         table["id"], table["known_id"] = [d[0] or 0 for d in docs], known
         for k, name in enumerate(("words", "n_bytes", "ln_p", "logs", "known"), 1):
             table[name] = [d[k] for d in docs]
-        yield (_DOCS, int(batch % (1 << bits)), batch, table.tobytes(), None)
+        # tasks have several batches at most: both parts of the name spread them
+        yield (_DOCS, ((batch >> 32) + batch) & ((1 << bits) - 1), batch, table.tobytes(), None)
         words, rows = np.concatenate(words), np.concatenate(rows)
         flags = np.array(train, np.uint8).tobytes()
         word = ((words << np.uint64(bits)) & ~np.uint64(0xFFFF)) | rows.astype(np.uint64)
