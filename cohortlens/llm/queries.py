@@ -62,6 +62,18 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(C.table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+#: All pairs, for the scale of the check.
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS node, vec_id AS comp FROM v UNION SELECT l.b, r.comp FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, comp AS component_id, vec_id = comp AS kept FROM v JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest_neighbours
 
@@ -119,6 +131,19 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(docs).select("doc_id", "n_shingles", "component_id")
 
 
+#: All pairs with a shingle in common, for the scale of the check.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS node, doc_id AS comp FROM documents UNION SELECT l.b, r.comp FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, comp AS component_id FROM w JOIN c ON node = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -152,4 +177,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op5_url_filter": OP5_SQL, "op8_warc": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op5_url_filter": OP5_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_warc": OP8_SQL}
