@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, n-gram Jaccard join, mixing to target weights, best-fit packing.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-``run`` writes each stage's rows as Parquet into the shared folder and reads them again as the next stage's input.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents (extra columns, whatever their names, travel along).
+Null and empty texts have no language and go in the first stage, as do texts without a letter. Repeated rows with an id are one group of the second
+stage: one of them stays, ties being equal rows; rows without an id stay all. A null source is a source of its own in the third and fourth stage.
+Very long texts are judged whole and packed in pieces. Empty tables give empty results. ``run`` writes each stage's rows as Parquet into the shared folder and reads them again as the next stage's input.
 """
 
 from __future__ import annotations
