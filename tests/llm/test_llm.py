@@ -333,6 +333,30 @@ def test_pack_is_best_fit(sources, clusters):
         assert (np.diff(bins.residual[: bins.n]) >= 0).all()
 
 
+@pytest.mark.parametrize("sources,clusters,quota", [(3, 5, 2), (200, 300, 1), (90, 4, 3)])
+def test_pack_places_like_a_search_of_all_bins(sources, clusters, quota):
+    """Placement by placement: the tightest compatible bin, of equal ones the last touched."""
+    from cohortlens.llm.packing import pack
+
+    rng = random.Random(sources)
+    sizes = sorted((rng.randint(0, 60) for _ in range(700)), reverse=True)
+    src = [0 if rng.random() < 0.4 else rng.randint(1, sources) for _ in sizes]
+    clu = [rng.choice([None, rng.randint(1, clusters)]) for _ in sizes]
+    bins, want = [], []
+    for at, (n, s, c) in enumerate(zip(sizes, src, clu)):
+        fits = [b for b in bins if b["left"] >= n and b["of"][s] < quota and (c is None or c not in b["in"])]
+        b = min(fits, key=lambda b: (b["left"], -b["at"]), default=None)
+        if b is None:
+            b = {"left": 100, "of": Counter(), "in": set(), "id": len(bins)}
+            bins.append(b)
+        b["left"] -= n
+        b["at"] = at
+        b["of"][s] += 1
+        b["in"].add(c)
+        want.append(b["id"])
+    assert pack(sizes, src, clu, 100, quota) == want
+
+
 def test_packing_keeps_every_character(docs, rows, empty):
     from cohortlens.llm.packing import pack_documents
 
