@@ -380,3 +380,113 @@ def test_settings_and_columns(spark, tmp_path):
         C.resolve_columns(["a"], {"b": []}, ["b"])
     C.publish(spark.range(3), f"{tmp_path}/t", "run1")
     assert C.published(spark, f"{tmp_path}/t").count() == 3
+
+
+# ---- refusals, services, refits ----
+
+
+@pytest.mark.parametrize("p", [None, float("nan"), -0.1, 1.1])
+def test_fdr_refuses_bad_values(spark, p):
+    df = spark.createDataFrame([(0.1, "a"), (p, "b")], "p double, k string")
+    with pytest.raises(Exception, match="must be a number"):
+        R.bh_fdr(df, "p", "k").collect()
+    with pytest.raises(ValueError):
+        R.bh_fdr(df, "p", "k", alpha=0)
+
+
+def test_few_draws_take_strata_by_seed(spark):
+    df = spark.createDataFrame([(i, f"s{i % 10}") for i in range(100)], "k int, s string")
+    got = [{r.s for r in P.stratified_sample(df, F.col("s"), ["k"], 3, seed).collect()} for seed in range(8)]
+    assert all(len(g) == 3 for g in got) and len(set(map(frozenset, got))) > 3
+    with pytest.raises(ValueError):
+        P.stratified_sample(df, F.col("s"), ["k"], 0)
+
+
+def test_slug_is_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert one(spark, S.run_slug(F.lit("2024-07-01 20:00:00").cast("timestamp"))) == "20240702T000000Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_guardrail_takes_the_first_selected_section(spark):
+    block = lambda i, source, sec, text: ("P", source, i, f"P__{i}", [sec], sec, text, len(text))
+    blocks = spark.createDataFrame([block(0, "body", "Case report", "The proband."), block(1, "body", "A patient", "This is an index case."), block(2, "body", "Clinical", "An index case.")], T.BLOCKS)
+    order = lambda *names: spark.createDataFrame([("P", n, i) for i, n in enumerate(names)], "pmcid string, sec_path_str string, place int")
+    assert D.guardrail(blocks, order("Clinical", "Case report", "A patient")).first().markers == ["proband@Case report"]
+    assert D.guardrail(blocks, order("A patient", "Case report")).first().markers == ["index_case@A patient"]
+    assert D.guardrail(blocks, order("Clinical")).first().markers == ["no_narrative_anchor"]
+
+
+def test_labels_of_a_case_escalate(spark):
+    from cohortlens.plans import api
+
+    class Model:
+        def __init__(self, confidence, note):
+            self.confidence, self.note = confidence, note
+
+        def label(self, packet):
+            return {"pmcid": "P", "case_id": packet, "ftld_inclusion_tier": "ftld_strict", "label_confidence": self.confidence, "evidence_block_ids": ["b"], "notes": self.note}
+
+    cases = spark.createDataFrame([("1", "1")], "case_id string, packet string")
+    label = lambda *models: api.label_cases(cases, *models)[0].first()
+    weak = Model("low", "weak")
+    assert (label(weak, Model("high", "sure")).notes, label(weak, Model("high", "sure")).escalated) == ("sure", True)
+    assert (label(weak, weak).notes, label(weak, weak).escalated, label(Model("high", "x"), Model("low", "y")).notes) == ("weak", False, "x")
+
+
+def test_model_calls_try_again():
+    asked = []
+
+    def post(request):
+        asked.append((request.get("effort"), request["max_output_tokens"]))
+        if request.get("effort") == "high":
+            raise services.Refused("no such effort")
+        if len(asked) == 2:
+            raise OSError("gone")
+        return {"output": [{"content": [{"text": '{"a": '}]}]} if request["max_output_tokens"] == 2000 else {"choices": [{"message": {"content": 'so {"a": 1}'}}]}
+
+    assert services.ask(services.ModelLabeler(post), "x") == {"a": 1}
+    assert asked == [("high", 2000), ("medium", 2000), ("medium", 2000), ("high", 4000), ("medium", 4000)]
+    assert services.reply_text({"output_text": "t"}) == "t"
+    with pytest.raises(ValueError):
+        services.reply_text({"status": "completed"})
+
+
+def test_article_records_and_dois():
+    xml = b"""<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>7</PMID><Article><Journal><ISOAbbreviation>J</ISOAbbreviation><JournalIssue><Volume>1</Volume><PubDate><MedlineDate>2020 Jan-Feb</MedlineDate></PubDate></JournalIssue></Journal>
+    <ArticleTitle>On <i>x</i>.</ArticleTitle><Pagination><MedlinePgn>1-9</MedlinePgn></Pagination><AuthorList><Author><LastName>L</LastName><Initials>A</Initials></Author><Author><CollectiveName>G</CollectiveName></Author></AuthorList></Article></MedlineCitation>
+    <PubmedData><ArticleIdList><ArticleId IdType="doi">10.1/x</ArticleId></ArticleIdList></PubmedData></PubmedArticle></PubmedArticleSet>"""
+    (r,) = services.article_records(xml)
+    assert (r["pmid"], r["title"], r["year"], r["doi"], r["pages"], r["issue"], [a["last_name"] or a["collective_name"] for a in r["authors"]]) == ("7", "On x.", "2020", "10.1/x", "1-9", None, ["L", "G"])
+    assert services.resolve_doi(" 10.1/x ", lambda q: ["7", "7"] if q == "10.1/x[doi]" else []) == "7"
+    with pytest.raises(LookupError):
+        services.resolve_doi("10.1/x", lambda q: ["7", "8"])
+
+
+def test_refits_carry_the_baselines_numbers(spark):
+    rows = [(i, [float(10 * (i % 3)) + 0.01 * i, float((i % 3) ** 2)], 2 - i % 3, i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, v array<double>, g int, y boolean")
+    for a in (K.resampled(df, "k", "v", "g", 3, 0.8, 3), K.reseeded(df, "k", "v", "g", [0, 5], 3)):
+        got = a.collect()
+        assert got and all(r.cluster == r.baseline for r in got)
+        report = K.stability_report(a, df, "k", "y", 2).collect()
+        assert all(r.ari_vs_baseline == 1 and r.jaccard_language_membership == 1 and r.share_language_cluster == 1 and r.language_cluster_size == 20 for r in report)
+
+
+def test_extraction_by_a_models_choice(spark):
+    from cohortlens.plans import api
+
+    block = lambda i, source, sec, text: ("P", source, i, f"P__{i}", [sec], sec, text, len(text))
+    blocks = spark.createDataFrame([block(0, "abstract", "", "He was diagnosed."), block(1, "body", "Case report", "The proband spoke."), block(2, "body", "History", "A long history."), block(3, "body", "Methods", "We used PSP criteria."), block(4, "body", "Clinical course", "It went on.")], T.BLOCKS)
+    chosen = api.chosen_sections(blocks, spark.createDataFrame([("P", ["History", "Made up"])], "pmcid string, selected array<string>"))
+    assert [r.sec_path_str for r in chosen.orderBy("place").collect()] == ["Case report", "History"]
+    got = {r.segment_type: r.block_ids for r in api.extract_segments(blocks, ["zzz"]).collect()}
+    assert got == {"case_presentation": ["P__1", "P__2", "P__4"], "other": ["P__0", "P__3"]}
+    lists = lambda *rows: spark.createDataFrame([("P", "case_1", k, ids) for k, ids in rows], "pmcid string, case_id string, segment_type string, block_ids array<string>")
+    both = {r.segment_type: r.block_ids for r in api.extract_segments(blocks, [], lists=lists(("other", ["P__1", "P__4"]), ("case_presentation", ["P__1"]))).collect()}
+    assert both == {"case_presentation": ["P__1"], "other": ["P__4"]}
+    with pytest.raises(ValueError):
+        api.extract_segments(blocks, [], lists=lists(("other", ["P__9"])))
