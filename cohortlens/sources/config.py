@@ -116,3 +116,27 @@ def load_environment(path: str) -> dict[str, str]:
     for k, v in got.items():
         os.environ.setdefault(k, v)
     return got
+
+
+def run_config(parameters: dict, prompts: dict[str, str] | None = None, counts: dict[str, int] | None = None) -> dict:
+    """What a run writes down of itself (SNK-04): parameters, SHA-256 of every prompt, versions, counts."""
+    import hashlib
+    import platform
+
+    import pyspark
+
+    hashes = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in (prompts or {}).items()}
+    return {"parameters": parameters, "prompt_sha256": hashes, "versions": {"python": platform.python_version(), "pyspark": pyspark.__version__}, "counts": counts or {}}
+
+
+def lock_references(path: str, numbers: dict[str, int], records: dict[str, dict]) -> dict:
+    """Writes the cited records in order of their numbers, whole or not at all (CIT-06); a key without a record is an error."""
+    missing = sorted(set(numbers) - set(records))
+    if missing:
+        raise KeyError(f"no record of {missing}")
+    got = {"references": [{"number": n, "cite_key": k, **records[k]} for k, n in sorted(numbers.items(), key=lambda x: x[1])]}
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        json.dump(got, f, indent=2, sort_keys=True, ensure_ascii=False)
+    os.replace(f"{path}.part", path)
+    return got

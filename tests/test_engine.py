@@ -1,5 +1,6 @@
 """The cohort engine: hand values, invariants, and every query against its SQL at the smallest scale."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -490,3 +491,15 @@ def test_extraction_by_a_models_choice(spark):
     assert both == {"case_presentation": ["P__1"], "other": ["P__4"]}
     with pytest.raises(ValueError):
         api.extract_segments(blocks, [], lists=lists(("other", ["P__9"])))
+
+
+def test_run_config_and_reference_lock(tmp_path):
+    from cohortlens.sources import config as C
+
+    c = C.run_config({"k": 4}, {"label": "say"}, {"cases": 3})
+    assert c["prompt_sha256"] == {"label": hashlib.sha256(b"say").hexdigest()} and c["counts"] == {"cases": 3} and set(c["versions"]) == {"python", "pyspark"}
+    path = f"{tmp_path}/a/lock.json"
+    C.lock_references(path, {"b": 2, "a": 1}, {"a": {"pmid": "7"}, "b": {"pmid": "8"}, "c": {"pmid": "9"}})
+    assert [(r["number"], r["cite_key"], r["pmid"]) for r in json.load(open(path))["references"]] == [(1, "a", "7"), (2, "b", "8")]
+    with pytest.raises(KeyError):
+        C.lock_references(path, {"x": 1}, {})
