@@ -11,7 +11,12 @@ How the work is split:
    shingle. A range keeps the shingles that two classes or more hold and grades them by the
    logarithm of that number. A class that shares fewer than 80 % of its set with anything has no
    partner; this ends the work for nearly all documents. It is the prefix filter under an order
-   that puts unshared shingles first.
+   that puts unshared shingles first. The pass that describes the sets also counts shingles: for
+   every million of them a task names the ``HOT`` that most classes hold, and the ``HOT`` largest
+   sums over all tasks are taken as shared before the shuffle. They are dealt by class and shingle
+   instead of by range, so that the holders of one of them never meet in one group. A shingle that
+   stays in its range makes up about two in ``HOT`` of all shingles at most. Taking a shingle as shared
+   that only one class holds changes no link: it widens a prefix.
 2. *Prefixes.* The first global order is (grade, hash). A class lists the shared shingles within
    its prefix. Of the classes that list a shingle, the one that shares most is the hub, and the
    others go to the hub's cell: as many rows as the prefix has, never pairs.
@@ -42,6 +47,10 @@ ORDERS = 3
 BLOCK = 1_500_000
 #: Shingles that a task holds before it hands them on.
 HELD = 1_000_000
+#: Shingles that are dealt by class: the most frequent ones. The others are found by range.
+HOT = 4096
+#: A shingle that fewer sets of a task hold isn't named as frequent.
+LEAST_HOT = 64
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -77,36 +86,75 @@ def _key(s: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+def _frequent(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``HOT`` most frequent shingles of some sets, with the number of sets that hold them."""
+    tokens, held = np.unique(np.concatenate(parts), return_counts=True)
+    some = held >= LEAST_HOT
+    tokens, held = tokens[some], held[some]
+    most = np.argsort(-held, kind="stable")[:HOT]
+    return tokens[most], held[most]
+
+
 def _describe(words: int):
+    """A row per document; besides, rows without one that name a frequent shingle (key) and the sets that hold it (n_shingles)."""
+
+    def rows(ids, sizes, keys, hot):
+        n = len(sizes)
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array([hot] * n, pa.bool_())], names=["doc_id", "n_shingles", "key", "hot"])
+
+    def named(parts):
+        tokens, held = _frequent(parts)
+        return rows(pa.nulls(len(tokens), pa.int64()), held, tokens.view(np.int64), True)
+
     def run(batches):
         with np.errstate(over="ignore"):
+            parts, seen, total = [], set(), 0
             for b in batches:
                 ids, keys, sizes = b.column(0), [], []
                 for _, texts in C.text_chunks(b.column(1)):
                     for s in shingles(texts, words):
-                        keys.append(_key(s))
+                        keys.append(k := _key(s))
                         sizes.append(len(s))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "n_shingles", "key"])
+                        if not len(s) or k in seen:
+                            continue
+                        seen.add(k)
+                        parts.append(s)
+                        total += len(s)
+                        if total > HELD:
+                            yield named(parts)
+                            parts, seen, total = [], set(), 0
+                yield rows(ids, sizes, keys, False)
+            if parts:
+                yield named(parts)
 
     return run
 
 
-def _pack(words: int, bits: int):
-    """Sets to (range, classes, sizes, packed shingles). A piece's word holds 48 bits of hash over 16 bits of row."""
+def _pack(words: int, bits: int, hot: np.ndarray):
+    """Sets to (range, classes, sizes, packed shingles). A piece's word holds 48 bits of hash over 16 bits of row.
+
+    Shingles of ``hot`` (sorted) go to as many ranges again, by class and shingle; their words hold the place in ``hot``.
+    """
 
     def flush(keys, sizes, parts):
         if not parts:
             return
         tokens = np.concatenate(parts)
         rows = np.repeat(np.arange(len(parts), dtype=np.uint64), [len(p) for p in parts])
-        which = (tokens >> np.uint64(64 - bits)).astype(np.uint16)
-        order = np.argsort(which, kind="stable")
+        keys, sizes = np.array(keys, np.int64), np.array(sizes, np.int32)
+        which = (tokens >> np.uint64(64 - bits)).astype(np.int64)
         word = ((tokens << np.uint64(bits)) & ~np.uint64(0xFFFF)) | rows
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+            at = np.flatnonzero(hot[place] == tokens)
+            by = C.mix(tokens[at] ^ keys.view(np.uint64)[rows[at].astype(np.int64)])
+            which[at] = (by >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
+            word[at] = (place[at].astype(np.uint64) << np.uint64(16)) | rows[at]
+        order = np.argsort(which, kind="stable")
         word, which, rows = word[order], which[order], rows[order].astype(np.int64)
-        ends = np.searchsorted(which, np.arange((1 << bits) + 1))
-        keys, sizes = np.array(keys, np.int64), np.array(sizes, np.int32)
+        ends = np.searchsorted(which, np.arange((2 << bits) + 1))
         out = ([], [], [], [])
-        for k in range(1 << bits):
+        for k in range(2 << bits):
             a, z = ends[k], ends[k + 1]
             if a == z:
                 continue
@@ -138,10 +186,12 @@ def _pack(words: int, bits: int):
     return run
 
 
-def _repeated(bits: int):
-    """Of one range: for every class, its shingles that another class holds too, under their grade."""
+def _repeated(bits: int, hot: np.ndarray, hot_held: np.ndarray):
+    """Of one range: for every class, its shingles that another class holds too, under their grade. Shingles of ``hot`` are taken as shared."""
 
     def run(key, t):
+        at_range = key[0].as_py()
+        known = at_range >= 1 << bits
         words, keys, sizes, base = [], [], [], 0
         for k, s, w in zip(t["keys"], t["sizes"], t["words"]):
             k = np.frombuffer(k.as_buffer(), np.int64)
@@ -159,21 +209,27 @@ def _repeated(bits: int):
         sizes, row = sizes[first], cls[row]
         order = np.argsort(h)
         h, row = h[order], row[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        many = ~new | np.concatenate([~new[1:], [False]])
-        h, row = h[many], row[many]
-        if not len(h):
-            return none
+        if not known:
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            many = ~new | np.concatenate([~new[1:], [False]])
+            h, row = h[many], row[many]
+            if not len(h):
+                return none
         order = np.lexsort((row, h))
         h, row = h[order], row[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
         h, row = h[fresh], row[fresh]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        held = np.diff(np.append(head, len(h)))
-        held = np.repeat(held, held)
-        h, row, held = h[held > 1], row[held > 1], held[held > 1]
+        if known:
+            place = (h >> np.uint64(16)).astype(np.int64)
+            held, full = hot_held[place], hot[place]
+        else:
+            head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            held = np.diff(np.append(head, len(h)))
+            held = np.repeat(held, held)
+            h, row, held = h[held > 1], row[held > 1], held[held > 1]
+            full = (np.uint64(at_range) << np.uint64(64 - bits)) | (h >> np.uint64(bits))
         grade = np.minimum(np.log2(np.maximum(held, 1)).astype(np.uint64), np.uint64(63))
-        token = (grade << np.uint64(56)) | (((np.uint64(key[0].as_py()) << np.uint64(64 - bits)) | (h >> np.uint64(bits))) >> np.uint64(8))
+        token = (grade << np.uint64(56)) | (full >> np.uint64(8))
         order = np.argsort(row, kind="stable")
         row, token = row[order], token[order].view(np.int64)
         used, at = np.unique(row, return_index=True)
@@ -326,10 +382,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     #: Ranges grow with the partitions that the cluster is set to, so that one holds a few million shingles at most.
     bits = max(6, min(16, int(np.ceil(np.log2(2 * parts)))))
     ids, text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), docs.select(F.col(text_col).cast("string").alias("text"))
-    info = C.cut(ids.mapInArrow(_describe(words), "doc_id long, n_shingles long, key long"))
-
-    pieces = text.where(F.col("text").isNotNull()).mapInArrow(_pack(words, bits), "range int, keys binary, sizes binary, words binary")
-    shared = pieces.groupBy("range").applyInArrow(_repeated(bits), "key long, n int, tokens array<long>")
+    described = C.cut(ids.mapInArrow(_describe(words), "doc_id long, n_shingles long, key long, hot boolean"))
+    info = described.where("NOT hot").drop("hot")
+    # at most HOT rows
+    counted = described.where("hot").groupBy("key").agg(F.sum("n_shingles").alias("held")).orderBy(F.desc("held"), "key").limit(HOT).collect()
+    hot = np.array([r.key for r in counted], np.int64).view(np.uint64)
+    hot, hot_held = np.sort(hot), np.array([r.held for r in counted], np.int64)[np.argsort(hot)]
+
+    pieces = text.where(F.col("text").isNotNull()).mapInArrow(_pack(words, bits, hot), "range int, keys binary, sizes binary, words binary")
+    shared = pieces.groupBy("range").applyInArrow(_repeated(bits, hot, hot_held), "key long, n int, tokens array<long>")
     left = shared.groupBy("key", "n").agg(F.flatten(F.collect_list("tokens")).alias("tokens")).where(F.size("tokens") * 100 >= F.col("n") * percent)
     left = C.cut(left)
 

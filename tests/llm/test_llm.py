@@ -85,20 +85,41 @@ def components_of(sets):
     return [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [1_500_000, 700])
-def test_ngram_join_equals_all_pairs(spark, docs, rows, block):
-    """A small block size cuts cells into many blocks and takes the path across blocks."""
-    from cohortlens.llm.ngram_join import ngram_jaccard_join
-
+def all_pairs_joined(rows):
+    """Counter of (doc_id, n_shingles, component_id) by comparing all pairs."""
     sets = [shingle_set(r[1]) for r in rows]
     group = components_of(sets)
     least = {}
     for r, g in zip(rows, group):
         if r[0] is not None:
             least[g] = min(least.get(g, r[0]), r[0])
-    want = Counter((r[0], len(s), r[0] if not s else least.get(g)) for r, s, g in zip(rows, sets, group))
+    return Counter((r[0], len(s), r[0] if not s else least.get(g)) for r, s, g in zip(rows, sets, group))
+
+
+@pytest.mark.parametrize("block", [1_500_000, 700])
+def test_ngram_join_equals_all_pairs(spark, docs, rows, block):
+    """A small block size cuts cells into many blocks and takes the path across blocks."""
+    from cohortlens.llm.ngram_join import ngram_jaccard_join
+
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(clash(docs), block=block).collect())
-    assert got == want
+    assert got == all_pairs_joined(rows)
+
+
+def test_ngram_join_with_frequent_shingles(spark):
+    """Passages in most of the texts are dealt by class; texts that link by them, or by them and a few shingles more, still meet."""
+    from cohortlens.llm import ngram_join as J
+
+    rng = random.Random(11)
+    passages = [prose("en", 60, rng) for _ in range(3)]
+    rows = [(i, f"{passages[i % 3]} {prose('de', rng.choice([0, 3, 6, 10, 12, 15, 18, 40, 90]), rng)}", None, None, None) for i in range(400)]
+    rows += [(1000 + i, f"{prose('fr', 12, rng)} {passages[0]} {passages[1]}", None, None, None) for i in range(80)]
+    rows += [(2000 + i, rows[5][1], None, None, None) for i in range(100)]
+    tokens, held = J._frequent(J.shingles([r[1].encode() for r in rows]))
+    assert len(tokens) >= 150 and held.min() >= J.LEAST_HOT
+    docs = spark.createDataFrame(rows, DOCS)
+    for parts in (1, 3):
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_jaccard_join(docs.coalesce(parts)).collect())
+        assert got == all_pairs_joined(rows)
 
 
 def test_ngram_join_of_nothing(empty):
