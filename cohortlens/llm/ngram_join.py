@@ -15,7 +15,8 @@ How the work is split:
    every million of them a task names the ``HOT`` that most classes hold, and the ``HOT`` largest
    sums over all tasks are taken as shared before the shuffle. They are dealt by class and shingle
    instead of by range, so that the holders of one of them never meet in one group. A shingle that
-   stays in its range makes up about two in ``HOT`` of all shingles at most. Taking a shingle as shared
+   stays in its range makes up about two in ``HOT`` of all shingles at most, where tasks hold a million;
+   small tasks leave out those that less than ``LEAST_HOT`` of their classes hold. Taking a shingle as shared
    that only one class holds changes no link: it widens a prefix.
 2. *Prefixes.* The first global order is (grade, hash). A class lists the shared shingles within
    its prefix. Of the classes that list a shingle, the one that shares most is the hub, and the
