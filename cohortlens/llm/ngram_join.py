@@ -23,8 +23,9 @@ How the work is split:
    others go to the hub's cell: as many rows as the prefix has, never pairs.
 3. *Cells.* Two classes that share a prefix shingle meet in the cell of that shingle's hub. Within
    a cell, the hub is compared first. Only classes that are not in its component are expanded
-   against the rest; their candidates must share a prefix shingle under each of ``ORDERS`` global
-   orders and have fitting sizes, and are then verified on whole sets. Large cells are cut into
+   against the rest; their candidates come from the postings of their prefix shingles, must share
+   a prefix shingle under each of ``ORDERS`` global orders, have fitting sizes and belong to another
+   group of the links found so far, and are then verified on whole sets. Large cells are cut into
    blocks; then the classes that their block left outside meet all other blocks.
 4. *Components* of the verified links, by star contraction.
 
@@ -270,49 +271,69 @@ def _prefixes(percent: int):
     return run
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of the given sizes, one run after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class _Cell:
-    """Classes of a cell in flat arrays: overlap counts of one class with all others in one pass."""
+    """Classes of a cell in flat arrays: candidates come from postings of prefix tokens, overlaps of one class with them in one pass."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int):
-        self.sizes, self.percent, self.sets = sizes.astype(np.int64), percent, sets
-        self.flat = [self._flat(sets)] + [self._flat([_prefix(s, int(n), o, percent) for s, n in zip(sets, sizes)]) for o in range(ORDERS)]
-
-    @staticmethod
-    def _flat(sets):
-        lens = np.array([len(s) for s in sets])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if lens.sum() else np.zeros(0, np.int64)
-        at = np.concatenate([[0], np.cumsum(lens)])
-        return ids, at, np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
-
-    def _overlap(self, which: int, i: int, rows: np.ndarray | None = None) -> np.ndarray:
-        ids, at, mark = self.flat[which]
-        mark[ids[at[i] : at[i + 1]]] = True
-        if rows is None:
-            run = np.concatenate([[0], np.cumsum(mark[ids])])
-            got = run[at[1:]] - run[at[:-1]]
-        else:
-            got = np.array([np.count_nonzero(mark[ids[at[r] : at[r + 1]]]) for r in rows], np.int64)
-        mark[ids[at[i] : at[i + 1]]] = False
-        return got
-
-    def linked(self, i: int) -> np.ndarray:
-        """Rows that link with row i: candidates of every order, then whole sets."""
-        n = self.sizes[i]
-        fit = (100 * np.minimum(n, self.sizes) >= self.percent * np.maximum(n, self.sizes)) & (np.arange(len(self.sizes)) != i)
-        for o in range(ORDERS):
-            if not fit.any():
-                return np.zeros(0, np.int64)
-            fit &= self._overlap(1 + o, i) > 0
-        rows = np.flatnonzero(fit)
-        both = self._overlap(0, i, rows)
+        self.sizes, self.percent = sizes.astype(np.int64), percent
+        self.names = np.unique(np.concatenate(sets))
+        self.mark = np.zeros(len(self.names), bool)
+        self.whole = self._flat(sets)
+        self.prefix = [self._flat([_prefix(s, int(n), o, percent) for s, n in zip(sets, sizes)]) for o in range(ORDERS)]
+        ids, at = self.prefix[0]
+        order = np.argsort(ids, kind="stable")
+        #: rows that list a token under the first order, token by token
+        self.holders = np.repeat(np.arange(len(sizes)), np.diff(at))[order]
+        self.holders_at = np.searchsorted(ids[order], np.arange(len(self.names) + 1))
+
+    def _flat(self, sets):
+        return np.searchsorted(self.names, np.concatenate(sets)), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+
+    def _overlap(self, lists, i: int, rows: np.ndarray) -> np.ndarray:
+        """Tokens that row i has in common with each of ``rows``."""
+        ids, at = lists
+        size = at[rows + 1] - at[rows]
+        end = np.cumsum(size)
+        self.mark[ids[at[i] : at[i + 1]]] = True
+        run = np.concatenate([[0], np.cumsum(self.mark[ids[_runs(at[rows], size)]])])
+        self.mark[ids[at[i] : at[i + 1]]] = False
+        return run[end] - run[end - size]
+
+    def linked(self, i: int, group: np.ndarray) -> np.ndarray:
+        """Rows of other groups that link with row i: candidates of every order, then whole sets."""
+        n, (ids, at) = self.sizes[i], self.prefix[0]
+        own = ids[at[i] : at[i + 1]]
+        rows = np.unique(self.holders[_runs(self.holders_at[own], self.holders_at[own + 1] - self.holders_at[own])])
+        m = self.sizes[rows]
+        rows = rows[(group[rows] != group[i]) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))]
+        for lists in self.prefix[1:]:
+            rows = rows[self._overlap(lists, i, rows) > 0]
+        both = self._overlap(self.whole, i, rows)
         return rows[100 * both >= self.percent * (n + self.sizes[rows] - both)]
 
 
-def _find(up: np.ndarray, i: int) -> int:
-    while up[i] != i:
-        up[i] = up[up[i]]
-        i = up[i]
-    return i
+class _Groups:
+    """Rows that links join; ``of`` has every row's group. The smaller group takes the name of the larger."""
+
+    def __init__(self, n: int):
+        self.of, self.rows = np.arange(n), {}
+
+    def join(self, i: int, j: int) -> bool:
+        x, y = int(self.of[i]), int(self.of[j])
+        if x == y:
+            return False
+        a, b = self.rows.pop(x, [x]), self.rows.pop(y, [y])
+        if len(a) < len(b):
+            x, a, b = y, b, a
+        self.of[b] = x
+        a.extend(b)
+        self.rows[x] = a
+        return True
 
 
 def _read_cell(t: pa.Table, percent: int):
@@ -342,17 +363,12 @@ def _compare_block(percent: int):
     def run(key, t):
         hub = key[0].as_py()
         keys, _, cell = _read_cell(t, percent)
-        up, pairs = np.arange(len(keys)), []
+        groups, pairs = _Groups(len(keys)), []
         first = int(np.flatnonzero(keys == hub)[0])
         for i in [first, *(i for i in range(len(keys)) if i != first)]:
-            if i != first and _find(up, i) == _find(up, first):
-                continue
-            for j in cell.linked(i):
-                x, y = _find(up, i), _find(up, int(j))
-                if x != y:
-                    up[x] = y
-                    pairs.append((i, int(j)))
-        pairs += [(i, i) for i in range(len(keys)) if _find(up, i) != _find(up, first)]
+            if i == first or groups.of[i] != groups.of[first]:
+                pairs += [(i, int(j)) for j in cell.linked(i, groups.of) if groups.join(i, int(j))]
+        pairs += [(int(i), int(i)) for i in np.flatnonzero(groups.of != groups.of[first])]
         return _edges(hub, keys, pairs)
 
     return run
@@ -363,13 +379,9 @@ def _compare_outer(percent: int):
 
     def run(key, t):
         keys, outer, cell = _read_cell(t, percent)
-        up, pairs = np.arange(len(keys)), []
+        groups, pairs = _Groups(len(keys)), []
         for i in np.flatnonzero(outer):
-            for j in cell.linked(int(i)):
-                x, y = _find(up, int(i)), _find(up, int(j))
-                if x != y:
-                    up[x] = y
-                    pairs.append((int(i), int(j)))
+            pairs += [(int(i), int(j)) for j in cell.linked(int(i), groups.of) if groups.join(int(i), int(j))]
         return _edges(key[0].as_py(), keys, pairs)
 
     return run
