@@ -2,12 +2,14 @@
 
 ``write_archives`` makes three records of each capture (request, response or revisit, metadata) as text with
 Spark's own writer: the line separator is the blank line pair that ends a WARC record, so the files are plain
-WARC 1.1 under gzip and land in any file system that Spark writes to. ``read_archives`` reads whole files and frames
+WARC 1.1 under gzip and land in any file system that Spark writes to. A file is one gzip member and has no
+warcinfo record: the writer sees records, not files. Captures are written by size, long ones in files
+of few records, so that the bytes of a file follow ``SIZES`` or one capture. ``read_archives`` reads whole files and frames
 records by their Content-Length. ``assemble`` brings the records of a capture together through WARC-Concurrent-To,
 in one shuffle, and emits one nested row per capture.
 
 A payload of at least ``MIN_REVISIT`` bytes that another capture holds too is written once: the smallest page_id is
-the response and the others are revisits of it. Null payloads are empty. Repeated rows are captures of their
+the response and the others are revisits of it, which name its url and date. Null payloads are empty. Repeated rows are captures of their
 own; those with the smallest page_id are all responses. Line breaks in urls are percent-encoded; a null url leaves its
 field out. Extra columns are ignored.
 """
@@ -24,23 +26,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import common as C
 
 MIN_REVISIT = 100
-#: Repeated payloads up to this number are sent to every task; more are joined by shuffle.
-MAX_BROADCAST = 200_000
-RECORDS_PER_FILE = 6_000
+#: Repeated payloads up to this number, with urls up to these bytes, are sent to every task; more are joined by shuffle.
+MAX_BROADCAST, MAX_BROADCAST_URLS = 200_000, 32_000_000
+#: (most bytes of a capture, records per file): 64 MB of text and one capture alone.
+SIZES = [(32 << 10, 6_000), (1 << 20, 180), (1 << 63, 3)]
 EOL = "\r\n"
 
 
 def plan_revisits(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with payload_digest, payload_bytes and refers_to (null for a response)."""
+    """pages (page_id, url, html) with payload_digest, payload_bytes, refers_to and refers_to_url (null for a response)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     known = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("payload_digest", F.sha2("html", 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    twice = known.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first_id")
+    twice = known.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     twice = C.cut(twice)
-    small = twice.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    n, urls = twice.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("first_url")), F.lit(0))).first()
+    small = n <= MAX_BROADCAST and urls <= MAX_BROADCAST_URLS
     long_enough = F.when(F.col("payload_bytes") >= MIN_REVISIT, F.col("payload_digest"))
     first = twice.withColumnRenamed("payload_digest", "_digest")
-    joined = known.join(F.broadcast(first) if small else first, long_enough == F.col("_digest"), "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id"))).drop("_digest", "first_id")
+    # short payloads have no digest to look up; their ids spread them where the join shuffles
+    joined = known.join(F.broadcast(first) if small else first, F.coalesce(long_enough, F.col("page_id").cast("string")) == F.col("_digest"), "left")
+    again = F.col("page_id") > F.col("first_id")
+    return joined.withColumn("refers_to", F.when(again, F.col("first_id"))).withColumn("refers_to_url", F.when(again, F.col("first_url"))).drop("_digest", "first_id", "first_url")
 
 
 def _record(kind: Column | str, rid: Column, fields: list[tuple[str, Column | str]], block: Column) -> Column:
@@ -53,14 +59,27 @@ def _record(kind: Column | str, rid: Column, fields: list[tuple[str, Column | st
 
 
 def _urn(kind: str) -> Column:
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("_row").cast("string")))
+    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("_row")))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
 def write_archives(planned: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archives of the captures that ``plan_revisits`` has prepared."""
-    p = planned.withColumn("_row", F.monotonically_increasing_id())
-    uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    # the records hold the url six times at most
+    size = F.col("payload_bytes") + 6 * F.coalesce(F.octet_length("url"), F.lit(0)) + F.coalesce(F.octet_length("refers_to_url"), F.lit(0))
+    kind = F.lit(len(SIZES) - 1)
+    for k in reversed(range(len(SIZES) - 1)):
+        kind = F.when(size <= SIZES[k][0], k).otherwise(kind)
+    # one row per kind of size; the first is written in any case, if only as an empty folder
+    for k in sorted({0, *(r.k for r in planned.select(kind.alias("k")).distinct().collect())}):
+        # ids are unique over all kinds
+        row = F.concat_ws("-", F.lit(k), F.monotonically_increasing_id())
+        _write(planned.where(kind == k).withColumn("_row", row), f"{path}/{k}", SIZES[k][1], date)
+
+
+def _write(p: DataFrame, path: str, records_per_file: int, date: str) -> None:
+    line = lambda url: F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+    uri = line("url")
     main, revisit = _urn("capture"), F.col("refers_to").isNotNull()
     digest = F.concat(F.lit("sha256:"), F.col("payload_digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(EOL * 2), F.when(revisit, F.lit("")).otherwise(F.col("html")))
@@ -73,10 +92,10 @@ def write_archives(planned: DataFrame, path: str, date: str = "2024-01-01T00:00:
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     records = F.array(
         _record("request", _urn("request"), [*common, ("WARC-Concurrent-To", main), ("Content-Type", "application/http; msgtype=request")], get),
-        _record(kind, main, [*common, ("WARC-Profile", profile), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")], http),
+        _record(kind, main, [*common, ("WARC-Profile", profile), ("WARC-Refers-To-Target-URI", line("refers_to_url")), ("WARC-Refers-To-Date", F.when(revisit, F.lit(date))), ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")], http),
         _record("metadata", _urn("metadata"), [*common, ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields")], facts),
     )
-    p.select(F.explode(records).alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    p.select(F.explode(records).alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 RECORD = "record_type string, record_id string, concurrent_to string, target_uri string, date string, payload_digest string, fields map<string,string>, payload binary"
@@ -124,7 +143,7 @@ def _parse(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the archives below ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.select("content").mapInArrow(_parse, RECORD)
 
 

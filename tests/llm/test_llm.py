@@ -218,6 +218,35 @@ def test_warc_round_trip(spark):
     assert archive_round_trip(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch, broadcast):
+    """Long captures get files of few records; revisits name the url and date of their response; an id in files of two kinds stays two captures; short payloads link with nothing in either join."""
+    import gzip
+    from pathlib import Path
+
+    from cohortlens.llm import warc
+
+    monkeypatch.setattr(warc, "SIZES", [(300, 30), (2_000, 6), (1 << 63, 3)])
+    monkeypatch.setattr(warc, "MAX_BROADCAST", broadcast)
+    rows = [(0, "http://a/x", "cd" * 900)] + [(i, f"http://a/{i}", "ab" * n) for i, n in enumerate([20] * 40 + [150] * 10 + [900] * 5 + [5_000] * 4)] + [(None, None, "ab" * 150), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.plan_revisits(pages), str(tmp_path / "w"))
+    most = {}
+    for f in Path(tmp_path / "w").rglob("*.gz"):
+        records = list(warc.parse_archive(f.read_bytes()))
+        most[f.parent.name] = max(most.get(f.parent.name, 0), len(records))
+        for fields, block in records:
+            if fields["warc-type"] == "revisit":
+                assert fields["warc-refers-to-target-uri"] in ("http://a/40", "http://a/50", "http://a/55") and fields["warc-refers-to-date"] == fields["warc-date"]
+            else:
+                assert "warc-refers-to-target-uri" not in fields and "warc-refers-to-date" not in fields
+    assert most == {"0": 30, "1": 6, "2": 3}
+    got = Counter((r.page_id, r.payload_bytes, r.refers_to) for r in warc.archive_round_trip(pages).collect())
+    first = {300: 40, 1_800: 50, 10_000: 55}
+    want = Counter((i, n := len(h or ""), first[n] if n in first and i is not None and i > first[n] else None) for i, _, h in rows)
+    assert got == want
+
+
 def test_assembly_of_incomplete_captures(spark):
     from cohortlens.llm.warc import assemble
 
