@@ -40,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -84,14 +90,14 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _KEEP = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 8)), 0xFFFFFFFFFFFFFFFF], np.uint64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words of each text). A-Z lower-cased; words are [^\\x20\\x09-\\x0D]+.
+def word_hashes(texts: list[bytes], apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words of each text). A-Z lower-cased; words are [^\\x20\\x09-\\x0D]+, or what the 256 flags ``apart`` (a line end among them) leave between.
 
     Works on the joined buffer eight bytes at a time, so the cost follows the words.
     """
     data = b"\n".join(texts).lower() + b"\n" + bytes(8)
     raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw[: len(data) - 8]]
+    space = apart[raw[: len(data) - 8]]
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if len(space) and not space[0]:
         start = np.concatenate([[0], start])
