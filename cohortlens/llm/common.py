@@ -6,6 +6,7 @@ Lineage is cut with ``checkpoint()`` into the folder that the cluster names in
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 import numpy as np
@@ -46,6 +47,18 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def rows_at_once(spark: SparkSession, rows: int):
+    """Rows that a Python task takes over from Spark at once, for the actions inside: keeps tasks over large rows small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,9 +6,9 @@ largest score in the block can come from: the (occurrences, length) pairs that n
 largest of their scores is exactly the block's maximum, whatever the corpus statistics turn out to be.
 
 **Search.** Questions come in blocks of bounded size. (1) Document frequencies of their terms are summed over the index.
-(2) Every task bounds each question over each of its blocks by the terms' maxima; the block with the highest bound of all is
-scored first, and its k-th score is a threshold that the final result can't fall below. (3) Every task sorts its blocks by
-bound, question by question, and scores forward lists until the bound drops below the threshold, which rises with
+(2) Every task bounds each question over each of its blocks by the terms' maxima; those with the highest bounds of all are
+scored first, ``SEEDS`` of them, and the k-th score is a threshold that the final result can't fall below. (3) Every task sorts its blocks by
+bound, question by question, and scores forward lists, a few at a time, until the bound drops below the threshold, which rises with
 what the task finds. (4) The tasks' best are ranked. Equal bounds are scored too, so ties by id are exact.
 
 Terms are known by a 64-bit hash: two terms of one corpus of 10^9 distinct terms share a given question term's hash
@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from . import common as C
 
 #: Documents of a block, and bytes of text after which it ends before that.
-BLOCK_DOCS, BLOCK_BYTES = 256, 2_000_000
+BLOCK_DOCS, BLOCK_BYTES = 16, 2_000_000
 #: Bounds of a block of questions, and index blocks that a task holds at once.
-QUESTIONS, QUESTION_TERMS, HELD = 2_000, 100_000, 32
+QUESTIONS, QUESTION_TERMS, HELD = 2_000, 100_000, 256
+#: Blocks scored for the threshold, most of them from one task; rows that a task takes over from Spark at once (texts, blocks).
+SEEDS, SEEDS_OF_TASK, TEXTS, BLOCKS = 64, 8, 1_000, 64
 #: Bytes that part terms: all ASCII but digits and letters.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -83,7 +85,8 @@ def _index(batches):
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the blocks of ``docs`` as a table; it can be searched by any number of questions."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    slim.mapInArrow(_index, INDEX).write.option("compression", "zstd").parquet(path)
+    with C.rows_at_once(docs.sparkSession, TEXTS):
+        slim.mapInArrow(_index, INDEX).write.option("compression", "zstd").parquet(path)
 
 
 def _terms(batches):
@@ -162,15 +165,22 @@ class Block:
         self.doc = doc[self.first]
         self.id, self.has_id = np.frombuffer(self.row["ids"], "<i8")[self.doc], np.frombuffer(self.row["has_id"], "u1")[self.doc]
 
-    def score(self, q: Questions, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(score, 1 where the id is null, id) of the documents that hold a term of question ``k``."""
-        self.open(q)
-        weight = np.zeros(len(q.vocab), np.int64)
-        some = slice(q.ptr[k], q.ptr[k + 1])
-        weight[q.term[some]] = q.weight[some]
-        total = np.add.reduceat(weight[self.term] * self.s, self.first) if len(self.first) else np.zeros(0, np.int64)
-        hit = total > 0
-        return total[hit], 1 - self.has_id[hit].astype(np.int64), self.id[hit]
+
+def score(blocks: list[Block], q: Questions, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, 1 where the id is null, id) of the documents of ``blocks`` that hold a term of question ``k``."""
+    for x in blocks:
+        x.open(q)
+    blocks = [x for x in blocks if len(x.first)]
+    if not blocks:
+        return (np.zeros(0, np.int64),) * 3
+    weight = np.zeros(len(q.vocab), np.int64)
+    some = slice(q.ptr[k], q.ptr[k + 1])
+    weight[q.term[some]] = q.weight[some]
+    join = lambda name: np.concatenate([getattr(x, name) for x in blocks])
+    before = np.cumsum([0, *(len(x.term) for x in blocks[:-1])])
+    total = np.add.reduceat(weight[join("term")] * join("s"), join("first") + np.repeat(before, [len(x.first) for x in blocks]))
+    hit = total > 0
+    return total[hit], 1 - join("has_id")[hit].astype(np.int64), join("id")[hit]
 
 
 def _rows(batches, q: Questions):
@@ -200,22 +210,22 @@ def _frequencies(q: Questions):
 
 
 def _highest(q: Questions):
-    """(question, bound, block): of a task's blocks the one with the highest bound."""
+    """(question, bound, block): of a task's blocks those with the highest bounds."""
 
     def run(batches):
-        best, block = np.zeros(len(q.ids), np.int64), np.zeros(len(q.ids), np.int64)
+        best, block = np.zeros((len(q.ids), 0), np.int64), np.zeros((len(q.ids), 0), np.int64)
         for held in _rows(batches, q):
-            for x in held:
-                bound = x.bounds(q)
-                block = np.where(bound > best, x.block, block)
-                best = np.maximum(bound, best)
-        at = np.flatnonzero(best)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(best[at], pa.int64()), pa.array(block[at], pa.int64())], names=["question", "bound", "block"])
+            best = np.concatenate([best, np.array([x.bounds(q) for x in held]).T], 1)
+            block = np.concatenate([block, np.broadcast_to([x.block for x in held], (len(q.ids), len(held)))], 1)
+            top = np.argsort(-best, 1, kind="stable")[:, :SEEDS_OF_TASK]
+            best, block = np.take_along_axis(best, top, 1), np.take_along_axis(block, top, 1)
+        question, at = np.nonzero(best)
+        yield pa.RecordBatch.from_arrays([pa.array(question, pa.int32()), pa.array(best[question, at], pa.int64()), pa.array(block[question, at], pa.int64())], names=["question", "bound", "block"])
 
     return run
 
 
-def _best(q: Questions, k: int, only: dict[int, list[int]] | None = None):
+def _best(q: Questions, k: int, only: dict[int, set[int]] | None = None):
     """(question, score, no_id, id) of a task's best documents. ``only``: questions of a block, and no others."""
 
     def run(batches):
@@ -223,23 +233,22 @@ def _best(q: Questions, k: int, only: dict[int, list[int]] | None = None):
         floor = q.floor.copy()
         for held in _rows(batches, q):
             bound = np.array([x.bounds(q) for x in held])
-            asked = range(len(q.ids)) if only is None else sorted({i for x in held for i in only.get(x.block, [])})
-            for i in asked:
-                for b in np.argsort(-bound[:, i], kind="stable"):
-                    if bound[b, i] < max(1, floor[i]):
-                        break
-                    if only is not None and i not in only.get(held[b].block, []):
-                        continue
-                    more = held[b].score(q, i)
+            for i in range(len(q.ids)):
+                mine = np.arange(len(held)) if only is None else np.array([j for j, x in enumerate(held) if i in only.get(x.block, ())], np.int64)
+                order, at, step = mine[np.argsort(-bound[mine, i], kind="stable")], 0, 4
+                while at < len(order) and bound[order[at], i] >= max(1, floor[i]):
+                    some = [j for j in order[at : at + step] if bound[j, i] >= max(1, floor[i])]
+                    more = score([held[j] for j in some], q, i)
                     s, null, ids = (np.concatenate(x) for x in zip(found[i], more))
-                    top = np.lexsort((ids, null, -s))[:k]
+                    on = np.flatnonzero(s >= floor[i])
+                    top = on[np.lexsort((ids[on], null[on], -s[on]))[:k]]
                     found[i] = s[top], null[top], ids[top]
                     if len(top) == k:
-                        floor[i] = max(floor[i], found[i][0][-1])
+                        floor[i] = max(floor[i], s[top[-1]])
+                    at, step = at + len(some), 2 * step
         n = [len(x[0]) for x in found]
         s, null, ids = (np.concatenate(x) for x in zip(*found))
-        on = s >= np.repeat(q.floor, n)
-        yield pa.RecordBatch.from_arrays([pa.array(x[on], t) for x, t in ((np.repeat(np.arange(len(n)), n), pa.int32()), (s, pa.int64()), (null, pa.int8()), (ids, pa.int64()))], names=["question", "score", "no_id", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((np.repeat(np.arange(len(n)), n), pa.int32()), (s, pa.int64()), (null, pa.int8()), (ids, pa.int64()))], names=["question", "score", "no_id", "id"])
 
     return run
 
@@ -270,23 +279,26 @@ def search(index: DataFrame, questions: DataFrame, k: int = 20, item_col: str =
     asked = texts.mapInArrow(_terms, "item_id long, terms binary, counts binary")
     docs, terms = index.agg(F.sum("docs"), F.sum("terms_read")).first()
     at, order = f"{C.shared_dir(spark)}/ranked-{uuid.uuid4().hex}", W.partitionBy("question").orderBy(F.desc("score"), "no_id", "id")
+    by_bound = W.partitionBy("question").orderBy(F.desc("bound"), "block")
     schema = "item_id long, rank int, doc_id long, score long"
     spark.createDataFrame([], schema).write.parquet(at)
     for q in _blocks(asked) if docs else ():
-        df = index.select("vocab", "df").mapInArrow(_frequencies(q), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        q.weigh({r.term: r.df for r in df.collect()}, docs, terms)
-        # at most one block for a question: its k-th score is in the result or below it
-        high = index.select("block", "vocab", "best_ptr", "best_tf", "best_len").mapInArrow(_highest(q), "question int, bound long, block long")
-        only: dict[int, list[int]] = {}
-        for r in high.groupBy("question").agg(F.max(F.struct("bound", "block")).alias("x")).collect():
-            only.setdefault(r.x.block, []).append(r.question)
-        chosen = index.where(F.col("block").isin(list(only))).mapInArrow(_best(q, k, only), FOUND)
-        for r in chosen.groupBy("question").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).collect():
-            q.floor[r.question] = r.least
-        best = index.mapInArrow(_best(q, k), FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        names = spark.createDataFrame([(i, x) for i, x in enumerate(q.ids)], "question int, item_id long")
-        named = best.join(F.broadcast(names), "question")
-        named.select("item_id", "rank", F.when(F.col("no_id") == 0, F.col("id")).alias("doc_id"), "score").write.mode("append").parquet(at)
+        with C.rows_at_once(spark, BLOCKS):
+            df = index.select("vocab", "df").mapInArrow(_frequencies(q), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+            q.weigh({r.term: r.df for r in df.collect()}, docs, terms)
+            # documents of any blocks give a valid threshold: the k-th of them is in the result or below it
+            high = index.select("block", "vocab", "best_ptr", "best_tf", "best_len").mapInArrow(_highest(q), "question int, bound long, block long")
+            only: dict[int, set[int]] = {}
+            for r in high.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= SEEDS).collect():
+                only.setdefault(r.block, set()).add(r.question)
+            seeds = index.join(F.broadcast(spark.createDataFrame([(x,) for x in only], "block long")), "block", "left_semi").mapInArrow(_best(q, k, only), FOUND)
+            ranked = seeds.withColumn("rank", F.row_number().over(order))
+            for r in ranked.where(F.col("rank") == k).collect():
+                q.floor[r.question] = r.score
+            best = index.mapInArrow(_best(q, k), FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            names = spark.createDataFrame([(i, x) for i, x in enumerate(q.ids)], "question int, item_id long")
+            named = best.join(F.broadcast(names), "question")
+            named.select("item_id", "rank", F.when(F.col("no_id") == 0, F.col("id")).alias("doc_id"), "score").write.mode("append").parquet(at)
     return spark.read.schema(schema).parquet(at)
 
 
