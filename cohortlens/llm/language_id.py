@@ -89,7 +89,7 @@ class Network:
                     g, d = np.zeros_like(self.tables[k]), dz[:, k * FILTERS : (k + 1) * FILTERS]
                     f = np.broadcast_to(np.arange(FILTERS), arg.shape)
                     for j in range(w):
-                        np.add.at(g[j], (np.take_along_axis(xb, arg + j, 1), f), d)
+                        g[j] += np.bincount((np.take_along_axis(xb, arg + j, 1) * FILTERS + f).ravel(), d.ravel(), CLASSES * FILTERS).reshape(CLASSES, FILTERS)
                     grads.append(g)
                 grads += [dz.sum(0), a.T @ p, p.sum(0)]
                 step += 1
@@ -154,20 +154,21 @@ def windows_of(text: bytes, most: int = WINDOWS) -> list[np.ndarray]:
 
 def sample_for_fit(train: DataFrame) -> list[tuple[str, str]]:
     """(language, text) of the bounded sample; ``train`` has doc_id, lang, text. Only ids are ranked; texts follow by a join with the chosen ids."""
-    # at most SAMPLE ids, and one of every language
-    texts = train.where("text IS NOT NULL")
-    top = texts.groupBy("lang").agg(F.count("*").alias("_all"))
+    # at most SAMPLE ids, and one of every language; rows that repeat an id, or have none, are one
+    texts = train.where("text IS NOT NULL").withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    top = texts.groupBy("lang").agg(F.approx_count_distinct("_id", 0.02).alias("_all"))
     wanted = max(1, min(PER_LANGUAGE, SAMPLE // max(1, top.count())))
     h = F.xxhash64(F.col("doc_id"))
     order = W.partitionBy("lang").orderBy(h, "doc_id")
-    # smallest hashes only: a language of any size sends about twice what is wanted to its ranking
-    low = h.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * wanted + 100) / F.col("_all"))
-    ids = texts.select("doc_id", "lang").join(F.broadcast(top), "lang").where(low).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= wanted).select("doc_id", "lang").distinct()
+    # smallest hashes only: of any number of different ids, about twice what is wanted, and a hundred, reach the ranking
+    low = h.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * wanted + 100) / F.greatest(F.col("_all"), F.lit(1)))
+    few = texts.select("doc_id", "_id", "lang").join(top, "lang").where(low).select("doc_id", "_id", "lang").distinct()
+    ids = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= wanted).select("_id", "lang")
     # a window needs a few hundred characters from its place; the pieces are cut before they travel
     length, w = F.length("text"), LENGTH
     piece = lambda k: F.expr(f"substring(text, 1 + int(greatest(0, length(text) - {w}) * {k} / {WINDOWS - 1}), {w})")
     cut = F.when(length <= 4 * w, F.array("text")).otherwise(F.array(*(piece(k) for k in range(WINDOWS))))
-    once = texts.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(cut).alias("pieces"))
+    once = texts.join(F.broadcast(ids), ["_id", "lang"]).groupBy("_id", "lang").agg(F.min(cut).alias("pieces"))
     rows = once.select("lang", F.explode("pieces").alias("text")).collect()
     return sorted((r[0], r[1]) for r in rows)
 

@@ -454,6 +454,18 @@ def test_sample_takes_every_language_once(spark, monkeypatch):
     assert Counter(lang for lang, _ in L.sample_for_fit(df)) == {f"l{k}": 1 for k in range(9)}
 
 
+def test_a_language_of_one_often_repeated_id_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.llm import language_id as L
+
+    common = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("common").alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(400_000).select((F.col("id") % 20 + 10_000).alias("doc_id"), F.concat(F.lit("rare "), (F.col("id") % 20).cast("string")).alias("text"), F.concat(F.lit("l"), (F.col("id") % 20).cast("string")).alias("lang"))
+    no_id = spark.createDataFrame([(None, "none", "zz")] * 3, "doc_id long, text string, lang string")
+    found = Counter(lang for lang, _ in L.sample_for_fit(common.unionByName(many).unionByName(no_id)))
+    assert found == {"aa": L.PER_LANGUAGE, "zz": 1} | {f"l{k}": 1 for k in range(20)}
+
+
 def test_nothing_to_learn_from(spark):
     from cohortlens.llm.language_id import language_id
 
