@@ -157,12 +157,13 @@ def sample_for_fit(train: DataFrame) -> list[tuple[str, str]]:
     # at most SAMPLE ids, and one of every language; rows that repeat an id, or have none, are one
     texts = train.where("text IS NOT NULL").withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     top = texts.groupBy("lang").agg(F.approx_count_distinct("_id", 0.02).alias("_all"))
-    wanted = max(1, min(PER_LANGUAGE, SAMPLE // max(1, top.count())))
+    languages = top.count()
+    wanted = max(1, min(PER_LANGUAGE, SAMPLE // max(1, languages)))
     h = F.xxhash64(F.col("doc_id"))
     order = W.partitionBy("lang").orderBy(h, "doc_id")
     # smallest hashes only: of any number of different ids, about twice what is wanted, and a hundred, reach the ranking
     low = h.cast("double") <= -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * wanted + 100) / F.greatest(F.col("_all"), F.lit(1)))
-    few = texts.select("doc_id", "_id", "lang").join(top, "lang").where(low).select("doc_id", "_id", "lang").distinct()
+    few = texts.select("doc_id", "_id", "lang").join(F.broadcast(top) if languages <= SAMPLE else top, "lang").where(low).select("doc_id", "_id", "lang").distinct()
     ids = few.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= wanted).select("_id", "lang")
     # a window needs a few hundred characters from its place; the pieces are cut before they travel
     length, w = F.length("text"), LENGTH
