@@ -9,25 +9,86 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import stats
 
 
-def permuted_shares(df: DataFrame, key: str, cluster: str, positive: Column, draws: int, seed: int = 42, group: Sequence[str] = ()) -> DataFrame:
-    """Positive cases of every cluster in every draw (STT-05, STT-06, STT-22): (group, draw, cluster, n, positives).
+#: Draws that one task works out at once; standard deviations around the mode that a draw can fall into.
+DRAWS_AT_ONCE, SPREAD = 250, 12
+
 
-    In draw b the rows of a group are ranked by md5(seed:b:key), and as many as are positive come first. Draws run side by side.
+def _urn(total: int, marked: int, drawn: int, u: float) -> int:
+    """How many marked balls are among ``drawn`` of ``total``: the inverse of the hypergeometric distribution at ``u``.
+
+    Weights of the counts around the mode follow from their ratios; what lies beyond ``SPREAD`` deviations has a chance below 1e-30.
+    """
+    import numpy as np
+
+    low, high = max(0, drawn - (total - marked)), min(drawn, marked)
+    if low == high:
+        return low
+    mean = drawn * marked / total
+    wide = int(SPREAD * (mean * (1 - marked / total) * (total - drawn) / max(1, total - 1)) ** 0.5) + 30
+    low, high = max(low, int(mean) - wide), min(high, int(mean) + wide)
+    k = np.arange(low, high, dtype=float)
+    weight = np.cumprod(np.concatenate([[1.0], (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))]))
+    upto = np.cumsum(weight)
+    return low + int(np.searchsorted(upto, u * upto[-1]))
+
+
+def _draws(seed: int, draws: int):
+    """Rows (group, from, clusters) to rows (group, draw, cluster, n, positives)."""
+    import hashlib
+
+    import pandas as pd
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for group, start, clusters in zip(pdf["_group"], pdf["_from"], pdf["_clusters"]):
+                names = [str(c["name"]) for c in clusters]
+                for draw in range(start, min(draws, start + DRAWS_AT_ONCE)):
+                    total, marked = sum(c["n"] for c in clusters), sum(c["y"] for c in clusters)
+                    for i, c in enumerate(clusters):
+                        u = (int(hashlib.md5(f"{seed}:{draw}:{names[i]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                        got = _urn(total, marked, c["n"], u)
+                        out.append((group, draw, i, got))
+                        total, marked = total - c["n"], marked - got
+            yield pd.DataFrame(out, columns=["_group", "draw", "_i", "positives"])
+
+    return run
+
+
+def cluster_counts(df: DataFrame, cluster: str, positive: Column, group: Sequence[str] = ()) -> DataFrame:
+    """(group, cluster, n, positives): all that permutations need of the rows."""
+    return df.groupBy(*group, F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.coalesce(F.sum(positive.cast("long")), F.lit(0)).alias("positives"))
+
+
+def permuted_counts(counts: DataFrame, draws: int, seed: int = 42, group: Sequence[str] = ()) -> DataFrame:
+    """Positive cases of every cluster under permutation (STT-05, STT-06, STT-22): (group, draw, cluster, n, positives) from ``cluster_counts``.
+
+    Permuting the endpoint is drawing its positive cases into the clusters without replacement, so a draw takes one hypergeometric
+    number for each cluster, in their order, of what the clusters before have left. Number c of draw b is the
+    inverse at the hash share of seed:b:c, c the cluster as text. The work is draws times clusters, however many rows were counted.
     """
-    rows = df.select(*group, F.col(key).alias("_k"), F.col(cluster).alias("cluster"), positive.cast("int").alias("_y"))
-    rows = rows.withColumn("_pos", F.sum("_y").over(W.partitionBy(*group)) if group else F.lit(None))
-    if not group:
-        rows = rows.drop("_pos").withColumn("_pos", rows.agg(F.sum("_y").alias("s")).scalar())
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    rank = F.row_number().over(W.partitionBy(*group, "draw").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k").cast("string"))), "_k"))
-    return rows.withColumn("_hit", (rank <= F.col("_pos")).cast("long")).groupBy(*group, "draw", "cluster").agg(F.count("*").alias("n"), F.sum("_hit").alias("positives"))
+    clusters = F.array_sort(F.collect_list(F.struct("cluster", F.coalesce(F.col("cluster").cast("string"), F.lit("")).alias("name"), "n", F.col("positives").alias("y")))).alias("_clusters")
+    urns = counts.groupBy(*group).agg(clusters).select(F.struct(*group, F.lit(0).alias("_")).alias("_group"), "_clusters")
+    slim = F.transform("_clusters", lambda c: F.struct(c["name"].alias("name"), c["n"].alias("n"), c["y"].alias("y")))
+    parts = urns.select("_group", slim.alias("_clusters"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_AT_ONCE))).alias("_from"))
+    key = F.to_json("_group")
+    spread = parts.select(key.alias("_group"), "_clusters", "_from").repartition("_group", "_from")
+    drawn = spread.mapInPandas(_draws(seed, draws), "_group string, draw int, _i int, positives long")
+    # clusters are few: one row of a group holds them
+    named = drawn.join(urns.select(key.alias("_group"), F.col("_group").alias("_g"), "_clusters"), "_group")
+    return named.select(*(F.col(f"_g.{g}").alias(g) for g in group), "draw", F.col("_clusters")[F.col("_i")]["cluster"].alias("cluster"), F.col("_clusters")[F.col("_i")]["n"].alias("n"), "positives")
+
+
+def permuted_shares(df: DataFrame, key: str, cluster: str, positive: Column, draws: int, seed: int = 42, group: Sequence[str] = ()) -> DataFrame:
+    """``permuted_counts`` of rows; ``key`` names them and has no part in the draws."""
+    return permuted_counts(cluster_counts(df, cluster, positive, group), draws, seed, group)
 
 
 def max_share_test(df: DataFrame, key: str, cluster: str, positive: Column, draws: int, seed: int = 42) -> DataFrame:
     """Selection-aware test (STT-05, STT-21): (observed_max, n_ge, draws, p, null_mean, null_p95). Shares are compared as exact fractions."""
-    observed = df.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.sum(positive.cast("long")).alias("positives"))
+    observed = cluster_counts(df, cluster, positive)
     best = observed.agg(F.max_by(F.struct("positives", "n"), F.struct(F.col("positives") / F.col("n"), "n")).alias("o"))
-    null = permuted_shares(df, key, cluster, positive, draws, seed)
+    null = permuted_counts(observed, draws, seed)
     per = null.withColumn("o", best.scalar()).withColumn("ge", F.col("positives") * F.col("o.n") >= F.col("o.positives") * F.col("n"))
     draw = per.groupBy("draw").agg(F.max(F.col("ge").cast("int")).alias("ge"), F.max(F.col("positives") / F.col("n")).alias("m"), F.first("o").alias("o"))
     return draw.agg(F.max(F.col("o.positives") / F.col("o.n")).alias("observed_max"), F.sum("ge").alias("n_ge"), F.count("*").alias("draws"), stats.permutation_p(F.sum("ge"), F.count("*")).alias("p"), F.avg("m").alias("null_mean"), F.percentile("m", F.lit(0.95)).alias("null_p95"))
@@ -35,9 +96,18 @@ def max_share_test(df: DataFrame, key: str, cluster: str, positive: Column, draw
 
 def fixed_cluster_test(df: DataFrame, key: str, cluster: str, positive: Column, draws: int, seed: int = 42) -> DataFrame:
     """Share of every cluster against its permutations, by integer counts (STT-06)."""
-    observed = df.groupBy(F.col(cluster).alias("cluster")).agg(F.count("*").alias("n_cases"), F.sum(positive.cast("long")).alias("observed"))
-    null = permuted_shares(df, key, cluster, positive, draws, seed).select("cluster", "positives")
-    return null.join(F.broadcast(observed), "cluster").groupBy("cluster", "n_cases", "observed").agg(F.count_if(F.col("positives") >= F.col("observed")).alias("n_ge"), stats.permutation_p(F.count_if(F.col("positives") >= F.col("observed")), F.count("*")).alias("p"))
+    return fixed_cluster_counts(cluster_counts(df, cluster, positive), draws, seed)
+
+
+def fixed_cluster_counts(counts: DataFrame, draws: int, seed: int = 42, group: Sequence[str] = ()) -> DataFrame:
+    """``fixed_cluster_test`` from ``cluster_counts``, for every group: (group, cluster, n_cases, observed, n_ge, p)."""
+    null = permuted_counts(counts, draws, seed, group).select(*group, "cluster", "positives")
+    seen = counts.select(*(F.col(g).alias(f"_{g}") for g in group), F.col("cluster").alias("_cluster"), F.col("n").alias("n_cases"), F.col("positives").alias("observed"))
+    same = null["cluster"].eqNullSafe(seen["_cluster"])
+    for g in group:
+        same = same & null[g].eqNullSafe(seen[f"_{g}"])
+    ge = F.count_if(F.col("positives") >= F.col("observed"))
+    return null.join(seen, same).groupBy(*group, "cluster", "n_cases", "observed").agg(ge.alias("n_ge"), stats.permutation_p(ge, F.count("*")).alias("p"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

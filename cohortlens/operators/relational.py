@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .selection import quantiles
 from ..functions import stats
 
 
@@ -91,16 +92,26 @@ def share_of_parent(df: DataFrame, group: Sequence[str], value: str) -> DataFram
     return n.withColumn("cluster_n", total).withColumn("prop_within_cluster", F.col("n_cases") / total)
 
 
+def _with_quantiles(summary: DataFrame, df: DataFrame, group: Sequence[str], x: Column, shares: dict[str, float]) -> DataFrame:
+    q = quantiles(df, group, x, list(shares.values())).select(*(F.col(g).alias(f"_{g}") for g in group), "q")
+    same = F.lit(True)
+    for g in group:
+        same = same & summary[g].eqNullSafe(q[f"_{g}"])
+    return summary.join(q, same).select(*summary.columns, *(F.col("q")[i].alias(name) for i, name in enumerate(shares)))
+
+
 def numeric_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """n, non-null, mean, sample sd and exact quartiles (AGG-09)."""
+    """n, non-null, mean, sample sd and exact quartiles (AGG-09). No group is held in one place, however large."""
     x = F.col(value).cast("double")
-    q = lambda p: F.percentile(x, F.lit(p))
-    return df.groupBy(*group).agg(F.count("*").alias("n_cases"), F.count(x).alias("n_nonmissing"), F.avg(x).alias("mean"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"))
+    base = df.groupBy(*group).agg(F.count("*").alias("n_cases"), F.count(x).alias("n_nonmissing"), F.avg(x).alias("mean"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("sd"))
+    return _with_quantiles(base, df, group, x, {"median": 0.5, "p25": 0.25, "p75": 0.75})
 
 
 def quantile_summary(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Median, tenth and ninetieth percentile, extremes (AGG-10), exact for groups of any size."""
     x = F.col(value).cast("double")
-    return df.groupBy(*group).agg(F.percentile(x, F.lit(0.5)).alias("median"), F.percentile(x, F.lit(0.1)).alias("p10"), F.percentile(x, F.lit(0.9)).alias("p90"), F.min(x).alias("min"), F.max(x).alias("max"))
+    base = df.groupBy(*group).agg(F.min(x).alias("min"), F.max(x).alias("max"))
+    return _with_quantiles(base, df, group, x, {"median": 0.5, "p10": 0.1, "p90": 0.9}).select(*group, "median", "p10", "p90", "min", "max")
 
 
 def two_by_two(df: DataFrame, group: Sequence[str], cluster: str, positive: Column) -> DataFrame:

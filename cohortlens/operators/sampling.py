@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .selection import values_at
+
 
 def hash_order(seed: int, *key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in key)))
@@ -60,14 +62,37 @@ def stratified_sample(df: DataFrame, stratum: Column, key: Sequence[str], n: int
     spark = df.sparkSession
     plan = spark.createDataFrame([(k, v) for k, v in allocate(counts, n, stratum_order(counts, seed)).items()] or [("", 0)], "_s string, _take int")
     rank = F.row_number().over(W.partitionBy("_s").orderBy(hash_order(seed, *(F.col(k) for k in key)), *key))
-    return keyed.withColumn("_n", rank).join(F.broadcast(plan), "_s").where(F.col("_n") <= F.col("_take")).drop("_s", "_n", "_take")
+    # no task sends more than n rows of a stratum to its ranking
+    return keyed.withColumn("_n", rank).where(F.col("_n") <= n).join(F.broadcast(plan), "_s").where(F.col("_n") <= F.col("_take")).drop("_s", "_n", "_take")
+
+
+def draw_order(seed: int, replicate: Column, key: Column) -> Column:
+    """The hash by which a replicate orders its rows."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), key.cast("string")))
+
+
+def share_of_hash(h: Column) -> Column:
+    """The first 52 bits of a hash in hex as a number from 0 to 1, exactly."""
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long").cast("double") / float(2**52)
+
+
+def sample_bounds(df: DataFrame, key: str, replicates: int, share: float, least: int = 1, seed: int = 42) -> DataFrame:
+    """(replicate, take, bound, below): the hash share of each replicate's last row, and how many rows lie below it.
+
+    Rows meet their replicates in the task that reads them; only counts are shuffled, so a draw costs no sort.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    take = F.least(F.greatest(F.round(F.col("_n") * share), F.lit(least)), F.col("_n")).cast("long")
+    found = values_at(rows, ["replicate"], share_of_hash(draw_order(seed, F.col("replicate"), F.col("_k"))), ranks=F.array(take - 1))
+    last = F.col("cells")[0]
+    return found.select("replicate", (last["rank"] + 1).alias("take"), last["value"].alias("bound"), last["below"].alias("below"))
 
 
 def bootstrap(df: DataFrame, key: str, replicates: int, share: float, least: int = 1, seed: int = 42) -> DataFrame:
-    """Subsamples without replacement of max(round(n * share), least) rows per replicate (SMP-06)."""
-    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    rows = df.select("*", b)
-    w = W.partitionBy("replicate")
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string"))), key))
-    take = F.greatest(F.round(F.count("*").over(w) * share), F.lit(least))
-    return rows.withColumn("_n", rank).withColumn("_t", take).where(F.col("_n") <= F.col("_t")).drop("_n", "_t")
+    """Subsamples without replacement of max(round(n * share), least) rows per replicate (SMP-06): the first in hash order."""
+    bounds = F.broadcast(sample_bounds(df, key, replicates, share, least, seed))  # a row for each replicate
+    h = draw_order(seed, F.col("replicate"), F.col(key))
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_h", share_of_hash(h)).join(bounds, "replicate")
+    # rows at the bound itself, one but for equal hashes, in order up to what is to take
+    edge = rows.where(F.col("_h") == F.col("bound")).withColumn("_r", F.row_number().over(W.partitionBy("replicate").orderBy(h, key)))
+    return rows.where(F.col("_h") < F.col("bound")).select(*df.columns, "replicate").unionByName(edge.where(F.col("_r") <= F.col("take") - F.col("below")).select(*df.columns, "replicate"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -60,23 +59,69 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, cluster: str, vector:
 
 
 def best_matching(similarity: dict[tuple, float]) -> dict:
-    """One-to-one matching of largest total similarity, ties to the smallest choice (ML-06, ML-07); by subsets, for up to some twenty clusters."""
-    rows, cols = sorted({i for i, _ in similarity}), sorted({j for _, j in similarity})
+    """One-to-one matching of largest total similarity (ML-06, ML-07), as many pairs as the smaller side has; among equal totals
+    the first rows get the smallest columns. A pair that is not given counts 0.
+
+    Shortest augmenting paths, cubic in the number of clusters; then, along edges that any best matching may use, each row
+    in turn is moved to the smallest column that leaves the rest matched.
+    """
+    import numpy as np
 
-    @lru_cache(maxsize=None)
-    def best(i: int, used: int):
-        if i == len(rows):
-            return 0.0, ()
-        out = None
-        for j, c in enumerate(cols):
-            if not used >> j & 1:
-                rest = best(i + 1, used | 1 << j)
-                total = (similarity.get((rows[i], c), 0.0) + rest[0], (c, *rest[1]))
-                if out is None or total[0] > out[0] + 1e-15:
-                    out = total
-        return out if out else best(i + 1, used)
-
-    return dict(zip(rows, best(0, 0)[1]))
+    rows, cols = sorted({i for i, _ in similarity}), sorted({j for _, j in similarity})
+    size = max(len(rows), len(cols))
+    cost = np.zeros((size, size))
+    for (i, j), s in similarity.items():
+        cost[rows.index(i), cols.index(j)] = -s
+    # potentials of rows and columns; the row of each column and the other way round
+    u, v, row_of, col_of = np.zeros(size), np.zeros(size), np.full(size, -1), np.full(size, -1)
+    for i in range(size):
+        shortest, back, done = np.full(size, np.inf), np.full(size, -1), np.zeros(size, bool)
+        at, reach, end = i, 0.0, -1
+        while end < 0:
+            far = reach + cost[at] - u[at] - v
+            closer = ~done & (far < shortest)
+            shortest[closer], back[closer] = far[closer], at
+            j = int(np.where(done, np.inf, shortest).argmin())
+            reach, done[j] = shortest[j], True
+            if row_of[j] < 0:
+                end = j
+            else:
+                at = int(row_of[j])
+        u[i] += reach
+        for j in np.flatnonzero(done):
+            if row_of[j] >= 0:
+                u[row_of[j]] += reach - shortest[j]
+            v[j] -= reach - shortest[j]
+        j = end
+        while j >= 0:
+            r = int(back[j])
+            row_of[j], col_of[r], j = r, j, int(col_of[r])
+    tight = np.abs(cost - u[:, None] - v) <= 1e-9
+
+    def moved(r: int, free: int, barred: set[int]) -> bool:
+        """Give row ``r`` another column, moving later rows on until one takes ``free``."""
+        for c in np.flatnonzero(tight[r]):
+            if int(c) not in barred:
+                barred.add(int(c))
+                if c == free or moved(int(row_of[c]), free, barred):
+                    row_of[c], col_of[r] = r, c
+                    return True
+        return False
+
+    fixed: set[int] = set()
+    for i in range(len(rows)):
+        for c in map(int, np.flatnonzero(tight[i])):
+            if c in fixed:
+                continue
+            if c == col_of[i]:
+                break
+            holder, free, before = int(row_of[c]), int(col_of[i]), (row_of.copy(), col_of.copy())
+            if moved(holder, free, fixed | {c}):
+                row_of[c], col_of[i] = i, c
+                break
+            row_of[:], col_of[:] = before
+        fixed.add(int(col_of[i]))
+    return {r: cols[col_of[i]] for i, r in enumerate(rows) if col_of[i] < len(cols)}
 
 
 def match_clusters(matrix: DataFrame) -> DataFrame:

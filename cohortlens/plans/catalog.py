@@ -343,9 +343,18 @@ def cosine_matrix(spark, d):
     return _halves(spark, d).withColumn("cosine_similarity", r6("cosine_similarity"))
 
 
-@query()
+#: The best one-to-one matching over all sets of taken clusters; among equal totals the first rows get the smallest.
+MATCHED = f"""WITH RECURSIVE {COS}, m AS (SELECT dense_rank() OVER (ORDER BY discovery_cluster) - 1 AS i, dense_rank() OVER (ORDER BY confirmation_cluster) - 1 AS j, discovery_cluster, confirmation_cluster, cos FROM sim),
+dp AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS taken, CAST(0 AS DOUBLE) AS total, CAST([] AS BIGINT[]) AS path UNION ALL
+  SELECT i, taken, total, path FROM (SELECT dp.i + 1 AS i, dp.taken + (1::BIGINT << m.j::INT) AS taken, total + cos AS total, list_append(path, m.j) AS path, row_number() OVER (PARTITION BY dp.taken + (1::BIGINT << m.j::INT) ORDER BY total + cos DESC, list_append(path, m.j)) AS r
+    FROM dp JOIN m ON m.i = dp.i AND (dp.taken >> m.j::INT) % 2 = 0) WHERE r = 1),
+best AS (SELECT path FROM dp ORDER BY i DESC LIMIT 1)
+SELECT discovery_cluster, confirmation_cluster, round(cos, 6) AS cosine_similarity, path[i + 1] = j AS matched FROM m, best"""
+
+
+@query(MATCHED)
 def cluster_match(spark, d):
-    """One-to-one matching of the halves' clusters (checked by brute force in the tests)."""
+    """One-to-one matching of the halves' clusters."""
     return V.match_clusters(_halves(spark, d)).withColumn("cosine_similarity", r6("cosine_similarity"))
 
 
@@ -391,10 +400,22 @@ def coassignment(spark, d):
 
 
 DRAWS = 100
-PERM = f"""b AS (SELECT vec_id AS k, label AS cluster, quality = 1 AS y FROM labels JOIN embeddings ON vec_id = doc_id JOIN documents USING (doc_id)),
-ranked AS (SELECT draw, cluster, row_number() OVER (PARTITION BY draw ORDER BY md5('42:' || draw || ':' || k), k) <= (SELECT count(*) FROM b WHERE y) AS hit FROM b, (SELECT unnest(range({DRAWS})) AS draw)),
-null_ AS (SELECT draw, cluster, count(*) AS n, count(*) FILTER (WHERE hit) AS positives FROM ranked GROUP BY ALL),
-obs AS (SELECT cluster, count(*) AS n_cases, count(*) FILTER (WHERE y) AS observed FROM b GROUP BY ALL)"""
+#: The urn's number of marked balls for every draw and cluster, in the order of clusters; weights from the gamma function.
+URN = """urn AS (SELECT {group}, cluster, n, y, row_number() OVER (PARTITION BY {group} ORDER BY cluster) AS i, sum(n) OVER (PARTITION BY {group}) AS total, sum(y) OVER (PARTITION BY {group}) AS marked FROM counts),
+step AS (
+  SELECT {group}, draw, 1 AS i, CAST(total AS BIGINT) AS total, CAST(marked AS BIGINT) AS marked, CAST(NULL AS BIGINT) AS got FROM (SELECT DISTINCT {group}, total, marked FROM urn), (SELECT unnest(range({draws})) AS draw)
+  UNION ALL
+  SELECT {group}, draw, i + 1, total - n, marked - got, got FROM (
+    SELECT s.{group}, draw, s.i, s.total, s.marked, n,
+      list_filter(range(greatest(0, n - (s.total - s.marked)), least(n, s.marked) + 1), lambda k: list_sum(list_transform(range(greatest(0, n - (s.total - s.marked)), k + 1), lambda j:
+        exp(lgamma(s.marked + 1) - lgamma(j + 1) - lgamma(s.marked - j + 1) + lgamma(s.total - s.marked + 1) - lgamma(n - j + 1) - lgamma(s.total - s.marked - n + j + 1) - lgamma(s.total + 1) + lgamma(n + 1) + lgamma(s.total - n + 1))))
+        >= (CAST('0x' || substr(md5('42:' || draw || ':' || cluster), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496)[1] AS got
+    FROM step s JOIN urn u ON u.{group} = s.{group} AND u.i = s.i)),
+null_ AS (SELECT s.{group}, draw, cluster, n, got AS positives FROM step s JOIN urn u ON u.{group} = s.{group} AND u.i = s.i - 1)"""
+PERM = f"""RECURSIVE b AS (SELECT vec_id AS k, label AS cluster, quality = 1 AS y FROM labels JOIN embeddings ON vec_id = doc_id JOIN documents USING (doc_id)),
+counts AS (SELECT 0 AS one, cluster, count(*) AS n, count(*) FILTER (WHERE y) AS y FROM b GROUP BY ALL),
+{URN.format(group="one", draws=DRAWS)},
+obs AS (SELECT cluster, n AS n_cases, y AS observed FROM counts)"""
 
 
 def _perm(spark, d):

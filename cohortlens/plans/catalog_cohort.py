@@ -13,7 +13,7 @@ from ..operators import inference as I, relational as R, vectors as V
 from ..sources import config as C, services, tables as T
 from ..streaming import ingest as N
 from . import api, cohort as K, raters as A
-from .catalog import CELLS, TERMS, _cases, query, r6, sample_sql, t
+from .catalog import CELLS, TERMS, URN, _cases, query, r6, sample_sql, t
 from .catalog_documents import LEAK, _guarded, sql_turns, turns
 
 CASE = """c AS (SELECT doc_id, e.label AS cluster, CASE WHEN doc_id % 2 = 0 THEN 'discovery' ELSE 'confirmation' END AS split, quality = 1 AS y, lang AS syndrome, toxic FROM labels JOIN embeddings e ON vec_id = doc_id JOIN documents USING (doc_id))"""
@@ -52,11 +52,11 @@ def precision(spark, d):
 ENDPOINTS = ["de", "en", "es", "fr"]
 
 
-@query(f"""WITH {CASE}, e AS (SELECT unnest({ENDPOINTS}) AS endpoint), s AS (SELECT endpoint, cluster, avg(CAST(coalesce(syndrome = endpoint, false) AS INT)) AS share FROM c, e WHERE split = 'discovery' GROUP BY ALL),
+@query(f"""WITH RECURSIVE {CASE}, e AS (SELECT unnest({ENDPOINTS}) AS endpoint), s AS (SELECT endpoint, cluster, avg(CAST(coalesce(syndrome = endpoint, false) AS INT)) AS share FROM c, e WHERE split = 'discovery' GROUP BY ALL),
 top AS (SELECT endpoint, cluster, share FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY share DESC, cluster) AS r FROM s) WHERE r = 1), f AS (SELECT doc_id, cluster, syndrome FROM c WHERE split = 'confirmation'),
-ranked AS (SELECT draw, cluster, row_number() OVER (PARTITION BY draw ORDER BY md5('42:' || draw || ':' || doc_id), doc_id) AS r FROM f, (SELECT unnest(range(40)) AS draw)),
-null_ AS (SELECT endpoint, draw, cluster, count(*) FILTER (WHERE r <= (SELECT count(*) FROM f WHERE syndrome = endpoint)) AS positives FROM ranked, e GROUP BY ALL),
-obs AS (SELECT endpoint, cluster, count(*) AS n_cases, count(*) FILTER (WHERE syndrome = endpoint) AS observed FROM f, e GROUP BY ALL),
+counts AS (SELECT endpoint, cluster, count(*) AS n, count(*) FILTER (WHERE syndrome = endpoint) AS y FROM f, e GROUP BY ALL),
+{URN.format(group="endpoint", draws=40)},
+obs AS (SELECT endpoint, cluster, n AS n_cases, y AS observed FROM counts),
 p AS (SELECT endpoint, cluster, n_cases, observed, share, count(*) FILTER (WHERE positives >= observed) AS n_ge, (1 + count(*) FILTER (WHERE positives >= observed)) / 41 AS p FROM null_ JOIN obs USING (endpoint, cluster) JOIN top USING (endpoint, cluster) GROUP BY ALL),
 q AS (SELECT *, row_number() OVER (ORDER BY p, endpoint) AS r, count(*) OVER () AS m FROM p)
 SELECT endpoint, cluster, n_cases, observed, round(share, 6) AS discovery_share, n_ge, round(p, 6) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM q""")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, stats, text as S
-from ..operators import inference as I, relational as R, sampling as P, vectors as V
+from ..operators import inference as I, refits as N, relational as R, sampling as P, vectors as V
 
 KEY = ["pmcid", "case_id"]
 
@@ -62,13 +62,15 @@ def replication(cases: DataFrame, key: str, split: str, cluster: str, positive:
 
 def endpoint_tests(cases: DataFrame, key: str, split: str, cluster: str, endpoint: str, endpoints: Sequence[str], draws: int, seed: int = X.SEED) -> DataFrame:
     """For each endpoint value: its top cluster in discovery tested in confirmation, with FDR over endpoints (STT-08)."""
-    out = None
-    for e in endpoints:
-        y = F.coalesce(F.col(endpoint) == e, F.lit(False))
-        top = R.top_cluster(cases.where(F.col(split) == "discovery"), [split], cluster, y).select(F.col(cluster).alias("cluster"), F.col("share").alias("discovery_share"))
-        test = I.fixed_cluster_test(cases.where(F.col(split) == "confirmation"), key, cluster, y, draws, seed)
-        row = test.join(F.broadcast(top), "cluster").withColumn("endpoint", F.lit(e))
-        out = row if out is None else out.unionByName(row)
+    wanted = F.array(*(F.struct(F.lit(e).alias("endpoint")) for e in endpoints))
+    # one count by split, cluster and value; endpoints only look at it
+    cells = cases.groupBy(F.col(split).alias("_split"), F.col(cluster).alias("cluster"), F.col(endpoint).alias("_value")).agg(F.count("*").alias("_n"))
+    hit = F.when(F.coalesce(F.col("_value") == F.col("endpoint"), F.lit(False)), F.col("_n")).otherwise(0)
+    counts = cells.select("*", F.explode(wanted).alias("_e")).select("*", "_e.endpoint").groupBy("_split", "endpoint", "cluster").agg(F.sum("_n").alias("n"), F.sum(hit).alias("positives"))
+    share = F.col("positives") / F.col("n")
+    top = R.first_per_key(counts.where("_split = 'discovery'").select("*", share.alias("discovery_share"), (-share).alias("_low")), ["endpoint"], ["_low", "cluster"]).select("endpoint", "cluster", "discovery_share")
+    tests = I.fixed_cluster_counts(counts.where("_split = 'confirmation'").select("endpoint", "cluster", "n", "positives"), draws, seed, ["endpoint"])
+    out = tests.join(top, ["endpoint", "cluster"])
     return R.bh_fdr(out, "p", "endpoint").withColumnsRenamed({"q": "confirmation_q_bh_fdr", "reject": "confirmation_reject_bh_fdr"})
 
 
@@ -132,54 +134,65 @@ def pooled_notes(notes: DataFrame, patient: str, text_vector: str, label: str, o
     return g.join(v, patient)
 
 
+#: Restarts of every refit.
+RESTARTS = 5
+
+
 def resampled(cases: DataFrame, key: str, vector: str, baseline: str, replicates: int, share: float, k: int, seed: int = X.SEED) -> DataFrame:
     """Assignments of all cases by k-means on each subsample: (replicate, key, cluster, baseline) (ML-10).
 
-    A refit's clusters carry the numbers of the baseline's clusters that their centres match one to one. Replicates are groups of
-    their own; a group holds one subsample and the (small) cohort to assign.
+    A refit's clusters carry the numbers of the baseline's clusters that their centres match one to one. Subsamples are those of
+    ``sampling.bootstrap``; rows of one key are in or out together. All replicates are refitted side by side, see ``operators.refits``.
     """
-    rows = P.bootstrap(cases.select(key, vector, baseline), key, replicates, share, k, seed).withColumn("_in", F.lit(True))
-    every = cases.select(key, vector, baseline, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    marked = every.join(rows.select(key, "replicate", "_in"), [key, "replicate"], "left")
-
-    return _refitted(marked, key, vector, baseline, k, lambda number: seed + number)
+    bounds = {r.replicate: r.bound for r in P.sample_bounds(cases.where(F.col(vector).isNotNull()), key, replicates, share, k, seed).collect()}
+    if not bounds:
+        return cases.sparkSession.createDataFrame([], f"replicate int, {key} {dict(cases.dtypes)[key]}, cluster int, baseline int")
+    # the k-th hash of a replicate is its bound: a row knows by itself where it belongs
+    limits = F.array(*(F.lit(bounds[b]) for b in range(replicates)))
+    member = F.transform(limits, lambda limit, b: P.share_of_hash(P.draw_order(seed, b, F.col(key))) <= limit)
+    return _refitted(cases, key, vector, baseline, k, list(range(replicates)), [seed + b for b in range(replicates)], member)
 
 
 def reseeded(cases: DataFrame, key: str, vector: str, baseline: str, seeds: Sequence[int], k: int) -> DataFrame:
     """The same for k-means on all cases under other seeds; the replicate is the seed (ML-11)."""
-    every = cases.select(key, vector, baseline, F.lit(True).alias("_in"), F.explode(F.array(*map(F.lit, seeds))).alias("replicate"))
-    return _refitted(every, key, vector, baseline, k, lambda number: number)
+    return _refitted(cases, key, vector, baseline, k, list(seeds), list(seeds), None)
 
 
-def _refitted(marked: DataFrame, key: str, vector: str, baseline: str, k: int, seed_of) -> DataFrame:
+def _refitted(cases: DataFrame, key: str, vector: str, baseline: str, k: int, names: list[int], salts: list[int], member: Column | None) -> DataFrame:
     """Of every replicate: k-means on the rows that are in, all rows assigned, clusters named after the baseline's."""
     import numpy as np
-    import pandas as pd
-
-    def run(pdf):
-        x, old = np.array(pdf[vector].tolist(), float), pdf[baseline].to_numpy()
-        c = lloyd(x[pdf["_in"].notna().to_numpy()], k, seed_of(int(pdf["replicate"].iloc[0])))
-        home = nearest_rows(x, c)
-        names = np.unique(old)
-        base = np.stack([x[old == n].mean(0) for n in names])
-        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
-        like = unit(c) @ unit(base).T
-        to = V.best_matching({(i, j): float(like[i, j]) for i in range(len(c)) for j in range(len(base))})
+    from pyspark import StorageLevel
+
+    kind = dict(cases.dtypes)[key]
+    empty = cases.sparkSession.createDataFrame([], f"replicate int, {key} {kind}, cluster int, baseline int")
+    known = cases.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), F.col(baseline).cast("int").alias("baseline"), F.xxhash64(F.col(key)).alias("id"), *([] if member is None else [member.alias("member")]))
+    known = known.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = known.select("id", "vector", *([] if member is None else ["member"]))
+    try:
+        if member is None:
+            sizes = np.full(len(names), known.count(), float)
+        else:
+            one = known.agg(*(F.count_if(F.col("member")[b]).alias(str(b)) for b in range(len(names)))).first()
+            sizes = np.array(one, float)
+        if not sizes.all():
+            return empty
+        starts = N.parallel_seeds(rows, sizes, k, salts, RESTARTS)
+        run = np.repeat(np.arange(len(names)), RESTARTS)
+        centres, cost = N.batched_lloyd(rows, starts, run if member is not None else np.zeros(len(run), int))
+        best = [r * RESTARTS + int(cost[r * RESTARTS : (r + 1) * RESTARTS].argmin()) for r in range(len(names))]
+        base = {r.baseline: np.array(r.vector) for r in V.mean_vectors(known.where("baseline IS NOT NULL"), ["baseline"], "vector").collect()}
+    finally:
+        known.unpersist()
+    old = sorted(base)
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), V.EPS)
+    numbers = []
+    for b in best:
+        like = unit(centres[b]) @ unit(np.stack([base[n] for n in old])).T if old else np.zeros((k, 0))
+        to = V.best_matching({(i, j): float(like[i, j]) for i in range(k) for j in range(len(old))})
         # clusters beyond the baseline's get numbers after its largest
-        number = {i: int(names[j]) for i, j in to.items()}
-        number |= {i: int(names.max()) + 1 + i for i in range(len(c)) if i not in number}
-        return pd.DataFrame({"replicate": pdf["replicate"], key: pdf[key], "cluster": np.array([number[h] for h in home], "int32"), "baseline": old.astype("int32")})
-
-    kind = dict(marked.dtypes)[key]
-    return marked.groupBy("replicate").applyInPandas(run, f"replicate int, {key} {kind}, cluster int, baseline int")
-
-
-def nearest_rows(x, centres, block: int = 4096):
-    """Nearest centre of every row, a block of rows at a time."""
-    import numpy as np
-
-    far = (centres * centres).sum(1)
-    return np.concatenate([(far - 2 * x[at : at + block] @ centres.T).argmin(1) for at in range(0, len(x), block)]) if len(x) else np.zeros(0, int)
+        numbers.append([old[to[i]] if i in to else (old[-1] if old else -1) + 1 + i for i in range(k)])
+    out = N.assigned(known.select("key", "vector", "baseline"), centres[best], numbers, names, kind)
+    return out.withColumnRenamed("key", key)
 
 
 def stability_report(assignments: DataFrame, positives: DataFrame, key: str, positive: str, language: int) -> DataFrame:
@@ -193,25 +206,6 @@ def stability_report(assignments: DataFrame, positives: DataFrame, key: str, pos
     return stability(assignments).join(found, "replicate")
 
 
-def lloyd(x, k: int, seed: int, restarts: int = 5, rounds: int = 50):
-    """Best of a few seeded k-means runs on a small matrix."""
-    import numpy as np
-
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(restarts):
-        c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
-        for _ in range(rounds):
-            home = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-            new = np.array([x[home == j].mean(0) if (home == j).any() else c[j] for j in range(len(c))])
-            if np.allclose(new, c):
-                break
-            c = new
-        cost = ((x - c[home]) ** 2).sum()
-        if best is None or cost < best[0]:
-            best = (cost, c)
-    return best[1]
-
-
 def stability(assignments: DataFrame) -> DataFrame:
     """Adjusted Rand index of every replicate against the baseline."""
     cells = assignments.groupBy("replicate", "cluster", "baseline").agg(F.count("*").alias("n"))
