@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X, text as S
 from ..operators import labels as L, relational as R
 from ..sources import documents as D, tables as T
+from ..streaming import extraction as E
 from . import api, raters as A
 from .catalog import TERMS, query, r6, t
 
@@ -331,11 +332,13 @@ def segments(spark, d):
     return s.select("segment_uid", "pmcid", "segment_type", "n_blocks", "n_chars_raw", "n_chars_clean", F.md5("text_clean").alias("clean_md5"), "leakage_n_matches_raw", "leakage_n_matches_clean")
 
 
-@query(f"""WITH {BLOCKS}, x AS (SELECT pmcid, CASE WHEN source = 'abstract' THEN 0 ELSE 1 END AS o, source, CASE WHEN source = 'body' THEN sec ELSE '' END AS path, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM blocks)
+PARSED_SQL = f"""WITH {BLOCKS}, x AS (SELECT pmcid, CASE WHEN source = 'abstract' THEN 0 ELSE 1 END AS o, source, CASE WHEN source = 'body' THEN sec ELSE '' END AS path, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM blocks)
 SELECT pmcid, CAST(row_number() OVER (PARTITION BY pmcid ORDER BY o, turn) - 1 AS INT) AS block_index, source, path AS sec_path_str, pmcid || '__' || source || '__' || left(sha1(pmcid || chr(10) || source || chr(10) || path || chr(10) || text), 16) AS block_id,
-  CAST(length(text) AS BIGINT) AS n_chars, 'case-report' AS article_type, 'Title of ' || pmcid AS title, 'ok' AS status FROM x""")
-def parsed_documents(spark, d):
-    """Every paper written as marked-up text and parsed; figures are left out, nested titles joined."""
+  CAST(length(text) AS BIGINT) AS n_chars, 'case-report' AS article_type, 'Title of ' || pmcid AS title, 'ok' AS status FROM x"""
+
+
+def _marked_up(spark, d):
+    """Every paper as marked-up text; with figures, which are left out, and nested titles, which are joined."""
     esc = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     parts = F.split("sec_path_str", " > ")
     opened = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<sec><title>"), p, F.lit("</title>"))), "")
@@ -344,10 +347,35 @@ def parsed_documents(spark, d):
     one = F.when(F.col("source") == "abstract", p).otherwise(F.concat(opened, p, F.lit("<fig><p>left out</p></fig>"), closed))
     rows = lambda s: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("source") == s, F.struct("block_index", one.alias("x"))))), lambda r: r["x"]), "\n")
     xml = F.concat(F.lit('<wrap xmlns:m="urn:m"><article article-type="case-report"><front><article-title>Title of <i>'), F.col("pmcid"), F.lit("</i></article-title><abstract>"), rows("abstract"), F.lit("</abstract></front><body>"), rows("body"), F.lit("</body></article></wrap>"))
-    files = _blocks(spark, d).groupBy("pmcid").agg(xml.alias("x")).select(F.concat(F.lit("/in/"), "pmcid", F.lit(".xml")).alias("path"), F.encode("x", "UTF-8").alias("content"))
+    return _blocks(spark, d).groupBy("pmcid").agg(xml.alias("x"))
+
+
+@query(PARSED_SQL)
+def parsed_documents(spark, d):
+    files = _marked_up(spark, d).select(F.concat(F.lit("/in/"), "pmcid", F.lit(".xml")).alias("path"), F.encode("x", "UTF-8").alias("content"))
     return D.parse_contents(files).select("pmcid", "block_index", "source", "sec_path_str", "block_id", "n_chars", "article_type", "title", "status")
 
 
+#: Documents whose file comes in the first run; the others come in the second.
+FIRST = "pmcid < 'PMC5'"
+
+
+@query(f"""WITH parsed AS ({PARSED_SQL}), n AS (SELECT pmcid, count(*) AS n FROM parsed GROUP BY pmcid)
+SELECT p.pmcid, block_index, source, block_id, article_type, title, log.status, n AS n_blocks_total FROM parsed p JOIN n USING (pmcid), (SELECT 'ok' AS status) log""")
+def extracted_folder(spark, d):
+    """A folder of marked-up files through the extraction job, in two runs: the second takes up what the first hasn't seen."""
+    at = T.scratch(spark)
+    papers = _marked_up(spark, d)
+    first_block = lambda blocks: blocks.where("block_index = 0").select("pmcid", F.col("block_id").alias("segment_uid"))
+    for rows in (papers.where(FIRST), papers.where(f"NOT ({FIRST})")):
+        # a file for each paper, in a folder with its name
+        rows.withColumnRenamed("x", "value").repartition("pmcid").write.mode("append").partitionBy("pmcid").text(f"{at}/in")
+        E.extract_folder(spark, f"{at}/in", f"{at}/out", first_block, resume=True, pattern="part-*")
+    log = E.committed(spark, f"{at}/out", "log").select("pmcid", "status", "n_blocks_total")
+    blocks = E.committed(spark, f"{at}/out", "blocks").drop("status")
+    return blocks.join(log, "pmcid").select("pmcid", "block_index", "source", "block_id", "article_type", "title", "status", "n_blocks_total")
+
+
 BAD = ["<article><body><p>x</p></body></article>", "<article>", "<html/>", "<article/>"]
 
 

@@ -1,12 +1,13 @@
 """Marked-up documents: files to ordered paragraph blocks, routing, previews, segments.
 
-Parsing is the one step that needs Python: a mixed-content tree has no relational form. It runs per file in ``mapInPandas``
-over Spark's binary source; a file that fails becomes a row with its error.
+Parsing is the one step that needs Python: a mixed-content tree has no relational form. It is a table function over Spark's binary source, which
+packs files into tasks by their size; it reads a file event by event, and a file that fails becomes a row with its error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Sequence
@@ -32,56 +33,140 @@ def _child(e, name: str):
     return next((x for x in e if _tag(x) == name), None)
 
 
-def _walk(e, path: list[str]):
-    for x in e:
-        tag = _tag(x)
-        if tag in SKIPPED:
-            continue
-        if tag == "sec":
-            parts = [_flat(c) for c in (_child(x, "label"), _child(x, "title")) if c is not None]
-            name = " ".join(p for p in parts if p)
-            yield from _walk(x, [*path, name] if name else path)
-        elif tag == "p":
-            text = _flat(x)
-            if text:
-                yield path, text
-        else:
-            yield from _walk(x, path)
+class _Reader:
+    """Events of one document, with elements let go as soon as they end: memory holds the open elements and one paragraph.
 
+    Knows, at every event, the first article, its first abstract and body, and whether the place is under something that is skipped.
+    """
 
-def parse_document(data: bytes, pmcid: str) -> tuple[dict, list[dict]]:
-    """(facts, blocks) of one document: the first article, also inside a wrapper; abstract first, then body (DOC-01 to DOC-05)."""
-    root = ET.fromstring(data)
-    article = next((e for e in root.iter() if _tag(e) == "article"), None)
-    if article is None:
+    KEPT = {"p", "title", "label", "article-title"}
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __iter__(self):
+        """(event, tag, element, region) of the first article; regions are ``abstract`` and ``body``, "" elsewhere and None where skipped."""
+        stack, article, region, seen, skip, kept = [], None, [""], set(), 0, 0
+        for event, e in ET.iterparse(io.BytesIO(self.data), ("start", "end")):
+            tag = _tag(e)
+            if event == "start":
+                stack.append(e)
+                if article is None and tag == "article":
+                    article = e
+                if article is not None and article is not e:
+                    if tag in ("abstract", "body") and tag not in seen and article in stack:
+                        seen.add(tag)
+                        region.append(tag)
+                    skip += tag in SKIPPED and len(region) > 1
+                kept += tag in self.KEPT
+                if article is not None and article in stack:
+                    yield event, tag, e, None if skip else region[-1]
+            else:
+                inside = article is not None and article in stack
+                if inside:
+                    yield event, tag, e, None if skip else region[-1]
+                kept -= tag in self.KEPT
+                stack.pop()
+                if inside and article is not e:
+                    skip -= tag in SKIPPED and len(region) > 1
+                    if len(region) > 1 and tag == region[-1] and not any(_tag(x) == tag for x in stack):
+                        region.pop()
+                if not kept and stack:
+                    stack[-1].remove(e)
+
+
+def _facts(data: bytes) -> tuple[dict, list[list[str]]]:
+    """Facts of a document, and by section in their order the parts of its name; raises on a file that isn't whole."""
+    facts, names, open_, title = None, [], [], None
+    for event, tag, e, region in _Reader(data):
+        if event == "start":
+            facts = facts or {"article_type": e.get("article-type"), "title": None, "has_body": False}
+            facts["has_body"] |= tag == "body"
+            if tag == "article-title" and title is None:
+                title = e
+            if tag == "sec":
+                names.append(["", ""])
+            open_.append((e, len(names) - 1 if tag == "sec" else None))
+        else:
+            open_.pop()
+            if e is title:
+                facts["title"] = _flat(e)
+            above = open_[-1][1] if open_ else None
+            if tag in ("label", "title") and above is not None and not names[above][tag == "title"]:
+                names[above][tag == "title"] = _flat(e) or " "
+    if facts is None:
         raise ValueError("no article element")
-    title = next((_flat(e) for e in article.iter() if _tag(e) == "article-title"), None)
-    body = next((e for e in article.iter() if _tag(e) == "body"), None)
-    facts = {"article_type": article.get("article-type"), "title": title, "has_body": body is not None}
-    blocks = []
-    for source, top in (("abstract", next((e for e in article.iter() if _tag(e) == "abstract"), None)), ("body", body)):
-        for path, text in _walk(top, []) if top is not None else ():
+    return facts, [[x for x in map(str.strip, n) if x] for n in names]
+
+
+def _paragraphs(data: bytes, source: str, names: list[list[str]]):
+    """(path, text) of every paragraph of the abstract or the body, as they end."""
+    n, path, within = 0, [], 0
+    for event, tag, e, region in _Reader(data):
+        mine = region == source
+        if event == "start":
+            if tag == "sec":
+                n += 1
+                path.append(" ".join(names[n - 1]) if mine and not within else None)
+            within += tag == "p"
+        else:
+            within -= tag == "p"
+            if tag == "sec":
+                path.pop()
+            elif tag == "p" and mine and not within:
+                text = _flat(e)
+                if text:
+                    yield [x for x in path if x], text
+
+
+def stream_document(data: bytes, pmcid: str):
+    """Blocks of one document, one after the other, each with the document's facts: the first article, also inside a wrapper; abstract first,
+    then body (DOC-01 to DOC-05). The first pass reads to the end, so a broken file gives no block."""
+    facts, names = _facts(data)
+    index = 0
+    for source in ("abstract", "body"):
+        for path, text in _paragraphs(data, source, names):
             joined = " > ".join(path)
             digest = hashlib.sha1("\n".join((pmcid, source, joined, text)).encode()).hexdigest()[:16]
-            blocks.append({"source": source, "block_index": len(blocks), "block_id": f"{pmcid}__{source}__{digest}", "sec_path": path, "sec_path_str": joined, "text": text, "n_chars": len(text)})
-    return facts, blocks
+            yield facts | {"source": source, "block_index": index, "block_id": f"{pmcid}__{source}__{digest}", "sec_path": path, "sec_path_str": joined, "text": text, "n_chars": len(text)}
+            index += 1
+    if not index:
+        yield facts
+
+
+def parse_document(data: bytes, pmcid: str) -> tuple[dict, list[dict]]:
+    """(facts, blocks) of one document, at once."""
+    rows = list(stream_document(data, pmcid))
+    facts = {k: rows[0][k] for k in ("article_type", "title", "has_body")}
+    return facts, [{k: v for k, v in r.items() if k not in facts} for r in rows if "block_id" in r]
 
 
-def _parse(frames):
-    import pandas as pd
+class ParseBlocks:
+    """The table function ``parse_blocks(path, content)``: a row for each block; a document without blocks, or that can't be read, is one row."""
 
-    cols = [c.split(" ")[0] for c in PARSED.split(", ")]
-    for pdf in frames:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            pmcid = re.sub(r"\.[A-Za-z]+$", "", path.rpartition("/")[2])
-            base = {"path": path, "pmcid": pmcid, "status": "ok"}
-            try:
-                facts, blocks = parse_document(bytes(content), pmcid)
-                rows += [base | facts | b for b in blocks or [{}]]
-            except Exception as e:  # a bad file is a row, never the end of the job
-                rows.append(base | {"status": "error", "error": f"{type(e).__name__}: {e}"})
-        yield pd.DataFrame(rows, columns=cols).astype(object).where(lambda d: d.notna(), None) if rows else pd.DataFrame(columns=cols)
+    def eval(self, path: str, content: bytes):
+        pmcid = _name_of(path)
+        columns = [c.split(" ")[0] for c in BLOCKS.split(", ")]
+        row = lambda **r: tuple(({"pmcid": pmcid, "status": "ok"} | r).get(c) for c in columns)
+        try:
+            for r in stream_document(bytes(content or b""), pmcid):
+                yield row(**r)
+        except Exception as e:  # a bad file is a row, never the end of the job
+            yield row(status="error", error=f"{type(e).__name__}: {e}")
+
+
+BLOCKS = PARSED.removeprefix("path string, ")
+parse_blocks = F.udtf(ParseBlocks, returnType=BLOCKS)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``parse_blocks`` known to SQL: SELECT b.* FROM files, LATERAL parse_blocks(path, content) b."""
+    spark.udtf.register("parse_blocks", parse_blocks)
+
+
+def _name_of(path: str) -> str:
+    folder = re.search(r"/pmcid=([^/]+)/", path)
+    return folder[1] if folder else re.sub(r"\.[A-Za-z]+$", "", path.rpartition("/")[2])
 
 
 def parse_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
@@ -89,20 +174,24 @@ def parse_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataF
     return parse_contents(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
 
 
+def _parsed(files: DataFrame) -> DataFrame:
+    return files.select("path", "content").lateralJoin(parse_blocks(F.col("path").outer(), F.col("content").outer())).select(*(c.split(" ")[0] for c in PARSED.split(", ")))
+
+
 def parse_contents(files: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """As parse_files, from rows of (path, content). Documents whose id is among ``done`` (pmcid) aren't parsed again: one row with status skipped."""
     if done is None:
-        return files.select("path", "content").mapInPandas(_parse, PARSED)
+        return _parsed(files)
     named = files.select("path", "content", pmcid_of(F.col("path")).alias("pmcid"))
     known = done.select("pmcid").distinct()
-    new = named.join(known, "pmcid", "left_anti").select("path", "content").mapInPandas(_parse, PARSED)
+    new = _parsed(named.join(known, "pmcid", "left_anti"))
     old = named.join(known, "pmcid", "left_semi").select("path", "pmcid", F.lit("skipped").alias("status"))
     return new.unionByName(old, allowMissingColumns=True)
 
 
 def pmcid_of(path):
-    """Id of a document: its file name without the ending."""
-    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[A-Za-z]+$", "")
+    """Id of a document: the folder ``pmcid=...`` where it lies in one, else its file name without the ending."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, "/pmcid=([^/]+)/", 1), F.lit("")), F.regexp_replace(F.substring_index(path, "/", -1), r"\.[A-Za-z]+$", ""))
 
 
 def parse_log(parsed: DataFrame) -> DataFrame:

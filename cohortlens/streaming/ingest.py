@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,6 +40,55 @@ def append_new(key: Sequence[str], path: str) -> Callable[[DataFrame, int], None
     return write
 
 
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A name that lives as long as the checkpoint does: kept in a file beside Spark's own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/run-name")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        out = fs.create(at, False)
+        out.writeUTF(uuid.uuid4().hex[:16])
+        out.close()
+    src = fs.open(at)
+    try:
+        return src.readUTF()
+    finally:
+        src.close()
+
+
+def write_once(stream: DataFrame, key: Sequence[str], path: str, checkpoint: str, keep_watching: bool = False, interval: str = "1 second") -> StreamingQuery:
+    """Rows of a stream to a table, the first of each key and each once (STM-04, SNK-02).
+
+    Keys that were seen are Spark's streaming state, which a restart finds in the checkpoint; the table isn't read again, so a batch takes as long
+    on a large table as on a small one. A batch owns the folder of its number and replaces it as a whole: one that ran half before a crash leaves nothing
+    twice. What other runs (another checkpoint, a lost one) have written is looked up by key, and does not grow meanwhile. ``read_once`` reads the table.
+    """
+    spark = stream.sparkSession
+    run = _run_of(spark, checkpoint)
+    others = _others(spark, path, run)
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch
+        if others:
+            new = batch.join(batch.sparkSession.read.parquet(*others).select(*key), list(key), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
+
+    return ingest(stream.dropDuplicates(list(key)), write, checkpoint, keep_watching, interval)
+
+
+def _others(spark: SparkSession, path: str, run: str) -> list[str]:
+    if not _exists(spark, path):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    names = [x.getPath().getName() for x in found]
+    return [f"{path}/{n}/*" for n in sorted(names) if n.startswith("run=") and n != f"run={run}"]
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``write_once``, without the columns of its folders."""
+    return spark.read.parquet(path).drop("run", "batch")
+
+
 def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, keep_watching: bool = False, interval: str = "1 second") -> StreamingQuery:
     """Runs until what is there is done, or goes on watching (STM-02)."""
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
