@@ -7,7 +7,7 @@ after any number of slots each source has had its weight's share to within less
 greatest common divisor), so one period of it is all there is to simulate, and every document's position follows from its rank in its source.
 
 Sources of the same weight have the same windows and take turns, so the simulation runs over the distinct weights, in one
-expression; it holds one number per weight and the period's picks. A period of more than ``MOST_PERIOD`` slots is refused with an error: give such weights in coarser units.
+expression; it holds one number per weight and the period's picks. A period of more than ``MOST_PERIOD`` slots is refused with an error: give such weights in coarser units. The default weights do that by themselves, so only more than ``MOST_PERIOD`` sources are refused.
 
 Ranks need no single task for a hot source: documents are ordered by the MD5 of their id, ``4096`` ranges of it
 are counted, and ranks are the range's offset plus the row number within it.
@@ -27,6 +27,8 @@ from . import common as C
 BLOCK_ROWS = 16
 #: Slots of a period; one long integer each travels with the plan.
 MOST_PERIOD = 1 << 20
+#: Slots of a period with the default weights, as long as there are fewer sources than that.
+DEFAULT_PERIOD = 1 << 17
 #: Hex digits of the hash ranges within which rows are numbered.
 DIGITS = 3
 #: Picks that are gathered before they are put away, so that no long array is copied at every slot.
@@ -38,12 +40,18 @@ def _name(c):
 
 
 def temperature_weights(docs: DataFrame, source_col: str = "source") -> DataFrame:
-    """(source, weight): the square root of a source's documents in hundredths of the largest one's, 1 at least: large sources are held down, small ones lifted."""
+    """(source, weight): the square root of a source's documents in hundredths of the largest one's, 1 at least: large sources are held down, small ones lifted. Where these come to more than ``DEFAULT_PERIOD``, in
+    units so coarse that they don't; up to ``MOST_PERIOD`` sources then have a schedule."""
     return _tempered(docs.groupBy(_name(F.col(source_col)).alias("source")).agg(F.count("*").alias("n")))
 
 
 def _tempered(n: DataFrame) -> DataFrame:
-    return n.select("source", F.greatest(F.lit(1), F.round(F.sqrt(F.col("n") / n.agg(F.max("n")).scalar()) * 100)).cast("long").alias("weight"))
+    share = n.select("source", F.sqrt(F.col("n") / n.agg(F.max("n")).scalar()).alias("x"))
+    fine = F.greatest(F.lit(1.0), F.round(F.col("x") * 100))
+    # with very many sources the units get coarser, so that the period keeps its bound
+    all_ = share.agg(F.struct(F.sum(fine).alias("fine"), F.sum("x").alias("x"), F.count("*").alias("n")).alias("a")).scalar()
+    coarse = F.greatest(F.lit(1.0), F.floor(F.col("x") * (F.greatest(F.lit(0), F.lit(DEFAULT_PERIOD) - F.col("_a.n")) / F.col("_a.x"))))
+    return share.withColumn("_a", all_).select("source", F.when(F.col("_a.fine") <= DEFAULT_PERIOD, fine).otherwise(coarse).cast("long").alias("weight"))
 
 
 def _computed(df: DataFrame, *columns: str) -> DataFrame:

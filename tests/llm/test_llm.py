@@ -880,3 +880,17 @@ def test_bins_follow_the_mix(spark, tmp_path, monkeypatch):
             # a block, and the part of the one that is begun
             assert all(abs(seen[s] - n * v**0.5 / total) < 32 for s, v in sizes.items())
     assert n == 900
+
+
+def test_default_weights_of_very_many_sources_keep_the_period_short(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.llm import mixing as M
+
+    # the n-th source has some 1 to 40 documents
+    docs = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(1) + F.col("id") % 40)).alias("k")).select("source", F.concat("source", F.lit("-"), "k").alias("doc_id"))
+    w = M.temperature_weights(docs)
+    total, n, kinds = w.agg(F.sum("weight"), F.count("*"), F.count_distinct("weight")).first()
+    assert n == 20_000 and total <= M.DEFAULT_PERIOD and kinds > 3
+    mixed = M.mix_sources(docs, keep=["doc_id"])
+    assert mixed.count() == docs.count() == mixed.select("position").distinct().count()
