@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents (extra columns, whatever their names, travel along).
 Null and empty texts have no language and go in the first stage, as do texts without a letter. Repeated rows with an id are one group of the second
 stage: one of them stays, ties being equal rows; rows without an id stay all. A null source is a source of its own in the third and fourth stage.
-Very long texts are judged whole and packed in pieces. Empty tables give empty results. ``run`` writes each stage's rows as Parquet into the shared folder and reads them again as the next stage's input.
+Very long texts are judged whole and packed in pieces. Empty tables give empty results. ``run`` writes each stage's rows as Parquet into the shared folder and reads them again as the next stage's input; what a stage has read goes once it is written.
 """
 
 from __future__ import annotations
@@ -52,15 +52,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of documents and pieces of documents, in the order of the files and of the rows within them: that of the mix."""
+    """Bins of documents and pieces of documents, in the order of the files and of the rows within them: that of the mix. Rows that come from no file have no order: their ids' hashes give one."""
     try:
         rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
     except AnalysisException:
         # rows that come from no file have no order
         return pack_documents(docs)
-    files = rows.groupBy("_file").count()
+    files = C.cut(rows.groupBy("_file").count())
     before = files.select("_file", F.coalesce(F.sum("count").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = rows.join(F.broadcast(before), "_file")
+    placed = rows.join(F.broadcast(before) if files.count() <= MAX_BROADCAST else before, "_file")
     return pack_documents(placed, place=F.col("_before") + F.col("_index"))
 
 
@@ -75,4 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if k:
+            C.remove(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
