@@ -11,7 +11,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X, text as S
-from ..operators import labels as L, relational as R
+from ..operators import labels as L, relational as R, schemas
 from ..sources import documents as D, tables as T
 from ..streaming import extraction as E
 from . import api, raters as A
@@ -387,6 +387,34 @@ def parse_log(spark, d):
     return D.parse_log(D.parse_contents(x, done)).select("pmcid", "status", "n_blocks_total")
 
 
+@query("""WITH e AS (SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) - 50 AS n, value FROM events)
+SELECT event_id, CASE WHEN event_type = 'view' THEN '$: not a JSON object' ELSE concat_ws(',', CASE event_type WHEN 'error' THEN '$.is_case_like: not a flag' WHEN 'signup' THEN '$.is_case_like: missing' WHEN 'click' THEN '$.is_case_like: null' END,
+  CASE WHEN n < 1 THEN '$.n_cases_est: less than 1' END, CASE WHEN value > 50 THEN '$.selected_sec_paths[1]: not text' END) END AS errors FROM e""")
+def route_schema(spark, d):
+    """Answers of the first pass made of events; what is wrong with each follows from its row."""
+    e = t(spark, d, "events").withColumn("n", F.get_json_object("props", "$.k").cast("long") - 50)
+    kind = F.col("event_type")
+    flag = F.when(kind == "error", ', "is_case_like": "maybe"').when(kind == "signup", "").when(kind == "click", ', "is_case_like": null').otherwise(', "is_case_like": true')
+    paths = F.when(F.col("value") > 50, '["Case", 7]').otherwise('["Case"]')
+    answer = F.concat(F.lit('so: {"n_cases_est": '), F.when(F.col("n") % 2 == 0, F.concat(F.lit('"'), "n", F.lit('"'))).otherwise(F.col("n").cast("string")), F.lit(', "selected_sec_paths": '), paths, flag, F.lit("}"))
+    x = e.select("event_id", F.when(kind == "view", F.substring_index(answer, "}", 0)).otherwise(answer).alias("text"))
+    return schemas.checked(x, "text", schemas.ROUTE).select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, turn, role, text FROM conversations)
+SELECT conv_id, coalesce(string_agg(e, ',' ORDER BY i), '') AS errors FROM (SELECT conv_id, i, nullif(concat_ws(',', CASE WHEN turn % 4 = 1 THEN '$.segments[' || i || '].case_id: not text' END, CASE WHEN role = 'assistant' THEN '$.segments[' || i || '].segment_type: not allowed' END,
+  CASE WHEN turn % 3 = 0 THEN '$.segments[' || i || '].block_ids: fewer than 1' END, CASE WHEN length(text) % 2 = 0 THEN '$.segments[' || i || '].include_for_embedding: missing' END), '') AS e FROM s) GROUP BY conv_id""")
+def segment_schema(spark, d):
+    """Answers of the second pass made of conversations: every turn a segment, in their order."""
+    c = t(spark, d, "conversations")
+    case = F.when(F.col("turn") % 4 == 1, F.lit("1")).otherwise(F.lit('"case_1"'))
+    kind = F.when(F.col("role") == "assistant", "assistant").otherwise("other")
+    one = F.concat(F.lit('{"case_id": '), case, F.lit(', "segment_type": "'), kind, F.lit('", "block_ids": '), F.when(F.col("turn") % 3 == 0, "[]").otherwise('["b"]'), F.when(F.length("text") % 2 == 0, "").otherwise(', "include_for_embedding": 1'), F.lit("}"))
+    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", one.alias("x")))), lambda r: r["x"]), ", ")
+    x = c.groupBy("conv_id").agg(F.concat(F.lit('```json\n{"n_cases_est": null, "segments": ['), all_, F.lit("]}\n```")).alias("text"))
+    return schemas.checked(x, "text", schemas.SEGMENTS).select("conv_id", F.array_join("errors", ",").alias("errors"))
+
+
 # ---- citations ----
 
 PAGES = ["1672-82", "S112-S5", "45", "e12-e15", "1-3, 5-9", "120–5", None]
