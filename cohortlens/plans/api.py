@@ -129,6 +129,21 @@ def rater_study(cases: DataFrame, a: DataFrame, b: DataFrame, judge: DataFrame,
     return {"kappa": I.kappa_report(pairs, fields, "text_adequate"), "to_adjudicate": pairs.where(I.needs_adjudication(fields)), "consensus": done, "cases": A.relabel(cases, done, list(key))}
 
 
+def virtual_rater_study(cases: DataFrame, packets: DataFrame, first: services.Labeler, second: services.Labeler, judge: services.Labeler, out: str, fields: Sequence[str] = A.FIELDS, force: bool = True, **gate) -> dict[str, DataFrame]:
+    """Two virtual raters, a third for what they disagree on, consensus, agreement, relabelled cases and pooled estimation on these (RAT-05, RAT-06).
+
+    ``cases`` has case_uid, the endpoint and the clusters, ``packets`` case_uid and packet. Every stage keeps its answers under ``out``, so a study that was
+    killed asks nothing twice. ``gate`` (p, share, baseline) is that of the replication; a forced study goes on where it is not passed.
+    """
+    found = A.rate_cases(packets, {"first": first, "second": second}, f"{out}/raters")
+    a, b = (A.filled_sheet(found, who, fields) for who in ("first", "second"))
+    open_ = A.paired(a, b, fields).where(I.needs_adjudication(fields)).select("case_uid")
+    judged = A.filled_sheet(A.rate_cases(packets.join(open_, "case_uid", "left_semi"), {"judge": judge}, f"{out}/judge"), "judge", fields)
+    study = rater_study(cases, a, b, judged, fields=fields)
+    passed = {"p": None, "share": None, "baseline": None} | gate
+    return {"first": a, "second": b, "judge": judged} | study | {f"pooled_{k}": v for k, v in phase_e(study["cases"], **passed, force=force).items()}
+
+
 def phase_e(cases: DataFrame, p: float, share: float, baseline: float, split: str = "split", cluster: str = "cluster_matched", positive: str = "is_ppa", alpha: float = 0.05, force: bool = False, tests: DataFrame | None = None) -> dict[str, DataFrame]:
     """Pooled estimation behind the replication gate (STT-11, STT-18 to STT-20); ``tests`` as of ``endpoint_tests``."""
     if not (force or I.replication_gate(p, share, baseline, alpha)):

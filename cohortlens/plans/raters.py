@@ -63,6 +63,64 @@ def coerce_rating(df: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in fields), F.coalesce(ok, F.lit(0)).alias("text_adequate"), *(F.when(ok == 1, S.to_binary(F.col(f))).alias(f) for f in rest), F.when(ok.isNull(), "text_adequate missing").alias("error"))
 
 
+# ---- virtual raters ----
+
+ANSWERS = "rater string, case_uid string, answer string, error string, at timestamp"
+
+
+def _asked(raters: dict, text: str):
+    import json
+
+    from ..sources import services
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for name, case, packet in zip(pdf["rater"], pdf["case_uid"], pdf[text]):
+                try:
+                    rows.append((name, case, json.dumps(services.ask(raters[name], packet or "")), None))
+                except Exception as e:  # a case that fails is a row, and is asked again when wanted
+                    rows.append((name, case, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["rater", "case_uid", "answer", "error"])
+
+    return run
+
+
+def answers(spark, out: str) -> DataFrame:
+    """The latest answer of every rater to every case in the log under ``out``."""
+    from ..streaming.ingest import _exists
+
+    log = spark.read.schema(ANSWERS).parquet(out) if _exists(spark, out) else spark.createDataFrame([], ANSWERS)
+    return R.latest_per_key(log, ["rater", "case_uid"], ["at"])
+
+
+def rate_cases(cases: DataFrame, raters: dict, out: str, text: str = "packet", parts: int = 16, retry_errors: bool = False) -> DataFrame:
+    """The loop of virtual raters (RAT-05): ``raters`` (name: model with ``label(packet)``) fill in their sheets for ``cases`` (case_uid, packet).
+
+    Answers go to an append log, a part of the questions at a time: what was asked before, in this run or an earlier one, is left out by its key, so a run
+    that was killed is taken up where its last part ended. Failed cases stay failed unless ``retry_errors`` is set. Repeated cases are one.
+    """
+    spark = cases.sparkSession
+    names = F.explode(F.array(*map(F.lit, sorted(raters)))).alias("rater") if raters else F.explode(F.array().cast("array<string>")).alias("rater")
+    every = cases.where("case_uid IS NOT NULL").select(F.col("case_uid").cast("string").alias("case_uid"), text).groupBy("case_uid").agg(F.min(text).alias(text)).select("*", names)
+    for part in range(parts):
+        done = answers(spark, out).where(F.lit(not retry_errors) | F.col("error").isNull()).select("rater", "case_uid")
+        mine = every.where(P.hash_shard(F.concat_ws(":", "rater", "case_uid"), parts) == part).join(done, ["rater", "case_uid"], "left_anti").select("rater", "case_uid", text)
+        told = mine.mapInPandas(_asked(raters, text), "rater string, case_uid string, answer string, error string")
+        told.withColumn("at", F.current_timestamp()).write.mode("append").parquet(out)
+    return answers(spark, out)
+
+
+def filled_sheet(found: DataFrame, rater: str, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """A rater's sheet from the log's answers: (case_uid, fields as 0, 1 or blank, error) (JSN-08)."""
+    of = lambda f: F.get_json_object("answer", f"$.{f}").alias(f)
+    got = coerce_rating(found.where((F.col("rater") == rater) & F.col("error").isNull()).select("case_uid", *map(of, fields)), fields)
+    failed = found.where((F.col("rater") == rater) & F.col("error").isNotNull()).select("case_uid", "error")
+    return got.unionByName(failed, allowMissingColumns=True)
+
+
 # ---- citations ----
 
 
