@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .coassign import coassigned, profiles
+
 EPS = 1e-12
 #: Centroids that may be sent to every task.
 MAX_CENTROIDS = 10_000
@@ -135,11 +137,16 @@ def match_clusters(matrix: DataFrame) -> DataFrame:
 
 
 def coassignment(assignments: DataFrame, key: str, replicate: str, cluster: str) -> DataFrame:
-    """Share of replicates in which two cases fall together (ML-12), for pairs that ever do."""
-    a = assignments.select(F.col(key).alias("i"), replicate, cluster)
-    b = assignments.select(F.col(key).alias("j"), replicate, cluster)
+    """Share of replicates in which two cases fall together (ML-12), for pairs of cases that ever do: as many rows as there are such
+    pairs. ``coassign.profiles`` and ``coassign.coassigned`` give the same in the size of the distinct profiles.
+    """
+    cases = profiles(assignments, key, replicate, cluster)
     total = assignments.agg(F.count_distinct(replicate).alias("n"))
-    return a.join(b, [replicate, cluster]).where("i < j").groupBy("i", "j").agg((F.count("*") / total.scalar()).alias("coassignment"))
+    pairs = coassigned(cases, 0.0).select("i", "j", "coassignment")
+    within = cases.groupBy("profile").agg(F.first(F.size("clusters")).alias("n")).select(F.col("profile").alias("i"), F.col("profile").alias("j"), (F.col("n") / total.scalar()).alias("coassignment"))
+    member = lambda side: cases.select(F.col("profile").alias(side), F.col(key).alias("_" + side))
+    spread = pairs.union(within).join(member("i"), "i").join(member("j"), "j").where("i < j or _i < _j")
+    return spread.select(F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "coassignment")
 
 
 def membership(assignments: DataFrame, key: str, chosen: Column, core: float = 0.8) -> DataFrame:

@@ -48,10 +48,10 @@ def to_fetch(registry: DataFrame, n: int | None = None, how: str = "latest", see
     return rows.orderBy(F.desc_nulls_last("year"), "pmcid").limit(n) if how == "latest" else P.hash_sample(rows, ["pmcid"], n, seed)
 
 
-def fetch(registry: DataFrame, fetcher: services.Fetcher, n: int | None = None, how: str = "latest", folder: str | None = None, overwrite: bool = False) -> DataFrame:
-    """Documents of the registry, as rows or as files of a shared folder; errors are rows."""
+def fetch(registry: DataFrame, fetcher: services.Fetcher, n: int | None = None, how: str = "latest", folder: str | None = None, overwrite: bool = False, pace: services.Pace | None = None) -> DataFrame:
+    """Documents of the registry, as rows or as files of a shared folder; errors are rows. ``pace`` holds all tasks to one rate."""
     rows = to_fetch(registry, n, how)
-    return services.fetch_all(rows, "pmcid", fetcher) if folder is None else services.fetch_files(rows, "pmcid", fetcher, folder, overwrite=overwrite)
+    return services.fetch_all(rows, "pmcid", fetcher, pace=pace) if folder is None else services.fetch_files(rows, "pmcid", fetcher, folder, overwrite=overwrite, pace=pace)
 
 
 parse = D.parse_files

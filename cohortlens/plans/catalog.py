@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import stats, text as S
-from ..operators import inference as I, relational as R, sampling as P, vectors as V
+from ..operators import coassign as G, inference as I, relational as R, sampling as P, vectors as V
 from ..sources import tables as T
 from . import cohort as K, raters as A
 
@@ -399,6 +399,25 @@ def coassignment(spark, d):
     return V.coassignment(a, "vec_id", "r", "cl")
 
 
+# eight clusterings of all vectors by the signs of two components
+SIGNS = """s AS (SELECT vec_id, r, CAST(embedding[r + 1] > 0 AS INT) * 2 + CAST(embedding[r + 9] > 0 AS INT) AS cl FROM embeddings, (SELECT unnest(range(8)) AS r)),
+ p AS (SELECT vec_id, string_agg(cl, '' ORDER BY r) AS f FROM s GROUP BY vec_id), q AS (SELECT f, min(vec_id) AS profile, count(*) AS cases FROM p GROUP BY f),
+ g AS (SELECT a.f, a.profile, a.cases, b.cases AS n, (SELECT count(*) FROM range(1, 9) AS k(k) WHERE a.f[k.k] = b.f[k.k]) AS same FROM q a JOIN q b ON a.profile != b.profile)"""
+
+
+@query(f"""WITH {SIGNS} SELECT q.profile, q.cases, CAST(coalesce(sum(g.n) FILTER (WHERE g.same >= 6), 0) AS BIGINT) AS linked, count(*) FILTER (WHERE g.same >= 6) AS partners
+ FROM q LEFT JOIN g ON q.profile = g.profile GROUP BY q.profile, q.cases""")
+def coassigned_profiles(spark, d):
+    """Vectors that fall together in at least three of four clusterings, by profile."""
+    v = F.col("embedding")
+    cl = lambda r: (F.get(v, r) > 0).cast("int") * 2 + (F.get(v, r + 8) > 0).cast("int")
+    a = t(spark, d, "embeddings").select("vec_id", F.posexplode(F.array(*(cl(r) for r in range(8)))).alias("r", "cl"))
+    cases = G.profiles(a, "vec_id", "r", "cl")
+    pairs = G.coassigned(cases, 0.75)
+    partners = pairs.select(F.col("i").alias("profile")).union(pairs.select("j")).groupBy("profile").agg(F.count("*").alias("partners"))
+    return G.consensus_counts(cases, pairs).join(partners, "profile", "left").select("profile", "cases", "linked", F.coalesce("partners", F.lit(0)).alias("partners"))
+
+
 DRAWS = 100
 #: The urn's number of marked balls for every draw and cluster, in the order of clusters; weights from the gamma function.
 URN = """urn AS (SELECT {group}, cluster, n, y, row_number() OVER (PARTITION BY {group} ORDER BY cluster) AS i, sum(n) OVER (PARTITION BY {group}) AS total, sum(y) OVER (PARTITION BY {group}) AS marked FROM counts),

@@ -10,6 +10,7 @@ import math
 import random
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -67,29 +68,93 @@ def embed(df: DataFrame, text: str, embedder: Embedder | None = None, batch: int
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField(out, ArrayType(FloatType()))]))
 
 
-def fetch_all(keys: DataFrame, key: str, fetcher: Fetcher, tries: int = 10, pause: float = 0.0) -> DataFrame:
-    """(key, status, content, error): retries with growing pauses; an error is a row (SRC-17, SRC-18)."""
+@dataclass(frozen=True)
+class Pace:
+    """Times at which tasks may send requests, agreed on without talking to each other (SRC-18).
+
+    Requests have numbered slots, ``rate`` in a second; after every ``batch`` slots comes a break of ``pause`` seconds and up to
+    ``jitter`` more, drawn from ``seed`` and the batch's number. A slot's time follows from its number alone. Slot ``s`` belongs to
+    lane ``s`` modulo ``lanes``, and a lane is run by one task, so no slot is used twice. A slot that has begun is used within half of
+    its length or not at all: late tasks lose slots and never catch up. Any ``w`` seconds hold at most ``w * rate + 2`` requests.
+
+    Lanes that wait for a free core leave their slots unused, so ``lanes`` should be no more than the cores. Clocks of executors must
+    agree to within half a slot. A second attempt of a task that still runs would share its slots: leave speculation off.
+    """
+
+    rate: float = 3.0
+    lanes: int = 4
+    batch: int = 25
+    pause: float = 10.0
+    jitter: float = 2.0
+    seed: int = 42
+    start: float = field(default_factory=time.time)
+
+    def __post_init__(self):
+        if self.rate <= 0 or self.lanes < 1 or self.batch < 1 or self.pause < 0 or self.jitter < 0:
+            raise ValueError("rate, lanes and batch must be positive, pause and jitter not negative")
+
+    def at(self, slot: int) -> float:
+        """The time of a slot. Breaks last from ``pause`` to ``pause + jitter``."""
+        b = slot // self.batch
+        return self.start + slot / self.rate + b * (self.pause + self.jitter / 2) + self.jitter / 2 * random.Random(f"{self.seed}:{b}").random()
+
+    def next_slot(self, lane: int, now: float) -> int:
+        """The lane's first slot that has not begun at ``now``."""
+        each = self.batch / self.rate + self.pause + self.jitter / 2
+        slot = max(0, int((now - self.start) / each) - 1) * self.batch
+        slot += (lane - slot) % self.lanes
+        while self.at(slot) < now:
+            slot += self.lanes
+        return slot
+
+    def wait(self, lane: int, earliest: float = 0.0) -> float:
+        """Sleep until a slot of the lane, not before ``earliest``; returns when it began."""
+        while True:
+            begin = self.at(self.next_slot(lane, max(earliest, time.time())))
+            time.sleep(max(0.0, begin - time.time()))
+            if time.time() - begin < 0.5 / self.rate:
+                return begin
+
+
+def _lanes(keys: DataFrame, key: str, pace: Pace | None) -> DataFrame:
+    """(key, lane): with a pace, every lane in a partition of its own."""
+    if pace is None:
+        return keys.select(F.col(key).alias("key"), F.lit(0).alias("lane"))
+    dealt = keys.select(F.col(key).alias("key"), F.pmod(F.xxhash64(F.col(key)), F.lit(pace.lanes)).cast("int").alias("lane"))
+    return dealt.repartitionById(pace.lanes, "lane")
+
+
+def _tried(fetcher: Fetcher, key: str, lane: int, tries: int, pause: float, most_pause: float, pace: Pace | None) -> tuple[bytes | None, str | None]:
+    """(content, None) or (None, the last error). Every try takes a slot; a pause that the service asks for is kept."""
+    wait, earliest, error = pause, 0.0, None
+    for n in range(tries):
+        if pace is not None:
+            pace.wait(lane, earliest)
+        elif n:
+            time.sleep(max(0.0, earliest - time.time()))
+        try:
+            return fetcher.fetch(key), None
+        except RetryLater as e:
+            error, earliest = f"{type(e).__name__}: {e}", time.time() + min(most_pause, e.seconds)
+        except Exception as e:
+            error, earliest = f"{type(e).__name__}: {e}", time.time() + min(most_pause, wait * (1 + 0.1 * random.random()))
+            wait *= 1.7
+    return None, error
+
+
+def fetch_all(keys: DataFrame, key: str, fetcher: Fetcher, tries: int = 10, pause: float = 0.0, most_pause: float = 10.0, pace: Pace | None = None) -> DataFrame:
+    """(key, status, content, error): retries with growing pauses, at a pace if one is given; an error is a row (SRC-17, SRC-18)."""
 
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = []
-            for k in pdf[key]:
-                wait, error = pause, None
-                for _ in range(tries):
-                    try:
-                        rows.append((k, "ok", fetcher.fetch(k), None))
-                        break
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                        time.sleep(min(10.0, wait * (1 + 0.1 * random.random())))
-                        wait *= 1.7
-                else:
-                    rows.append((k, "error", None, error))
-            yield pd.DataFrame(rows, columns=["key", "status", "content", "error"])
-
-    return keys.select(key).mapInPandas(run, "key string, status string, content binary, error string")
+            for k, lane in zip(pdf["key"], pdf["lane"]):
+                content, error = _tried(fetcher, k, lane, tries, pause, most_pause, pace)
+                # a frame for each document: contents don't pile up
+                yield pd.DataFrame([(k, "ok" if error is None else "error", content, error)], columns=["key", "status", "content", "error"])
+
+    return _lanes(keys, key, pace).mapInPandas(run, "key string, status string, content binary, error string")
 
 
 class PagedSearch(DataSource):
@@ -263,48 +328,50 @@ def label_with_escalation(df: DataFrame, text: str, first: Labeler, second: Labe
 # ---- files and records ----
 
 
-def fetch_files(keys: DataFrame, key: str, fetcher: Fetcher, folder: str, ending: str = ".xml", overwrite: bool = False, tries: int = 10, pause: float = 0.0, most_pause: float = 10.0) -> DataFrame:
-    """(key, status, path, bytes, error): documents as files in a folder that all tasks share (SRC-17, SRC-18).
+def fetch_files(keys: DataFrame, key: str, fetcher: Fetcher, folder: str, ending: str = ".xml", overwrite: bool = False, tries: int = 10, pause: float = 0.0, most_pause: float = 10.0, pace: Pace | None = None) -> DataFrame:
+    """(key, status, path, bytes, error): documents as files in a folder that all tasks share, a path or the address of an
+    object store (SRC-17, SRC-18).
 
-    A file that is there is left alone (skipped); a new one is written under another name and renamed when it is whole. A pause
-    that the service asks for is kept.
+    A file that is there is left alone (skipped) and takes no slot of the pace. A new one appears when it is whole: an object
+    store shows it when it is closed, elsewhere it is written under another name and moved.
     """
 
     def run(frames):
-        import os
+        import uuid
 
         import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        if store.type_name in ("local", "hdfs"):
+            store.create_dir(root, recursive=True)
+
+        def write(path, content):
+            part = f"{path}.{uuid.uuid4().hex}.part" if store.type_name in ("local", "hdfs") else path
+            with store.open_output_stream(part) as f:
+                f.write(content)
+            if part != path:
+                store.move(part, path)
+
+        def one(k, lane):
+            shown, path = f"{folder}/{k}{ending}", f"{root}/{k}{ending}"
+            there = store.get_file_info(path)
+            if there.type == fs.FileType.File and not overwrite:
+                return k, "skipped", shown, there.size, None
+            content, error = _tried(fetcher, k, lane, tries, pause, most_pause, pace)
+            if error is None:
+                try:
+                    write(path, content)
+                    return k, "ok", shown, len(content), None
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+            return k, "error", shown, None, error
 
         for pdf in frames:
-            rows = []
-            for k in pdf[key]:
-                path = f"{folder}/{k}{ending}"
-                if os.path.exists(path) and not overwrite:
-                    rows.append((k, "skipped", path, os.path.getsize(path), None))
-                    continue
-                wait, error = pause, None
-                for _ in range(tries):
-                    try:
-                        content = fetcher.fetch(k)
-                        os.makedirs(folder, exist_ok=True)
-                        part = f"{path}.{os.getpid()}.part"
-                        with open(part, "wb") as f:
-                            f.write(content)
-                        os.replace(part, path)
-                        rows.append((k, "ok", path, len(content), None))
-                        break
-                    except RetryLater as e:
-                        error = f"{type(e).__name__}: {e}"
-                        time.sleep(min(most_pause, e.seconds))
-                    except Exception as e:
-                        error = f"{type(e).__name__}: {e}"
-                        time.sleep(min(most_pause, wait))
-                        wait *= 1.7
-                else:
-                    rows.append((k, "error", path, None, error))
+            rows = [one(k, lane) for k, lane in zip(pdf["key"], pdf["lane"])]
             yield pd.DataFrame(rows, columns=["key", "status", "path", "bytes", "error"]).astype({"bytes": "Int64"})
 
-    return keys.select(key).mapInPandas(run, "key string, status string, path string, bytes long, error string")
+    return _lanes(keys, key, pace).mapInPandas(run, "key string, status string, path string, bytes long, error string")
 
 
 def registry_rows(found: DataFrame, summarise: Callable[[list[str]], dict[str, dict]], query_id: str, term: str, total: int, batch: int = 200) -> DataFrame:
