@@ -10,12 +10,13 @@ as many slots as its own distinct strings ask for, so that tables grow with the
 the two longest contexts have been seen. The probability is then refined by an adaptive map over (bits seen, odds). Weights and map are
 learned in two steps, each bit predicted from counts without itself: a start, bit after bit, on ``LANES`` lanes of ``STREAM``
 bytes; then every task goes on from there over all bytes of its training texts, as counted strings in small batches, and the
-tasks' results are averaged in the order of the tasks, by the bytes and bits each has met. They are frozen for scoring, so that a score doesn't depend on which task met which text first; the
+tasks' results are averaged by the bytes and bits each has met, ``FAN`` neighbouring tasks at a time. They are frozen for scoring, so that a score doesn't depend on which task met which text first; the
 model's log probability of a byte then depends on the ``max(ORDERS)`` bytes before it only, and is worked out once per distinct string.
 
 *Base.* Words are counted by every task, summed by hash range, and the words that make up at least one of ``FREQUENT`` occurrences
 (so at most ``FREQUENT`` words) are sent to every task. Scoring resolves these where they stand; all other words go to hash ranges,
-eight bytes each (hash and place of the document in its batch). A range counts its words and returns one sum per document and batch.
+eight bytes and a bit each (hash and place of the document in its batch). A range counts its words and returns, of each batch, one sum
+for every document that has a word in it: never more than the words that came in, however many ranges there are.
 No vocabulary is held anywhere as a whole, and no frequent word is a hot group.
 
 Batches are named by their task and number; a task that runs again must read the same rows, as it does from files. Cut the
@@ -54,6 +55,8 @@ PRIOR, CLIP, RATE, MAP_RATE = 0.08, 8.0, 0.0005, 0.02
 HELD = 3_000_000
 #: The same for words.
 HELD_WORDS = 1_000_000
+#: Tasks whose weights are averaged at once: 9 MB.
+FAN = 64
 _PAD = max(ORDERS)
 #: A counted string travels as one word: the string above, its number below; larger numbers travel in parts.
 _MOST = 0xFFFF
@@ -303,15 +306,45 @@ class Learner:
         self.refine += err.reshape(self.met.shape) / (self.met + 1 / MAP_RATE)
 
 
-def averaged(start: Mixer, passes) -> Mixer:
-    """The start's tables with the mean of (n, weights, refine, met): weights by bytes, the map by the bits that met a cell."""
-    n, weights, refine, met = 0, np.zeros_like(start.weights), np.zeros_like(start.refine), np.zeros_like(start.refine)
+def _mean(passes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The mean of (n, weights, refine, met): weights by bytes, the map by the bits that met a cell."""
+    n = 0
     for k, w, r, m in passes:
+        if not n:
+            weights, refine, met = np.zeros_like(w), np.zeros_like(r), np.zeros_like(r)
         n, weights, refine, met = n + k, weights + k * w, refine + m * r, met + m
-    if not n:
+    return (n, weights / n, refine / np.maximum(met, 1e-300), met) if n else None
+
+
+def averaged(start: Mixer, passes) -> Mixer:
+    """The start's tables with the mean of what tasks learned; the start's map where no bit met a cell."""
+    mean = _mean(passes)
+    if mean is None:
         return start
-    refine = np.where(met > 0, refine / np.maximum(met, 1e-300), start.refine)
-    return Mixer(start.layout, start.odds, start.seen, weights / n, np.clip(refine, 1e-5, 1 - 1e-5))
+    _, weights, refine, met = mean
+    return Mixer(start.layout, start.odds, start.seen, weights, np.clip(np.where(met > 0, refine, start.refine), 1e-5, 1 - 1e-5))
+
+
+_LEARNED = "task int, n long, weights binary, refine binary, met binary"
+
+
+def _as_pass(n: int, weights: bytes, refine: bytes, met: bytes):
+    return (n, np.frombuffer(weights).reshape(GATES, -1), *(np.frombuffer(a).reshape(256, STEPS) for a in (refine, met)))
+
+
+def _mean_of_tasks(key, t):
+    """The results of up to ``FAN`` tasks as one, in the order of the tasks."""
+    n, *arrays = _mean(_as_pass(*r[1:]) for r in sorted(zip(*(t[c].to_pylist() for c in ("task", "n", "weights", "refine", "met"))), key=lambda r: r[0]))
+    return pa.table({"task": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), **{c: pa.array([a.tobytes()], pa.binary()) for c, a in zip(("weights", "refine", "met"), arrays)}})
+
+
+def _few_passes(passes: DataFrame) -> list:
+    """What all tasks learned, as at most ``FAN`` passes: means of ``FAN`` neighbours, and means of these."""
+    tasks = (passes.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > FAN:
+        passes = passes.groupBy(F.floor(F.col("task") / FAN).cast("int").alias("of")).applyInArrow(_mean_of_tasks, _LEARNED)
+        tasks = math.ceil(tasks / FAN)
+    return [_as_pass(r["n"], *(bytes(r[c]) for c in ("weights", "refine", "met"))) for r in sorted(passes.collect(), key=lambda r: r["task"])]
 
 
 def _learn_from(shared):
@@ -341,6 +374,7 @@ _GATHERED = "kind int, part int, place int, a binary, b binary, n long, v long"
 _SCORED = "kind int, part int, batch long, a binary, b binary"
 _WORDS, _STRINGS, _DOCS = range(3)
 _DOC = np.dtype([("id", "<i8"), ("known_id", "?"), ("words", "<i8"), ("n_bytes", "<i8"), ("ln_p", "<f8"), ("logs", "<f8"), ("known", "<i8")])
+_SUM = np.dtype([("place", "<u2"), ("known", "<i4"), ("logs", "<f8")])
 _COUNTED_WORD = np.dtype([("h", "<u8"), ("all", "<i8"), ("train", "<i8")])
 
 
@@ -487,10 +521,10 @@ def _score(shared, bits: int):
         # tasks have several batches at most: both parts of the name spread them
         yield (_DOCS, ((batch >> 32) + batch) & ((1 << bits) - 1), batch, table.tobytes(), None)
         words, rows = np.concatenate(words), np.concatenate(rows)
-        flags = np.array(train, np.uint8).tobytes()
+        flags = np.array(train, bool)[rows]
         word = ((words << np.uint64(bits)) & ~np.uint64(0xFFFF)) | rows.astype(np.uint64)
         for k, at in _ranges(words, bits):
-            yield (_WORDS, k, batch, word[at].tobytes(), flags)
+            yield (_WORDS, k, batch, word[at].tobytes(), np.packbits(flags[at]).tobytes())
 
     def run(batches):
         from pyspark import TaskContext
@@ -540,39 +574,41 @@ def _sum_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _sum_words(key, t):
-    """Of one range: per batch the sums of log10(count + 1) and the known words of its documents."""
+    """Of one range: per batch the sums of log10(count + 1) and the known words of those of its documents that have a word here."""
     if key[0].as_py() == _DOCS:
         return t
-    word, source, flags = [], [], []
+    word, place, train = [], [], []
     for i, (a, b) in enumerate(zip(t["a"], t["b"])):
         w = np.frombuffer(a.as_buffer(), np.uint64)
-        word.append(w)
-        source.append(np.full(len(w), i, np.int32))
-        flags.append(np.frombuffer(b.as_buffer(), np.uint8))
-    word, source = np.concatenate(word), np.concatenate(source)
-    sizes = np.array([len(f) for f in flags])
-    offset = np.concatenate([[0], np.cumsum(sizes)])
-    place = offset[source] + (word & np.uint64(0xFFFF)).astype(np.int64)
-    h = word & ~np.uint64(0xFFFF)
-    order = np.argsort(h)
+        word.append(w & ~np.uint64(0xFFFF))
+        place.append((np.int64(i) << 16) | (w & np.uint64(0xFFFF)).astype(np.int64))
+        train.append(np.unpackbits(np.frombuffer(b.as_buffer(), np.uint8), count=len(w)))
+    h, place, train = (np.concatenate(x) for x in (word, place, train))
+    order = np.argsort(h, kind="stable")
     h, place = h[order], place[order]
     head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    c = np.add.reduceat(np.concatenate(flags)[place].astype(np.int64), head)
+    c = np.add.reduceat(train[order].astype(np.int64), head)
     each = np.repeat(c, np.diff(np.append(head, len(h))))
-    logs = np.bincount(place, weights=np.log10(each + 1.0), minlength=offset[-1])
-    known = np.bincount(place, weights=each > 0, minlength=offset[-1]).astype(np.int32)
-    return pa.Table.from_batches([_batch(_SCORED, [(_WORDS, key[1].as_py(), b, logs[offset[i] : offset[i + 1]].tobytes(), known[offset[i] : offset[i + 1]].tobytes()) for i, b in enumerate(t["batch"].to_pylist())])])
+    met, which = np.unique(place, return_inverse=True)
+    sums = np.zeros(len(met), _SUM)
+    sums["place"] = met & 0xFFFF
+    sums["logs"] = np.bincount(which, np.log10(each + 1.0), len(met))
+    sums["known"] = np.bincount(which, each > 0, len(met)).astype(np.int32)
+    ends = np.searchsorted(met >> 16, np.arange(t.num_rows + 1))
+    return pa.Table.from_batches([_batch(_SCORED, [(_WORDS, key[1].as_py(), b, sums[ends[i] : ends[i + 1]].tobytes(), None) for i, b in enumerate(t["batch"].to_pylist())])])
 
 
 def _by_document(key, t):
-    """Of one batch: its documents with the sums over all ranges."""
-    rows = sorted(zip(t["kind"].to_pylist(), t["part"].to_pylist(), t["a"], t["b"]), key=lambda x: x[:2])
-    docs = next(np.frombuffer(a.as_buffer(), _DOC) for kind, _, a, _ in rows if kind == _DOCS)
+    """Of one batch: its documents with the sums over all ranges, added in the order of the ranges."""
+    rows = sorted(zip(t["kind"].to_pylist(), t["part"].to_pylist(), t["a"]), key=lambda x: x[:2])
+    docs = next(np.frombuffer(a.as_buffer(), _DOC) for kind, _, a in rows if kind == _DOCS)
     logs, known = docs["logs"].copy(), docs["known"].copy()
-    for kind, _, a, b in rows:
+    for kind, _, a in rows:
         if kind == _WORDS:
-            logs += np.frombuffer(a.as_buffer(), np.float64)
-            known += np.frombuffer(b.as_buffer(), np.int32)
+            # a document once in a range
+            some = np.frombuffer(a.as_buffer(), _SUM)
+            logs[some["place"]] += some["logs"]
+            known[some["place"]] += some["known"]
     return pa.table({"doc_id": pa.array(docs["id"], pa.int64(), mask=~docs["known_id"]), "words": docs["words"], "n_bytes": docs["n_bytes"], "ln_p": docs["ln_p"], "known": known, "logs": logs})
 
 
@@ -617,10 +653,7 @@ def score_texts(docs: DataFrame, parts: int = 7, rest: int = 2, id_col: str = "d
         counts[o][0][at], counts[o][1][at] = np.frombuffer(bytes(b), np.uint8).reshape(2, -1)
     start = begin(layout, odds, counts, _stream(rows.where("train")))
     shared = spark.sparkContext.broadcast((start, counts))
-    # rows of the checkpoint come back in the order of the tasks
-    passes = C.cut(rows.where("train").select("text").mapInArrow(_learn_from(shared), "task int, n long, weights binary, refine binary, met binary"))
-    arrays = lambda r: (r[1], *(np.frombuffer(bytes(a)).reshape(like.shape) for a, like in zip(r[2:], (start.weights, start.refine, start.refine))))
-    final = averaged(start, (arrays(r) for r in passes.toLocalIterator()))
+    final = averaged(start, _few_passes(C.cut(rows.where("train").select("text").mapInArrow(_learn_from(shared), _LEARNED))))
     shared.destroy()
     del counts
     model = spark.sparkContext.broadcast((final, *frequent))

@@ -642,6 +642,84 @@ def test_all_training_texts_reach_the_mixer(spark, monkeypatch):
     assert -(n * model.log_p(keys)).sum() < -(n * start.log_p(keys)).sum()
 
 
+def test_sums_of_words_stay_with_the_words():
+    """With the most ranges, what a batch's documents get back is no larger than the words they sent, and the sums are those of a dictionary."""
+    import pyarrow as pa
+    from cohortlens.llm import lm_scoring as L
+
+    rng, bits, rows = np.random.default_rng(8), 12, []
+    words, want = {}, {}
+    for batch in range(2):
+        h, at = rng.integers(0, 300, 4_000).astype(np.uint64), rng.integers(0, 5_000, 4_000)
+        train = rng.random(5_000) < 0.8
+        words[batch] = (L.C.mix(h), at, train)
+    counts = Counter(int(w) for h, at, train in words.values() for w in h[train[at]])
+    for batch, (h, at, train) in words.items():
+        word = ((h << np.uint64(bits)) & ~np.uint64(0xFFFF)) | at.astype(np.uint64)
+        rows += [(L._WORDS, k, batch, word[x].tobytes(), np.packbits(train[at[x]]).tobytes()) for k, x in L._ranges(h, bits)]
+        for w, d in zip(h.tolist(), at.tolist()):
+            logs, known = want.get((batch, d), (0.0, 0))
+            want[batch, d] = logs + math.log10(counts[w] + 1), known + (counts[w] > 0)
+    sums = []
+    for k in {r[1] for r in rows}:
+        t = pa.Table.from_batches([L._batch(L._SCORED, [r for r in rows if r[1] == k])])
+        sums += L._sum_words((pa.scalar(L._WORDS), pa.scalar(k)), t).to_pylist()
+    assert sum(len(r["a"]) for r in sums) <= L._SUM.itemsize * sum(len(h) for h, *_ in words.values())
+    for batch in words:
+        docs = np.zeros(5_000, L._DOC)
+        docs["id"], docs["known_id"] = np.arange(5_000), True
+        mine = [tuple(r.values()) for r in sums if r["batch"] == batch] + [(L._DOCS, 0, batch, docs.tobytes(), None)]
+        got = L._by_document((pa.scalar(batch),), pa.Table.from_batches([L._batch(L._SCORED, mine)])).to_pylist()
+        for r in got:
+            logs, known = want.get((batch, r["doc_id"]), (0.0, 0))
+            assert r["known"] == known and r["logs"] == pytest.approx(logs, abs=1e-9)
+
+
+def test_means_of_many_tasks_equal_one_mean(spark, monkeypatch):
+    from cohortlens.llm import lm_scoring as L
+
+    rng, width = np.random.default_rng(1), len(L.ORDERS) + 1
+    passes = [(int(rng.integers(1, 90)), rng.normal(size=(L.GATES, width)), rng.random((256, L.STEPS)), rng.integers(0, 3, (256, L.STEPS)).astype(float)) for _ in range(30)]
+    df = spark.createDataFrame([(i, n, *(bytearray(a.tobytes()) for a in arrays)) for i, (n, *arrays) in enumerate(passes)], L._LEARNED)
+    want = L._mean(passes)
+    monkeypatch.setattr(L, "FAN", 3)
+    few = L._few_passes(df)
+    assert len(few) <= 3
+    for a, b in zip(L._mean(few), want):
+        assert np.allclose(a, b)
+    assert L._few_passes(df.limit(0)) == []
+
+
+def test_score_equals_a_plain_scorer_bit_by_bit():
+    """Whole texts, one bit after another with Python's numbers; of the model's code only the place of a slot is used."""
+    from cohortlens.llm import lm_scoring as L
+
+    rng = random.Random(12)
+    m = L.learn(*counted_tables([prose("en", 150, rng).encode() for _ in range(20)]), [prose("en", 150, rng).encode()])
+
+    def plain(text):
+        total, padded = 0.0, bytes(L._PAD) + text.lower()
+        for i in range(len(text)):
+            string = np.array([int.from_bytes(padded[i : i + L._PAD + 1], "little")], np.uint64)
+            slots, node = {o: m.layout.slots(string, o)[0][0] for o in L.ORDERS}, 1
+            for b in range(8):
+                bit = padded[i + L._PAD] >> (7 - b) & 1
+                gate = 16 * b + 4 * int(m.seen[L.GATED[0]][slots[L.GATED[0]][b]]) + int(m.seen[L.GATED[1]][slots[L.GATED[1]][b]])
+                inputs = [int(m.odds[o][slots[o][b]]) / 16 for o in L.ORDERS] + [0.3]
+                mix = max(-L.CLIP, min(L.CLIP, sum(x * float(w) for x, w in zip(inputs, m.weights[gate]))))
+                place = (mix + L.CLIP) * (L.STEPS - 1) / (2 * L.CLIP)
+                low = min(int(place), L.STEPS - 2)
+                q = m.refine[node][low] * (low + 1 - place) + m.refine[node][low + 1] * (place - low)
+                p = max(1e-6, min(1 - 1e-6, (1 / (1 + math.exp(-mix)) + q) / 2))
+                total += math.log(p if bit else 1 - p)
+                node = 2 * node + bit
+        return total
+
+    for text in (b"", b"a", "Été, THE cat".encode(), prose("en", 60, rng).encode(), b"\x00\x00 zz \n"):
+        keys, _ = L.strings([text])
+        assert m.log_p(keys).sum() == pytest.approx(plain(text), rel=1e-9, abs=1e-12)
+
+
 # ---- 3 and 4 ----
 
 
