@@ -100,10 +100,11 @@ def match_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     known = spark.createDataFrame(rows, "rule_host string, rule_path string, rule string, rule_verdict string, place int")
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    keyed = urls.withColumn("_row", F.monotonically_increasing_id())
-    found = keyed.select("_row", "path", F.explode(suffixes).alias("rule_host")).join(known, "rule_host").where("startswith(path, rule_path)")
-    best = found.groupBy("_row").agg(F.min(F.struct("place", "rule", "rule_verdict")).alias("b")).select("_row", "b.rule", "b.rule_verdict")
-    return keyed.join(best, "_row", "left").drop("_row")
+    # by value, not by a number of the row, so that a task that runs again finds the same rules
+    places = urls.select("host", "path").distinct()
+    found = places.select("host", "path", F.explode(suffixes).alias("rule_host")).join(known, "rule_host").where("startswith(path, rule_path)")
+    best = found.groupBy("host", "path").agg(F.min(F.struct("place", "rule", "rule_verdict")).alias("b")).select("host", "path", "b.rule", "b.rule_verdict")
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, "rule", "rule_verdict")
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

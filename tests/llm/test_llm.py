@@ -192,6 +192,19 @@ def test_url_rules_and_list(spark):
     assert filter_urls(pages.limit(0), listed, RULES).collect() == []
 
 
+def test_many_rules_keep_null_ids_repeats_and_long_urls(spark):
+    from cohortlens.llm.url_filter import filter_urls
+
+    long = "http://rule7.test/" + "a/" * 100_000
+    rows = [(None, "http://x.rule7.test/p"), (None, "http://x.rule7.test/p"), (3, long), (3, long), (4, "http://rule7.test/keep/me"), (5, None)]
+    rules = [("block", f"rule{i}.test/") for i in range(300)] + [("allow", "rule7.test/keep/")]
+    listed = spark.createDataFrame([], "canonical string")
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), listed, rules)
+    assert got.columns == ["page_id", "host", "path", "rule", "listed", "verdict"]
+    have = sorted(((r.page_id or -1, len(r.path), r.rule, r.verdict) for r in got.collect()), key=str)
+    assert have == sorted([(-1, 2, "rule7.test/", "block")] * 2 + [(3, 200_001, "rule7.test/", "block")] * 2 + [(4, 8, "rule7.test/keep/", "allow"), (5, 0, None, "allow")], key=str)
+
+
 # ---- 8 ----
 
 
