@@ -58,6 +58,9 @@ FALSE_WORDS = ["0", "false", "f", "no", "n", ""]
 # Names that a public repository must not hold
 FORBIDDEN_EXTENSIONS = [".xlsx", ".xls", ".parquet", ".pq", ".pkl", ".pickle", ".joblib", ".npz", ".pt", ".pth", ".ckpt", ".h5", ".hdf5"]
 FORBIDDEN_NAMES = ["adjudication_template.csv", "segments.csv", "case_labels_long.csv", "case_labels_wide.csv", "case_labels.csv"]
+PLACEHOLDERS = ["data/README.md", "data/external/.gitkeep", "data/interim/.gitkeep", "data/processed/.gitkeep", "data/raw/.gitkeep", "results/.gitkeep", "results/README.md"]
+CASE_WORDS = ["segments", "case_labels", "case-labels"]
+RATER_WORDS = ["rater", "ratings", "kappa", "adjudication"]
 
 # Defaults
 SEED, PERMUTATIONS, FDR_Q, CLUSTERS, PCA_SHARE, PCA_MOST = 42, 5000, 0.05, 4, 0.95, 50

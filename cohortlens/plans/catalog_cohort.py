@@ -180,6 +180,26 @@ def eligible_flow(spark, d):
 # ---- raters ----
 
 
+RELABELLED = """c AS (SELECT CASE WHEN length(text) % 2 = 0 THEN 'discovery' ELSE 'confirmation' END AS split, doc_id % 5 AS cluster,
+  CASE WHEN length(text) % 7 > 0 THEN toxic = 1 ELSE quality = 1 END AS y FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND NOT (length(text) % 7 > 0 AND length(text) % 3 = 0)),
+ k AS (SELECT split, cluster, count(*) AS n, count(*) FILTER (WHERE y) AS a FROM c GROUP BY ALL), l AS (SELECT cluster FROM k WHERE split = 'discovery' ORDER BY a / n DESC, cluster LIMIT 1),
+ s AS (SELECT split, sum(n) AS m, sum(a) AS p, sum(n) FILTER (WHERE cluster = (FROM l)) AS n, sum(a) FILTER (WHERE cluster = (FROM l)) AS a FROM k GROUP BY split),
+ e AS (SELECT split, m, a / n AS share, ((a + 0.5) / (n + 1)) / ((p + 1) / (m + 2)) AS rr, (a + 0.5) * (m - n - p + a + 0.5) / ((n - a + 0.5) * (p - a + 0.5)) AS o FROM s)"""
+
+
+@query(f"""WITH {RELABELLED} SELECT (FROM l) AS language_cluster, CAST(d.m AS BIGINT) AS discovery_n, CAST(f.m AS BIGINT) AS confirmation_n, round(d.share, 6) AS discovery_share, round(f.share, 6) AS confirmation_share,
+ round(d.rr, 6) AS discovery_rr, round(f.rr, 6) AS confirmation_rr, round(d.o, 6) AS discovery_or, round(f.o, 6) AS confirmation_or FROM e d, e f WHERE d.split = 'discovery' AND f.split = 'confirmation'""")
+def relabelled_summary(spark, d):
+    """Documents as cases, one label as the endpoint and the other as its rating, split and adequacy by the text's length."""
+    x = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id").where("text IS NOT NULL")
+    size = F.length("text")
+    cases = x.select("doc_id", F.when(size % 2 == 0, "discovery").otherwise("confirmation").alias("split"), (F.col("doc_id") % 5).alias("cluster"), (F.col("quality") == 1).alias("is_ppa"))
+    ratings = x.select("doc_id", (size % 7 > 0).cast("int").alias("text_adequate"), F.col("toxic").alias("is_ppa"), (size % 3 > 0).cast("int").alias("is_ftld_spectrum"))
+    s = A.relabel_study(cases, ratings, ["doc_id"], "split", "cluster", exclude_non_spectrum=True, draws=100)["summary"]
+    both = [(f"{p}_{a}", f"{p}_{b}") for p in ("discovery", "confirmation") for a, b in (("share_cluster", "share"), ("rr", "rr"), ("odds_ratio", "or"))]
+    return s.select("language_cluster", "discovery_n", "confirmation_n", *(F.round(F.col(a), 6).alias(b) for a, b in both))
+
+
 @query(f"""WITH d AS (SELECT doc_id, coalesce(lang, 'missing') || '|' || quality AS s, CAST(doc_id AS VARCHAR) AS k FROM labels JOIN documents USING (doc_id)), {sample_sql('d', 100, 'z')}
 SELECT doc_id, printf('RAT%04d', row_number() OVER (ORDER BY md5('42:' || k), k)) AS case_uid FROM z""")
 def rater_sample(spark, d):
@@ -305,6 +325,18 @@ def registry_search(spark, d):
     return rows.select("uid", "pmcid", "doi", "year", "query_term", "first_author", "pdf_url", "ncbi_total_count")
 
 
+@query("""WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '?', 1) AS u FROM pages), n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'results/' WHEN 1 THEN 'manuscript/' ELSE '' END || u || CASE WHEN length(u) % 3 = 0 THEN '/Rater.CSV' WHEN length(u) % 3 = 1 THEN '.pkl' ELSE '/x.txt' END AS path FROM p)
+SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'manuscript' WHEN regexp_matches(path, '[^/][.]pkl$') THEN 'file type' WHEN page_id % 4 = 0 THEN 'data or results' ELSE 'ratings' END AS rule
+FROM n WHERE path IS NOT NULL AND (page_id % 4 < 2 OR regexp_matches(path, '[^/][.]pkl$') OR path LIKE '%.CSV')""")
+def disclosure_audit(spark, d):
+    """Paths made of the pages' urls, with folders and endings; a name that is an ending only, like ``.pkl``, has none."""
+    u = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1))
+    folder = F.when(F.col("page_id") % 4 == 0, "results/").when(F.col("page_id") % 4 == 1, "manuscript/").otherwise("")
+    ending = F.when(F.length(u) % 3 == 0, "/Rater.CSV").when(F.length(u) % 3 == 1, ".pkl").otherwise("/x.txt")
+    p = t(spark, d, "pages").select("page_id", F.concat(folder, u, ending).alias("path"))
+    return p.join(T.disclosure_audit(p.select("path").distinct()), "path").select("page_id", "rule")
+
+
 PATHS = ["data/raw/a.csv", "docs/a.XLSX", "src/segments.csv", "results/README.md", "src/a.py", "x/model.pkl"]
 
 

@@ -56,6 +56,45 @@ def relabel(cases: DataFrame, ratings: DataFrame, key: Sequence[str], exclude_no
     return out
 
 
+def relabel_study(cases: DataFrame, ratings: DataFrame, key: Sequence[str], split: str, cluster: str, source: str = "raters", exclude_non_spectrum: bool = False, draws: int = X.PERMUTATIONS, seed: int = X.SEED) -> dict[str, DataFrame]:
+    """The primary summary again under ratings, clusters as they are (STT-16): ``cases``, ``counts`` of what changed, ``summary`` of one row.
+
+    ``cluster`` names clusters as discovery does, in both splits. A rating counts where its text is adequate; of a case rated more than
+    once a field counts if all its ratings agree. ``cases`` keeps the endpoint as ``is_ppa_llm`` and says whose it is in
+    ``is_ppa_source``. The cluster with the largest share in discovery, ties to the smallest, is tested there with its selection in
+    mind and in confirmation as it is; a cluster that confirmation lacks has nulls there. A split without cases is an error.
+    """
+    from ..functions import stats
+
+    ok = ratings.where(S.to_binary(F.col("text_adequate")) == 1).select(*key, S.to_binary(F.col("is_ppa")).alias("_ppa"), S.to_binary(F.col("is_ftld_spectrum")).alias("_spectrum"))
+    agreed = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    rated = cases.join(ok.groupBy(*key).agg(agreed("_ppa"), agreed("_spectrum")), list(key), "left")
+    out_of = F.coalesce(F.col("_spectrum") == 0, F.lit(False)) if exclude_non_spectrum else F.lit(False)
+    counts = rated.agg(F.count("_ppa").alias("n_overrides"), F.count_if(out_of).alias("n_excluded"))
+    base = F.coalesce(F.col("is_ppa"), F.lit(False))
+    named = {"is_ppa": F.coalesce(F.col("_ppa") == 1, base), "is_ppa_llm": base, "is_ppa_source": F.when(F.col("_ppa").isNotNull(), source).otherwise("llm")}
+    final = rated.where(~out_of).withColumns(named).drop("_ppa", "_spectrum")
+
+    cells = final.where(F.col(split).isin("discovery", "confirmation")).groupBy(F.col(split).alias("split"), F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.count_if("is_ppa").alias("yes"))
+    totals = cells.groupBy("split").agg(F.sum("n").alias("all_n"), F.sum("yes").alias("all_yes"))
+    if totals.count() < 2:
+        raise ValueError("discovery or confirmation has no case left")
+    language = cells.where("split = 'discovery' AND cluster IS NOT NULL").agg(F.min(F.struct((-F.col("yes") / F.col("n")).alias("low"), "cluster"))["cluster"].alias("cluster"))
+    inside = cells.where(F.col("cluster") == language.scalar())
+    sides = totals.join(inside, "split", "left")
+    effects = stats.effect_sizes(F.col("yes"), F.col("n") - F.col("yes"), F.col("all_yes") - F.col("yes"), F.col("all_n") - F.col("n") - F.col("all_yes") + F.col("yes"))
+    sides = sides.select("split", F.col("all_n").alias("n"), *(v.alias(k) for k, v in effects.items() if k != "share_split"))
+    of = lambda s, c: F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}")
+    row = sides.agg(*(of(s, c) for s in ("discovery", "confirmation") for c in sides.columns if c != "split"))
+
+    part = lambda s: final.where(F.col(split) == s)
+    first = I.max_share_test(part("discovery"), key[0], cluster, F.col("is_ppa"), draws, seed).agg(F.max("p"))
+    fixed = I.fixed_cluster_test(part("confirmation"), key[0], cluster, F.col("is_ppa"), draws, seed)
+    second = fixed.where(F.col("cluster") == language.select(F.col("cluster").cast("string")).scalar()).agg(F.max("p"))
+    summary = row.select(language.scalar().alias("language_cluster"), "*", first.scalar().alias("discovery_p"), second.scalar().alias("confirmation_p"), F.lit(draws).alias("permutations"))
+    return {"cases": final, "counts": counts, "summary": summary}
+
+
 def coerce_rating(df: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """A model's rating: adequacy missing counts as 0 with an error; at 0 the other fields are blank (JSN-08)."""
     ok = S.to_binary(F.col("text_adequate"))

@@ -101,6 +101,39 @@ def disclosure_findings(paths: DataFrame, column: str = "path") -> DataFrame:
     return paths.select(F.col(column).alias("path"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def disclosure_audit(paths: DataFrame, column: str = "path") -> DataFrame:
+    """(path, rule) of files, relative to the repository, that must not be published (SNK-14); the first rule that fits counts.
+
+    Beyond names and endings: manuscripts, everything under data and results but placeholders, and tables whose names speak of
+    segments, labels of cases, or ratings. Null paths and what lies under ``.git`` are no findings.
+    """
+    path = F.col(column)
+    low = F.lower(path)
+    name, top = F.substring_index(low, "/", -1), F.when(path.contains("/"), F.substring_index(path, "/", 1))
+    ending = F.regexp_extract(name, r".(\.[^.]+)$", 1)
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: name.contains(w))
+    table = ending == ".csv"
+    rule = (
+        F.when(top == "manuscript", "manuscript")
+        .when(ending.isin(*X.FORBIDDEN_EXTENSIONS), "file type")
+        .when(top.isin("data", "results") & ~path.isin(*X.PLACEHOLDERS), "data or results")
+        .when(name.isin(*X.FORBIDDEN_NAMES), "file of cases")
+        .when(table & any_of(X.CASE_WORDS), "segments or labels")
+        .when(table & any_of(X.RATER_WORDS), "ratings")
+        .when(ending.isin(".md", ".txt") & low.contains("ftd ratings"), "workbook")
+    )
+    return paths.where(~F.array_contains(F.split(path, "/"), ".git")).select(path.alias("path"), rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def assert_disclosable(paths: DataFrame, column: str = "path", shown: int = 20) -> None:
+    """Raises if the audit finds anything, with the number of findings and the first paths: a command's exit status."""
+    found = disclosure_audit(paths, column)
+    n = found.count()
+    if n:
+        first = found.orderBy("path").limit(shown).collect()
+        raise ValueError(f"{n} files must not be published: " + "; ".join(f"{r['path']} ({r['rule']})" for r in first))
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
     """A small table as markdown (SNK-08)."""
     rows = df.limit(most).collect()
