@@ -2,13 +2,14 @@
 
 1. Equal vectors form one class; a class is compared once and counts with its members.
 2. Spherical k-means, fitted on the driver on at most ``SAMPLE`` classes (those with the smallest hash), gives cells. A class
-   is at home in the cell with the largest cosine, and a guest in every cell whose boundary with it is nearer than half the
-   threshold's chord. Linked vectors on either side of a boundary are together at most a chord from it, so one of them is a guest of the other.
-3. In a cell, home classes are compared with each other and with guests (never guests with guests), in blocks; a cell of any size is dealt out by pairs of blocks,
-   so no task holds more than two blocks. Pairs that could meet in several cells count in the first of them.
+   is at home in the cell with the largest cosine, and a guest of every cell whose boundary with it is nearer than half the
+   threshold's chord. Linked vectors on either side of a boundary are together at most a chord from it, so one of them is a guest of the other's cell.
+3. The classes of a cell are packed into blocks, one row each. Blocks of one cell meet, and blocks of two cells where one holds a guest of the
+   other's cell: the blocks are read once for each run of blocks that they meet, and written once, so the disk follows the rows, not the guests.
+   Of two cells, guests are compared with all of the other block, and nothing else.
    Classes close enough to their cell's centre that any two of them must link (half the threshold's angle) are joined to
    one another and counted without a product.
-4. Every block pair returns the number of links of its classes and a forest of its links, both in proportion to its rows.
+4. Every task returns the number of links of its blocks' classes, and every block pair a forest of its links, both in proportion to the rows.
    Components of the forests give groups; the smallest id of a group is its representative.
 
 Cosines are of doubles. Null, zero and non-finite vectors link with nothing and are their own component. Vectors of
@@ -18,6 +19,8 @@ are counted by their row. A null id names no component. Extra columns are ignore
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -28,8 +31,10 @@ from .vectors import matrix, unit, valid_vectors
 SAMPLE, PER_CELL, MAX_CELLS, ROUNDS = 20_000, 1_500, 1_024, 10
 #: Vector lengths that get cells of their own, the most frequent first; vectors of any other length share one cell, cut into blocks like all.
 LENGTHS = 16
-#: Home classes and guests in a block.
-BLOCK, GUESTS = 2_048, 12_288
+#: Home classes in a block, and rows of a product (guests, or classes of the same cell) at once.
+BLOCK, GUESTS = 2_048, 256
+#: Blocks that a task reads of either side, and rows that it takes over from Spark at once.
+RUN, PAIRS_AT_ONCE = 16, 16
 #: Slack for rounding in the distance to a boundary, which is compared with half the chord of a linked pair.
 ROUNDING = 1e-9
 
@@ -55,34 +60,58 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
     return c
 
 
-def _assign(centres: dict[int, np.ndarray], threshold: float, sizes: list[int]):
-    """Cells of each class: home first, then those where it is a guest."""
-    chord = (2 - 2 * threshold) ** 0.5
+def _near(x: np.ndarray, c: np.ndarray, home: np.ndarray, cells: np.ndarray, chord: float) -> np.ndarray:
+    """Which rows of ``x`` are guests of each of ``cells``: their boundary is nearer than half the chord."""
+    s = x @ c[cells].T
+    own = (x * c[home]).sum(1)
+    away = np.sqrt(np.maximum(2 - 2 * (c[home] @ c[cells].T), 1e-12))
+    return ((own[:, None] - s) / away <= chord / 2 + ROUNDING) & (home[:, None] != cells[None, :])
+
+
+def _assign(centres: dict[int, np.ndarray], threshold: float, vectors: bool):
+    """Home cell of each class, and whether it is close to the centre; with or without what travels with it."""
+    half = np.cos(np.arccos(threshold) / 2) + 1e-9
 
     def run(batches):
         for b in batches:
-            v, ids = b.column(2), b.column(0).to_pylist()
+            v = b.column(2)
             lens = np.diff(np.asarray(v.offsets))
-            cells, core = [None] * len(ids), [False] * len(ids)
+            cell, core = lens.astype(np.int64) << 32, np.zeros(len(lens), bool)
             for d in np.unique(lens):
-                rows = np.flatnonzero(lens == d)
                 c = centres.get(int(d))
-                if c is None:
-                    # no sample of this length: one cell, home of all
-                    for r in rows:
-                        cells[r] = [int(d) << 32]
-                    continue
-                x = unit(matrix(v.take(pa.array(rows))))
-                s = x @ c.T
-                home = s.argmax(1)
-                away = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))[home]
-                near = (s[np.arange(len(rows)), home][:, None] - s) / away <= chord / 2 + ROUNDING
-                near[np.arange(len(rows)), home] = False
-                half = np.cos(np.arccos(threshold) / 2) + 1e-9
-                for i, r in enumerate(rows):
-                    cells[r] = [(int(d) << 32) + int(home[i])] + [(int(d) << 32) + int(g) for g in np.flatnonzero(near[i])]
-                    core[r] = bool(s[i, home[i]] >= half)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), v, pa.array(cells, pa.list_(pa.int64())), pa.array(core)], names=["id", "members", "v", "cells", "core"])
+                if c is not None:  # else no sample of this length: one cell, home of all
+                    rows = np.flatnonzero(lens == d)
+                    s = unit(matrix(v.take(pa.array(rows)))) @ c.T
+                    home = s.argmax(1)
+                    cell[rows] += home
+                    core[rows] = s[np.arange(len(rows)), home] >= half
+            columns = [b.column(0), b.column(1), v, pa.array(cell), pa.array(core)]
+            yield pa.RecordBatch.from_arrays(columns if vectors else columns[3:4], names=["id", "members", "v", "cell", "core"] if vectors else ["cell"])
+
+    return run
+
+
+_BLOCKS = "cell long, block int, visits array<long>, ids binary, members binary, core binary, v binary"
+
+
+def _pack(centres: dict[int, np.ndarray], threshold: float, kind: str):
+    """A block as one row, with the cells of which any of its classes is a guest."""
+    chord = (2 - 2 * threshold) ** 0.5
+
+    def run(key, t):
+        cell, block = (k.as_py() for k in key)
+        t = t.sort_by("id")
+        v = matrix(t["v"])
+        c, visits = centres.get(cell >> 32), np.zeros(0, np.int64)
+        if c is not None:
+            x, home = unit(v), np.full(GUESTS, cell & 0xFFFFFFFF)
+            some = np.zeros(len(c), bool)
+            for at in range(0, len(x), GUESTS):
+                part = x[at : at + GUESTS]
+                some |= _near(part, c, home[: len(part)], np.arange(len(c)), chord).any(0)
+            visits = np.flatnonzero(some) + (cell >> 32 << 32)
+        raw = lambda name, k: [np.asarray(t[name]).astype(k).tobytes()]
+        return pa.table({"cell": [cell], "block": pa.array([block], pa.int32()), "visits": pa.array([visits.tolist()], pa.list_(pa.int64())), "ids": raw("id", "<i8"), "members": raw("members", "<i8"), "core": raw("core", "u1"), "v": [v.astype(kind).tobytes()]})
 
     return run
 
@@ -97,73 +126,100 @@ def _find(up: np.ndarray, i: int) -> int:
     return i
 
 
-def _compare(threshold: float):
-    """Home block ``a`` of a cell with block ``b``, of home classes (b >= a) or of guests: number of links of each class, and a forest of the links as (id, other)."""
+class _Block:
+    """One row of the packed blocks, and the links found for its classes."""
 
-    def run(key, t):
-        cell, a, b = (k.as_py() for k in key)
-        t = t.take(pa.array(np.lexsort((np.array(t["id"]), np.array(t["block"])))))
-        block, ids, members, core = (np.array(t[c]) for c in ("block", "id", "members", "core"))
-        x = unit(matrix(t["v"]))
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        cells = t["cells"].to_pylist()
-        own = np.array([c[0] & 0xFFFFFFFF for c in cells])
-        inside = cells[right[0]][0] == cell if len(right) else True
-        # which cells the home classes visit, for pairs that could also meet in the other one's home
-        visits = np.zeros((len(left), int(own.max()) + 1 if len(own) else 1), bool)
-        if not inside:
-            for k, i in enumerate(left):
-                at = [c & 0xFFFFFFFF for c in cells[i][1:]]
-                visits[k, [c for c in at if c < visits.shape[1]]] = True
-        links, up, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
-
-        def join(i, j):
-            y, z = _find(up, i), _find(up, j)
-            if y != z:
-                up[y] = z
-                forest.append((i, j))
-
-        if inside:
-            cl, cr = left[core[left]], right[core[right]]
-            if len(cl) and len(cr):
-                # all of them link: within a block each with every other, between blocks each with all of the other block
-                links[cl] += members[cr].sum() - (members[cl] if a == b else 0)
-                if a != b:
-                    links[cr] += members[cl].sum()
-                for i in np.unique(np.concatenate([cl, cr])):
-                    join(int(i), int(cl[0]))
-        y32 = x[right].astype(np.float32).T.copy()
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
+    def __init__(self, cell: int, ids, members, core, v, kind: str):
+        self.cell, self.own = cell, cell & 0xFFFFFFFF
+        self.ids, self.members, self.core = np.frombuffer(ids, "<i8"), np.frombuffer(members, "<i8"), np.frombuffer(core, "u1").astype(bool)
+        self.x = unit(np.frombuffer(v, kind).reshape(len(self.ids), -1).astype(np.float64))
+        self.x32 = self.x.astype(np.float32)
+        self.links = np.zeros(len(self.ids), np.int64)
+
+
+def _between(p: _Block, q: _Block, centres: dict[int, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Count the links between two blocks, or within one; returns a forest of them as pairs of ids."""
+    same = p is q
+    ids = p.ids if same else np.concatenate([p.ids, q.ids])
+    shift = 0 if same else len(p.ids)
+    up, forest = np.arange(len(ids)), []
+
+    def join(i, j):
+        y, z = _find(up, i), _find(up, j)
+        if y != z:
+            up[y] = z
+            forest.append((int(ids[i]), int(ids[j])))
+
+    inside = p.cell == q.cell
+    if inside:
+        cl, cr = np.flatnonzero(p.core), np.flatnonzero(q.core)
+        if len(cl) and len(cr):
+            # all of them link: within a block each with every other, between blocks each with all of the other block
+            p.links[cl] += q.members[cr].sum() - (p.members[cl] if same else 0)
+            if not same:
+                q.links[cr] += p.members[cl].sum()
+            for i in np.unique(np.concatenate([cl, cr + shift])):
+                join(int(i), int(cl[0]))
+        products = [(np.arange(len(p.ids)), np.arange(len(q.ids)))]
+    else:
+        c, chord = centres[p.cell >> 32], (2 - 2 * threshold) ** 0.5
+        near = lambda x, y: _near(x.x, c, np.full(len(x.ids), x.own), np.array([y.own]), chord)[:, 0]
+        gp, gq = near(p, q), near(q, p)
+        products = [(np.flatnonzero(gp), np.arange(len(q.ids))), (np.flatnonzero(~gp), np.flatnonzero(gq))]
+    for left, right in products:
+        y32 = q.x32[right].T
+        for at in range(0, len(left) if len(right) else 0, GUESTS):
+            rows = left[at : at + GUESTS]
             # single precision finds what may link, double precision decides
-            i, j = np.nonzero(x[rows].astype(np.float32) @ y32 >= threshold - 1e-4)
+            i, j = np.nonzero(p.x32[rows] @ y32 >= np.float32(threshold - 1e-4))
+            i, j = rows[i], right[j]
             if inside:
-                use = ~(core[rows[i]] & core[right[j]])
-                if a == b:
-                    use &= rows[i] < right[j]
-            else:
-                home = own[right[j]]
-                use = ~((home < (cell & 0xFFFFFFFF)) & visits[at + i, home])
-            i, j = rows[i[use]], right[j[use]]
+                use = ~(p.core[i] & q.core[j])
+                if same:
+                    use &= i < j
+                i, j = i[use], j[use]
             for k in range(0, len(i), 50_000):
-                p, q = i[k : k + 50_000], j[k : k + 50_000]
-                sure = (x[p] * x[q]).sum(1) >= threshold
-                p, q = p[sure], q[sure]
-                np.add.at(links, p, members[q])
-                np.add.at(links, q, members[p])
-                while len(p):
+                a, b = i[k : k + 50_000], j[k : k + 50_000]
+                sure = (p.x[a] * q.x[b]).sum(1) >= threshold
+                a, b = a[sure], b[sure]
+                np.add.at(p.links, a, q.members[b])
+                np.add.at(q.links, b, p.members[a])
+                b = b + shift
+                while len(a):
                     # pairs already in one component need no edge
                     root = np.array([_find(up, n) for n in range(len(up))])
-                    apart = np.flatnonzero(root[p] != root[q])[:2_000]
+                    apart = np.flatnonzero(root[a] != root[b])[:2_000]
                     if not len(apart):
                         break
                     for n in apart:
-                        join(int(p[n]), int(q[n]))
-                    p, q = p[apart[-1] + 1 :], q[apart[-1] + 1 :]
-        some = np.flatnonzero(links)
-        i = np.array([f[0] for f in forest], int)
-        j = np.array([f[1] for f in forest], int)
-        return pa.table({"id": pa.array(np.concatenate([ids[some], ids[i]])), "other": pa.array([None] * len(some) + ids[j].tolist(), pa.int64()), "links": pa.array(np.concatenate([links[some], np.zeros(len(i), np.int64)]))})
+                        join(int(a[n]), int(b[n]))
+                    a, b = a[apart[-1] + 1 :], b[apart[-1] + 1 :]
+    return forest
+
+
+def _compare(centres: dict[int, np.ndarray], threshold: float, kind: str):
+    """(id, null, links) of the classes of a task's blocks, and forests of the links as (id, other, 0)."""
+
+    def table(ids, other, links):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(other, pa.int64()), pa.array(links, pa.int64())], names=["id", "other", "links"])
+
+    def run(batches):
+        held: dict[tuple[int, int], _Block] = {}
+
+        def block(row: dict, side: str) -> _Block:
+            key = row[f"{side}_cell"], row[f"{side}_block"]
+            if key not in held:
+                held[key] = _Block(key[0], *(row[f"{side}_{k}"] for k in ("ids", "members", "core", "v")), kind)
+            return held[key]
+
+        for b in batches:
+            for row in b.to_pylist():
+                forest = _between(block(row, "l"), block(row, "r"), centres, threshold)
+                if forest:
+                    yield table([f[0] for f in forest], [f[1] for f in forest], [0] * len(forest))
+        for x in held.values():
+            some = np.flatnonzero(x.links)
+            yield table(x.ids[some], [None] * len(some), x.links[some])
 
     return run
 
@@ -176,33 +232,47 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     """(vec_id, n_links, component_id, kept) of every row."""
     C.shared_dir(vectors.sparkSession)
     good = valid_vectors(vectors, id_col, vector_col)
+    kind = "<f8"
+    if vectors.schema[vector_col].dataType.simpleString() == "array<float>":
+        # the same numbers in half the bytes
+        good, kind = good.withColumn("v", F.col("v").cast("array<float>")), "<f4"
     # a class is named by its smallest id, or by a hash where no member has one
-    classes = C.cut(good.groupBy("v").agg(F.coalesce(F.min("id"), F.xxhash64("v")).alias("id"), F.min("id").alias("least"), F.count("*").alias("members")))
+    classes = C.cut(good.groupBy("v").agg(F.coalesce(F.min("id"), F.xxhash64(F.col("v").cast("array<double>"))).alias("id"), F.min("id").alias("least"), F.count("*").alias("members")))
     kinds = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().orderBy(F.desc("count"), F.col("size(v)")).limit(LENGTHS).collect()}
     centres = {}
     for d, n in kinds.items():
-        rows = classes.where(F.size("v") == d).select("v").orderBy(F.xxhash64("v")).limit(SAMPLE)
+        hashed = classes.where(F.size("v") == d).select("v", F.xxhash64(F.col("v").cast("array<double>")).alias("h"))
+        # the smallest hashes lie below this, so that no others are sorted
+        below = min(2**63 - 1, int(-(2**63) + (1.2 * SAMPLE + 100) / n * 2**64))
+        rows = hashed.where(F.col("h") <= below).orderBy("h").limit(SAMPLE).select("v")
         x = np.array([r[0] for r in rows.toLocalIterator()], np.float64).reshape(-1, d)
         k = int(min(MAX_CELLS, max(1, n // PER_CELL), max(1, len(x) // 8)))
         centres[d] = spherical_kmeans(unit(x), k)
-    placed = C.cut(classes.select("id", "members", "v").mapInArrow(_assign(centres, threshold, []), "id long, members long, v array<double>, cells array<long>, core boolean"))
-    rows = placed.select("id", "members", "v", "cells", "core", F.explode("cells").alias("cell"))
-    rows = rows.withColumn("home", F.col("cells")[0] == F.col("cell"))
-    blocks = rows.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / GUESTS).cast("int").alias("guests"))
-    rows = rows.join(blocks, "cell").where("homes > 0")
-    h = F.xxhash64("id")
-    rows = rows.withColumn("block", F.when(F.col("home"), F.pmod(h, "homes")).otherwise(F.col("homes") + F.pmod(h, "guests")).cast("int"))
-    upto = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    as_left = F.transform(upto(F.col("block"), F.col("homes") + F.col("guests") - 1), lambda o: F.struct(F.col("block").alias("a"), o.alias("b")))
-    as_right = F.transform(upto(F.lit(0), F.least(F.col("block"), F.col("homes")) - 1), lambda o: F.struct(o.alias("a"), F.col("block").alias("b")))
-    tasks = rows.withColumn("p", F.explode(F.when(F.col("home"), F.concat(as_left, as_right)).otherwise(as_right))).select("cell", F.col("p.a").alias("a"), F.col("p.b").alias("b"), "block", "id", "members", "v", "cells", "core")
-    found = C.cut(tasks.groupBy("cell", "a", "b").applyInArrow(_compare(threshold), _PAIRS))
+    # cells are found twice, to count and to pack: cheaper than to write them
+    slim = classes.select("id", "members", "v")
+    sizes = C.cut(slim.mapInArrow(_assign(centres, threshold, False), "cell long").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    n = sizes.agg(F.sum("blocks")).first()[0] or 1
+    placed = slim.mapInArrow(_assign(centres, threshold, True), f"id long, members long, v array<{'float' if kind == '<f4' else 'double'}>, cell long, core boolean")
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
+    # runs of blocks: a task for each two of them, at least a few for every core
+    runs = max(math.ceil(n / RUN), min(n, math.ceil((4 * vectors.sparkSession.sparkContext.defaultParallelism) ** 0.5)))
+    packed = C.cut(dealt.repartition(runs, "cell", "block").groupBy("cell", "block").applyInArrow(_pack(centres, threshold, kind), _BLOCKS)).coalesce(runs)
+    side = lambda s: packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns))
+    name = lambda s: F.struct(f"{s}_cell", f"{s}_block")
+    # each two blocks once, in the order that a hash of both gives, so that every task has its share
+    odd = lambda s: F.pmod(F.xxhash64(f"{s}_cell", f"{s}_block"), F.lit(2))
+    even = odd("l") == odd("r")
+    meet = (F.col("l_cell") == F.col("r_cell")) | F.array_contains("l_visits", F.col("r_cell")) | F.array_contains("r_visits", F.col("l_cell"))
+    pairs = side("l").join(side("r").hint("shuffle_replicate_nl"), (name("l") == name("r")) | ((name("l") != name("r")) & ((name("l") < name("r")) == even) & meet)).drop("l_visits", "r_visits")
+    with C.rows_at_once(vectors.sparkSession, PAIRS_AT_ONCE):
+        found = C.cut(pairs.mapInArrow(_compare(centres, threshold, kind), _PAIRS))
 
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     comp = C.components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = comp.join(classes.select(F.col("id").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("least"))
     of_class = comp.join(named, "component").select(F.col("node").alias("id"), "least")
-    info = classes.select("id", "v", "members", F.col("least").alias("own")).join(links, "id", "left").join(of_class, "id", "left").select(*_hashes("v", "_b"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("least", "own").alias("component_id"))
+    slim = classes.select("id", *_hashes(F.col("v").cast("array<double>"), "_b"), "members", F.col("least").alias("own"))
+    info = slim.join(links, "id", "left").join(of_class, "id", "left").select("_b0", "_b1", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("least", "own").alias("component_id"))
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), *_hashes(F.col(vector_col).cast("array<double>"), "_a"))
     # 128 bits stand for a vector, so that no vector travels again
     return every.join(info, (F.col("_a0") == F.col("_b0")) & (F.col("_a1") == F.col("_b1")), "left").select(

@@ -864,6 +864,28 @@ def test_groups_on_either_side_of_a_boundary(spark, monkeypatch):
     assert [i for i in got if got[i].kept] == [0]
 
 
+def test_what_travels_follows_the_vectors_not_the_cells(spark, monkeypatch):
+    """Vectors without structure are guests of most cells; cells of a hundredth of the rows may not multiply what is shuffled."""
+    from cohortlens.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3_000, 32)).astype(np.float32)
+    x[2_900:] = x[:100] + 0.1 * x[100:200]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+    def shuffled():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(E, "PER_CELL", 30)
+    before = shuffled()
+    got = E.near_duplicate_vectors(df).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == brute_links(rows)
+    assert shuffled() - before < 6 * x.nbytes
+
+
 def test_nearest_recall(spark, vectors, monkeypatch):
     from cohortlens.llm import nearest as N
     from pyspark.sql import functions as F
