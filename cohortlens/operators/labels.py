@@ -15,9 +15,15 @@ SCHEMA = "struct<" + ",".join([*(f"{c}:string" for c in TEXTS), *(f"{c}:double"
 ENUMS = {"ftld_inclusion_tier": X.INCLUSION_TIERS, "label_confidence": X.CONFIDENCES, "ftld_syndrome_reported": X.SYNDROMES, "ftld_syndrome_inferred": X.SYNDROMES, "imaging_laterality": X.IMAGING_LATERALITIES, "genetics_status": X.GENETICS_STATUSES, "neuropath_status": X.NEUROPATH_STATUSES, "misdiagnosed_prior_to_ftld": X.MISDIAGNOSES[:-1], "initial_dx_category": X.INITIAL_DIAGNOSES[:-1], "non_ftld_primary_category": X.NON_FTLD_CATEGORIES}
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds or replaces columns that are computed once a row: what reads their parts, a filter among them, isn't merged with what makes them."""
+    row = F.struct(*(v.alias(k) for k, v in columns.items()))
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), F.inline(F.array(row)))
+
+
 def parse(df: DataFrame, column: str) -> DataFrame:
     """Adds ``label`` from model text; null where there is no object in it (JSN-03, JSN-04)."""
-    return df.withColumn("label", F.from_json(S.json_object(F.col(column)), SCHEMA))
+    return _once(df, label=F.from_json(S.json_object(F.col(column)), SCHEMA))
 
 
 def _words(c: Column, lower: bool = True) -> Column:
@@ -84,5 +90,6 @@ def flatten(df: DataFrame, keep: list[str]) -> DataFrame:
 
 def label_table(df: DataFrame, column: str, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(valid wide rows, quarantined rows with their errors)."""
-    checked = parse(df, column).withColumn("label", F.when(F.col("label").isNotNull(), sanitize(F.col("label")))).withColumn("errors", errors(F.col("label")))
+    clean = _once(parse(df, column), label=F.when(F.col("label").isNotNull(), sanitize(F.col("label"))))
+    checked = _once(clean, errors=errors(F.col("label")))
     return flatten(checked.where(F.size("errors") == 0), list(keep)), checked.where(F.size("errors") > 0).select(*keep, F.col(column), "errors")
