@@ -8,7 +8,7 @@ from cohortlens.operators import labels as L
 from cohortlens.plans import catalog, catalog_documents as Q  # noqa: F401
 
 
-@pytest.mark.parametrize("part", [1])
+@pytest.mark.parametrize("part", [0, 1])
 def test_a_label_is_parsed_once(spark, part):
     rows = [(i, json.dumps(a) if isinstance(a, dict) else a) for i, (a, _) in enumerate(Q.ANSWERS)] + [(99, None)]
     df = spark.createDataFrame(rows, "doc_id long, answer string")
