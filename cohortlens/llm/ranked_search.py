@@ -22,6 +22,7 @@ an empty result.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 
@@ -38,6 +39,8 @@ BLOCK_DOCS, BLOCK_BYTES = 16, 2_000_000
 QUESTIONS, QUESTION_TERMS, HELD = 2_000, 100_000, 256
 #: Blocks scored for the threshold, most of them from one task; rows that a task takes over from Spark at once (texts, blocks).
 SEEDS, SEEDS_OF_TASK, TEXTS, BLOCKS = 64, 8, 1_000, 64
+#: Bytes of the index that are buffered for a row group, and blocks that Spark's reader unpacks at once: a block is tens of kilobytes, not a narrow row.
+ROW_GROUP, READ = 16_000_000, 64
 #: Bytes that part terms: all ASCII but digits and letters.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -86,7 +89,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Write the blocks of ``docs`` as a table; it can be searched by any number of questions."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
     with C.rows_at_once(docs.sparkSession, TEXTS):
-        slim.mapInArrow(_index, INDEX).write.option("compression", "zstd").parquet(path)
+        slim.mapInArrow(_index, INDEX).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def _terms(batches):
@@ -272,6 +275,18 @@ def _blocks(asked: DataFrame):
         yield Questions(rows)
 
 
+@contextlib.contextmanager
+def _few_blocks_read(spark):
+    """The reader's batch (4,096 rows by default) holds few blocks, whatever the size of a file."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, READ)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def search(index: DataFrame, questions: DataFrame, k: int = 20, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each question, best first, ties to smaller ids."""
     spark = index.sparkSession
@@ -283,7 +298,7 @@ def search(index: DataFrame, questions: DataFrame, k: int = 20, item_col: str =
     schema = "item_id long, rank int, doc_id long, score long"
     spark.createDataFrame([], schema).write.parquet(at)
     for q in _blocks(asked) if docs else ():
-        with C.rows_at_once(spark, BLOCKS):
+        with C.rows_at_once(spark, BLOCKS), _few_blocks_read(spark):
             df = index.select("vocab", "df").mapInArrow(_frequencies(q), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
             q.weigh({r.term: r.df for r in df.collect()}, docs, terms)
             # documents of any blocks give a valid threshold: the k-th of them is in the result or below it

@@ -66,6 +66,18 @@ def searched():
     return docs, items
 
 
+def test_few_index_blocks_are_read_at_once(spark, monkeypatch, searched):
+    """A block is tens of kilobytes: Spark's reader may not unpack its usual 4,096 rows of them."""
+    from cohortlens.llm import ranked_search as R
+
+    name, seen, real = "spark.sql.parquet.columnarReaderBatchSize", [], R._highest
+    monkeypatch.setattr(R, "_highest", lambda q: seen.append(int(spark.conf.get(name))) or real(q))
+    before = spark.conf.get(name)
+    R.ranked_search(spark.createDataFrame(searched[0][:50], DOCS), spark.createDataFrame(searched[1][:3], "item_id long, text string"))
+    assert seen and max(seen) <= 64
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("block,questions", [(16, 2000), (3, 2)])
 def test_search_equals_scoring_all(spark, monkeypatch, searched, block, questions):
     from cohortlens.llm import ranked_search as R
