@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -136,6 +137,10 @@ def match_clusters(matrix: DataFrame) -> DataFrame:
     return matrix.withColumn("matched", hit)
 
 
+#: Cases of a profile in a block; pairs of cases that a task spreads, and tasks at most.
+SPREAD, TASK_PAIRS, MOST_TASKS = 1_024, 16_000_000, 100_000
+
+
 def coassignment(assignments: DataFrame, key: str, replicate: str, cluster: str) -> DataFrame:
     """Share of replicates in which two cases fall together (ML-12), for pairs of cases that ever do: as many rows as there are such
     pairs. ``coassign.profiles`` and ``coassign.coassigned`` give the same in the size of the distinct profiles.
@@ -144,8 +149,15 @@ def coassignment(assignments: DataFrame, key: str, replicate: str, cluster: str)
     total = assignments.agg(F.count_distinct(replicate).alias("n"))
     pairs = coassigned(cases, 0.0).select("i", "j", "coassignment")
     within = cases.groupBy("profile").agg(F.first(F.size("clusters")).alias("n")).select(F.col("profile").alias("i"), F.col("profile").alias("j"), (F.col("n") / total.scalar()).alias("coassignment"))
-    member = lambda side: cases.select(F.col("profile").alias(side), F.col(key).alias("_" + side))
-    spread = pairs.union(within).join(member("i"), "i").join(member("j"), "j").where("i < j or _i < _j")
+    both = pairs.union(within)
+    # a profile's cases go in blocks, and two blocks are one row until they are spread: no task holds all pairs of a profile
+    size = cases.groupBy("profile").agg(F.count("*").alias("n"))
+    blocks = cases.join(size, "profile").select("profile", key, F.pmod(F.xxhash64(key), F.ceil(F.col("n") / SPREAD)).alias("b")).groupBy("profile", "b").agg(F.collect_list(key).alias("keys"))
+    of = lambda table, side, name: table.select(F.col("profile").alias(side), F.col(name).alias("_" + side))
+    rows = both.join(of(size, "i", "n"), "i").join(of(size, "j", "n"), "j").agg(F.sum(F.col("_i").cast("double") * F.col("_j"))).first()[0] or 0
+    tasks = max(int(assignments.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, ceil(rows / TASK_PAIRS)))
+    met = both.join(of(blocks, "i", "keys"), "i").join(of(blocks, "j", "keys"), "j").repartition(tasks)
+    spread = met.select("i", "j", F.explode("_i").alias("_i"), "_j", "coassignment").select("i", "j", "_i", F.explode("_j").alias("_j"), "coassignment").where("i < j or _i < _j")
     return spread.select(F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "coassignment")
 
 

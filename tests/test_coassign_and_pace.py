@@ -57,6 +57,18 @@ def test_all_cases_equal_all_pairs(spark):
     assert got == {p: round(s, 9) for p, s in brute(rows, 0.0)[1].items()}
 
 
+def test_pairs_of_one_large_profile_are_spread_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(V, "SPREAD", 20, raising=False)
+    monkeypatch.setattr(V, "TASK_PAIRS", 5_000, raising=False)
+    rows = [(k, r, "a") for k in range(300) for r in (0, 1)] + [(k, r, "b" if r else "a") for k in range(300, 310) for r in (0, 1)]
+    got = V.coassignment(spark.createDataFrame(rows, "k long, r int, c string"), "k", "r", "c").withColumn("task", F.spark_partition_id()).collect()
+    assert {(x["i"], x["j"]): x["coassignment"] for x in got} == brute(rows, 0.0)[1]
+    n = [x["task"] for x in got]
+    assert len(n) == 310 * 309 // 2 and max(map(n.count, set(n))) < len(n) / 5
+
+
 def test_coassignment_of_nulls_and_nothing(spark):
     none = spark.createDataFrame([(None, 1, "a"), (1, None, "a"), (2, 1, None)], "k long, r int, c string")
     cases = G.profiles(none, "k", "r", "c")
