@@ -2,6 +2,7 @@
 
 A micro-batch writes its blocks and segments under its own run and number and its log rows last: the log is the commit record, and
 ``committed`` reads nothing else. A batch that dies leaves rows that no log names; its documents are taken up again by the next run.
+A batch has a folder of its own in every table and reads back no other, so one takes as long late in a run as early.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -20,6 +22,22 @@ from .ingest import TERMINAL, _exists, guard
 FILES = "path string, modificationTime timestamp, length long, content binary"
 LOG = "pmcid string, status string, path string, article_type string, has_body boolean, error string, n_blocks_total long, n_blocks_body long, n_blocks_abstract long, n_segments long, run string, batch long, at timestamp"
 
+@contextmanager
+def _short_listings(spark: SparkSession):
+    """What listings send the driver: twice as many tasks as cores, not one for each of up to 10,000 folders or files with 2.5 kB besides what it
+    found; and no places of blocks, as documents are small. A stream's source looks this up at every listing, so it goes around the whole run."""
+    at, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 2 * spark.sparkContext.defaultParallelism
+    new = {at: str(min(most, int(spark.conf.get(at)))), "spark.sql.sources.ignoreDataLocality": "true"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 
 class Stop(StreamingQueryListener):
     """When a watching job ends (STM-02): after so many documents, when all targets were tried, or when nothing has come for so long.
@@ -70,7 +88,7 @@ class Stop(StreamingQueryListener):
 
 
 def _log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(LOG).parquet(f"{out}/log") if _exists(spark, f"{out}/log") else spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).option("recursiveFileLookup", True).parquet(f"{out}/log") if _exists(spark, f"{out}/log") else spark.createDataFrame([], LOG)
 
 
 def committed(spark: SparkSession, out: str, table: str) -> DataFrame:
@@ -80,7 +98,7 @@ def committed(spark: SparkSession, out: str, table: str) -> DataFrame:
         return latest
     if not _exists(spark, f"{out}/{table}"):
         raise ValueError(f"no {table} have been written")
-    return spark.read.parquet(f"{out}/{table}").join(latest.select("pmcid", "run", "batch"), ["pmcid", "run", "batch"], "left_semi").drop("run", "batch")
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{out}/{table}").join(latest.select("pmcid", "run", "batch"), ["pmcid", "run", "batch"], "left_semi").drop("run", "batch")
 
 
 def extract_folder(
@@ -111,8 +129,10 @@ def extract_folder(
     stop, run = stop or Stop(), uuid.uuid4().hex[:12]
     # what other runs have done, read once: this run's own files are known to its stream
     final = F.lit(not retry_errors) | F.col("status").isin(*TERMINAL)
-    prior = committed(spark, out, "log").where(final).select("pmcid").persist()
-    prior.count()
+    # it lies by id as every batch is dealt, so that a batch meets it in place: none of it goes through the driver or is shuffled again
+    parts = spark.sparkContext.defaultParallelism
+    prior = committed(spark, out, "log").where(final).select("pmcid").repartition(parts, "pmcid").sortWithinPartitions("pmcid").persist()
+    known = prior.count()
     tried = 0 if stop.targets is None else prior.where(F.col("pmcid").isin(*stop.targets)).count()
 
     def write(batch: DataFrame, number: int) -> None:
@@ -120,42 +140,43 @@ def extract_folder(
         room = stop.room()
         if room == 0 or stop.over.is_set():
             return
-        new = batch.withColumn("pmcid", D.pmcid_of(F.col("path"))).join(prior, "pmcid", "left_anti").dropDuplicates(["pmcid"])
+        new = batch.withColumn("pmcid", D.pmcid_of(F.col("path"))).repartition(parts, "pmcid")
+        new = (new.join(prior.hint("merge"), "pmcid", "left_anti") if known else new).dropDuplicates(["pmcid"])
         if room is not None:
             new = new.orderBy("path").limit(room)
         tag = lambda df: df.withColumn("run", F.lit(run)).withColumn("batch", F.lit(number).cast("long"))
-        here = f"{out}/parsed/run={run}-{number}"
-        D.parse_contents(new).write.mode("overwrite").parquet(here)
-        parsed = spark.read.parquet(here)
+        own = lambda table: f"{out}/{table}/{run}-{number}"
+        D.parse_contents(new).write.mode("overwrite").parquet(own("parsed"))
+        parsed = spark.read.parquet(own("parsed"))
         blocks = parsed.where("block_id IS NOT NULL")
-        tag(blocks).write.mode("append").parquet(f"{out}/blocks")
-        segments = tag(extract(blocks))
-        segments.write.mode("append").parquet(f"{out}/segments")
-        own = spark.read.parquet(f"{out}/segments").where((F.col("run") == run) & (F.col("batch") == number)).groupBy("pmcid").agg(F.count("*").alias("n_segments"))
-        log = tag(D.parse_log(parsed).join(own, "pmcid", "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)).cast("long")))
+        tag(blocks).write.mode("overwrite").parquet(own("blocks"))
+        tag(extract(blocks)).write.mode("overwrite").parquet(own("segments"))
+        found = spark.read.parquet(own("segments")).groupBy("pmcid").agg(F.count("*").alias("n_segments"))
+        log = tag(D.parse_log(parsed).join(found, "pmcid", "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)).cast("long")))
         status = F.when((F.col("status") == "ok") & (F.col("n_segments") == 0), "not_case_like").otherwise(F.col("status"))
         log = log.withColumn("status", status).withColumn("at", F.current_timestamp()).select(*(c.split(" ")[0] for c in LOG.split(", ")))
-        log.coalesce(1).write.mode("append").parquet(f"{out}/log")
-        mine = _log(spark, out).where((F.col("run") == run) & (F.col("batch") == number))
+        log.coalesce(1).write.mode("overwrite").parquet(own("log"))
+        mine = spark.read.schema(LOG).parquet(own("log"))
         seen = F.col("pmcid").isin(*stop.targets) if stop.targets is not None else F.lit(False)
         n = mine.agg(F.count("*").alias("n"), F.count_if(seen).alias("t")).first()
         tried += n.t
         stop.done(n.n, tried)
 
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
-    stream = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/streams/{run}")
-    spark.streams.addListener(stop)
-    try:
-        query = (stream.trigger(processingTime=interval) if watch else stream.trigger(availableNow=True)).start()
-        if stop.targets is not None and tried >= len(stop.targets):
-            stop.end("targets")
-        while not stop.over.wait(0.2) and query.isActive:
-            pass
-        if query.isActive:
-            query.stop()
-        query.awaitTermination()
-        stop.end("finished")
-    finally:
-        spark.streams.removeListener(stop)
-        prior.unpersist()
+    with _short_listings(spark):
+        files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+        stream = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/streams/{run}")
+        spark.streams.addListener(stop)
+        try:
+            query = (stream.trigger(processingTime=interval) if watch else stream.trigger(availableNow=True)).start()
+            if stop.targets is not None and tried >= len(stop.targets):
+                stop.end("targets")
+            while not stop.over.wait(0.2) and query.isActive:
+                pass
+            if query.isActive:
+                query.stop()
+            query.awaitTermination()
+            stop.end("finished")
+        finally:
+            spark.streams.removeListener(stop)
+            prior.unpersist()
     return stop
