@@ -135,7 +135,9 @@ _KEPT = ["ftld_inclusion_tier", "ftld_inclusion_basis_json", "initial_dx_categor
 
 
 def _answers(spark, d):
-    return t(spark, d, "labels").select("doc_id", turns("doc_id", ["so:\n" + (json.dumps(a) if isinstance(a, dict) else a) for a, _ in ANSWERS]).alias("answer"))
+    # the ids' few bytes lie in a task or two; an answer is hundreds of bytes to be made, parsed and checked, so every core gets its share
+    ids = t(spark, d, "labels").select("doc_id").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    return ids.select("doc_id", turns("doc_id", ["so:\n" + (json.dumps(a) if isinstance(a, dict) else a) for a, _ in ANSWERS]).alias("answer"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"{sql_turns('doc_id', [w[i] if isinstance(w, tuple) else None for _, w in ANSWERS], 'VARCHAR')} AS {c}" for i, c in enumerate(_KEPT)) + f" FROM labels WHERE doc_id % {len(ANSWERS)} < 4")
