@@ -370,9 +370,8 @@ def extracted_folder(spark, d):
     papers = _marked_up(spark, d)
     first_block = lambda blocks: blocks.where("block_index = 0").select("pmcid", F.col("block_id").alias("segment_uid"))
     for rows in (papers.where(FIRST), papers.where(f"NOT ({FIRST})")):
-        # a file for each paper, in a folder with its name; papers are small beside the work that a file makes, so tasks are dealt by number
-        rows.withColumnRenamed("x", "value").repartition(4 * spark.sparkContext.defaultParallelism, "pmcid").write.mode("append").partitionBy("pmcid").text(f"{at}/in")
-        E.extract_folder(spark, f"{at}/in", f"{at}/out", first_block, resume=True, pattern="part-*")
+        T.write_files(rows.select(F.concat("pmcid", F.lit(".xml")).alias("name"), F.encode("x", "UTF-8").alias("content")), f"{at}/in")
+        E.extract_folder(spark, f"{at}/in", f"{at}/out", first_block, resume=True, pattern="*")
     log = E.committed(spark, f"{at}/out", "log").select("pmcid", "status", "n_blocks_total")
     blocks = E.committed(spark, f"{at}/out", "blocks").drop("status")
     return blocks.join(log, "pmcid").select("pmcid", "block_index", "source", "block_id", "article_type", "title", "status", "n_blocks_total")

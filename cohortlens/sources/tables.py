@@ -71,6 +71,46 @@ def write_blocks(blocks: DataFrame, done: DataFrame | None, path: str) -> None:
     new.write.mode("append").partitionBy("pmcid").json(path)
 
 
+def _put(folder: str):
+    """Writes the files of a task's rows; a file gets its name when it is whole, so that whoever watches the folder, or a task that runs again, finds no part of one."""
+
+    def put(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        attempt, n = TaskContext.get().taskAttemptId(), 0
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                if os.path.basename(name) != name or name[:1] in ("", "_", "."):
+                    raise ValueError(f"{name!r} names no file that Spark's readers see")
+                at = os.path.join(folder, f"_{attempt}-{n}")
+                with open(at, "wb") as f:
+                    f.write(content.as_buffer() or b"")
+                os.replace(at, os.path.join(folder, name))
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return put
+
+
+def write_files(documents: DataFrame, folder: str) -> None:
+    """A file of ``folder`` for each row (name, content): named files have no writer in Spark.
+
+    On a file system that tasks see as a folder they write them by themselves: Spark's writers start processes for every local file, to set its
+    permissions. Elsewhere (object stores, HDFS) Spark's text writer makes a folder ``pmcid=...`` for each, which ``documents.pmcid_of`` reads too.
+    """
+    spark = documents.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    dealt = documents.select("name", "content").repartition(4 * spark.sparkContext.defaultParallelism, "name")  # files are small beside the work that each makes
+    if fs.getUri().getScheme() == "file":
+        dealt.mapInArrow(_put(fs.makeQualified(at).toUri().getPath()), "n long").agg(F.sum("n")).first()
+    else:
+        texts = dealt.select(F.regexp_replace("name", r"\.[A-Za-z]+$", "").alias("pmcid"), F.col("content").cast("string").alias("value"))
+        texts.write.mode("append").partitionBy("pmcid").text(folder)
+
+
 def lock_config(path: str, config: dict, keys: Sequence[str]) -> dict:
     """Writes a run's configuration once; a resumed run must agree on ``keys`` (SNK-04, SNK-05). Driver side."""
     if os.path.exists(path):

@@ -22,6 +22,10 @@ from .ingest import TERMINAL, _exists, guard
 FILES = "path string, modificationTime timestamp, length long, content binary"
 LOG = "pmcid string, status string, path string, article_type string, has_body boolean, error string, n_blocks_total long, n_blocks_body long, n_blocks_abstract long, n_segments long, run string, batch long, at timestamp"
 
+#: Files of a batch that watches, or, for each core, of one that works off a backlog: a batch takes some seconds whatever it holds.
+BATCH = 1000
+
+
 @contextmanager
 def _short_listings(spark: SparkSession):
     """What listings send the driver: twice as many tasks as cores, not one for each of up to 10,000 folders or files with 2.5 kB besides what it
@@ -112,13 +116,14 @@ def extract_folder(
     overwrite: bool = False,
     retry_errors: bool = False,
     interval: str = "1 second",
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
     pattern: str = "*.xml",
 ) -> Stop:
     """Documents of ``folder`` to blocks, segments (``extract`` of a batch's blocks) and a log under ``out`` (SRC-07, DOC-06, DOC-09, STM-01 to STM-05).
 
     Documents whose latest log row is final are passed by, those that failed too unless ``retry_errors`` is set; so a run that was stopped or
-    killed is taken up by the next one with ``resume``. Without ``watch`` the job ends with the files that are there.
+    killed is taken up by the next one with ``resume``. Without ``watch`` the job ends with the files that are there. A batch has ``files_per_batch``
+    files: unless it is given, ``BATCH`` of them while watching, and ``BATCH`` for each core where the job works off what is there.
     """
     guard(overwrite, resume, out)
     if _exists(spark, f"{out}/log") and not (resume or overwrite):
@@ -129,29 +134,35 @@ def extract_folder(
     stop, run = stop or Stop(), uuid.uuid4().hex[:12]
     # what other runs have done, read once: this run's own files are known to its stream
     final = F.lit(not retry_errors) | F.col("status").isin(*TERMINAL)
-    # it lies by id as every batch is dealt, so that a batch meets it in place: none of it goes through the driver or is shuffled again
+    # it lies by id as every batch is dealt, so that a batch meets it in place: none of it goes through the driver or is shuffled again; the id's
+    # second hash is for files that a Spark job wrote in the order of the first, of which a batch would fall to one task
     parts = spark.sparkContext.defaultParallelism
-    prior = committed(spark, out, "log").where(final).select("pmcid").repartition(parts, "pmcid").sortWithinPartitions("pmcid").persist()
+    deal = F.xxhash64("pmcid").alias("deal")
+    most = files_per_batch or (BATCH if watch else BATCH * parts)
+    prior = committed(spark, out, "log").where(final).select("pmcid", deal).repartition(parts, "deal", "pmcid").sortWithinPartitions("deal", "pmcid").persist()
     known = prior.count()
     tried = 0 if stop.targets is None else prior.where(F.col("pmcid").isin(*stop.targets)).count()
 
+    def kept(df: DataFrame, path: str) -> DataFrame:
+        """Written and read back; its columns are known, so that no job looks for them."""
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     def write(batch: DataFrame, number: int) -> None:
         nonlocal tried
         room = stop.room()
         if room == 0 or stop.over.is_set():
             return
-        new = batch.withColumn("pmcid", D.pmcid_of(F.col("path"))).repartition(parts, "pmcid")
-        new = (new.join(prior.hint("merge"), "pmcid", "left_anti") if known else new).dropDuplicates(["pmcid"])
+        new = batch.withColumn("pmcid", D.pmcid_of(F.col("path"))).select("*", deal).repartition(parts, "deal", "pmcid")
+        new = (new.join(prior.hint("merge"), ["deal", "pmcid"], "left_anti") if known else new).dropDuplicates(["deal", "pmcid"])
         if room is not None:
             new = new.orderBy("path").limit(room)
         tag = lambda df: df.withColumn("run", F.lit(run)).withColumn("batch", F.lit(number).cast("long"))
         own = lambda table: f"{out}/{table}/{run}-{number}"
-        D.parse_contents(new).write.mode("overwrite").parquet(own("parsed"))
-        parsed = spark.read.parquet(own("parsed"))
+        parsed = kept(D.parse_contents(new), own("parsed"))
         blocks = parsed.where("block_id IS NOT NULL")
         tag(blocks).write.mode("overwrite").parquet(own("blocks"))
-        tag(extract(blocks)).write.mode("overwrite").parquet(own("segments"))
-        found = spark.read.parquet(own("segments")).groupBy("pmcid").agg(F.count("*").alias("n_segments"))
+        found = kept(tag(extract(blocks)), own("segments")).groupBy("pmcid").agg(F.count("*").alias("n_segments"))
         log = tag(D.parse_log(parsed).join(found, "pmcid", "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)).cast("long")))
         status = F.when((F.col("status") == "ok") & (F.col("n_segments") == 0), "not_case_like").otherwise(F.col("status"))
         log = log.withColumn("status", status).withColumn("at", F.current_timestamp()).select(*(c.split(" ")[0] for c in LOG.split(", ")))
@@ -163,7 +174,7 @@ def extract_folder(
         stop.done(n.n, tried)
 
     with _short_listings(spark):
-        files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
+        files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).option("maxFilesPerTrigger", most).option("maxCachedFiles", 10 * most).load(folder)
         stream = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/streams/{run}")
         spark.streams.addListener(stop)
         try:
